@@ -4,81 +4,63 @@ A rule fires only when its condition is TRUE; NULL means it does not fire.
 """
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-from typing import Callable, NamedTuple
+from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
 
 from pulsegate.schema import GATE_REQUIRED
 
 REPEAT_FLAG = "_is_repeat"
-LATENESS = "INTERVAL '10' MINUTE"
-RATE_TOLERANCE = 1e-9
 
 
 class Rule(NamedTuple):
     category: str
     rule_id: str
-    condition: Callable[[], Column]
+    condition: str
 
+    def fires(self) -> Column:
+        return F.expr(self.condition)
 
-def _outside(name: str, high: float) -> Callable[[], Column]:
-    return lambda: ~F.col(name).between(0.0, high)
 
-
-def _negative(name: str) -> Callable[[], Column]:
-    return lambda: F.col(name) < 0
-
-
-def _is_v2() -> Column:
-    return F.col("schema_version") == 2
-
-
-def _any_null(names: list[str]) -> Column:
-    return reduce(or_, [F.col(name).isNull() for name in names])
+def _any_null(names: list[str]) -> str:
+    return " OR ".join(f"{name} IS NULL" for name in names)
 
 
 # Rule ids, categories, bounds and their order.
 RULES = [
-    Rule("schema", "unsupported_schema", lambda: ~F.col("schema_version").isin(1, 2)),
+    Rule("schema", "unsupported_schema", "schema_version NOT IN (1, 2)"),
     Rule("schema", "v2_required_field_missing",
-         lambda: _is_v2() & _any_null(["cache_hit_ratio", "gc_pause_ms"])),
-    Rule("range", "cpu_out_of_range", _outside("cpu_util_pct", 100.0)),
-    Rule("range", "memory_out_of_range", _outside("memory_util_pct", 100.0)),
-    Rule("range", "disk_out_of_range", _outside("disk_util_pct", 100.0)),
-    Rule("range", "error_rate_out_of_range", _outside("error_rate", 1.0)),
-    Rule("range", "timeout_rate_out_of_range", _outside("timeout_rate", 1.0)),
-    Rule("range", "negative_queue_depth", _negative("queue_depth")),
+         f"schema_version = 2 AND ({_any_null(['cache_hit_ratio', 'gc_pause_ms'])})"),
+    Rule("range", "cpu_out_of_range", "cpu_util_pct NOT BETWEEN 0 AND 100"),
+    Rule("range", "memory_out_of_range", "memory_util_pct NOT BETWEEN 0 AND 100"),
+    Rule("range", "disk_out_of_range", "disk_util_pct NOT BETWEEN 0 AND 100"),
+    Rule("range", "error_rate_out_of_range", "error_rate NOT BETWEEN 0 AND 1"),
+    Rule("range", "timeout_rate_out_of_range", "timeout_rate NOT BETWEEN 0 AND 1"),
+    Rule("range", "negative_queue_depth", "queue_depth < 0"),
     Rule("range", "cache_hit_out_of_range",
-         lambda: _is_v2() & _outside("cache_hit_ratio", 1.0)()),
-    Rule("temporal", "ingest_before_event",
-         lambda: F.col("ingest_time") < F.col("event_time")),
-    Rule("temporal", "event_too_late",
-         lambda: F.expr(f"ingest_time > event_time + {LATENESS}")),
-    Rule("completeness", "missing_required_field", lambda: _any_null(GATE_REQUIRED)),
-    Rule("completeness", "duplicate_event", lambda: F.col(REPEAT_FLAG)),
-    Rule("cross_field", "p95_below_p50",
-         lambda: F.col("response_p95_ms") < F.col("response_p50_ms")),
-    Rule("cross_field", "timeout_exceeds_error_rate",
-         lambda: F.col("timeout_rate") > F.col("error_rate") + RATE_TOLERANCE),
-    Rule("cross_field", "negative_active_connections", _negative("active_connections")),
+         "schema_version = 2 AND cache_hit_ratio NOT BETWEEN 0 AND 1"),
+    Rule("temporal", "ingest_before_event", "ingest_time < event_time"),
+    Rule("temporal", "event_too_late", "ingest_time > event_time + INTERVAL '10' MINUTE"),
+    Rule("completeness", "missing_required_field", _any_null(GATE_REQUIRED)),
+    Rule("completeness", "duplicate_event", REPEAT_FLAG),
+    Rule("cross_field", "p95_below_p50", "response_p95_ms < response_p50_ms"),
+    Rule("cross_field", "timeout_exceeds_error_rate", "timeout_rate > error_rate + 1e-9D"),
+    Rule("cross_field", "negative_active_connections", "active_connections < 0"),
 ]
 
-RULES_BY_ID = {rule.rule_id: rule for rule in RULES}
-
 
 def fired_rules(rules: list[Rule]) -> Column:
     """Ids of the rules that fire, in rule order."""
-    return F.array_compact(F.array(*[F.when(rule.condition(), rule.rule_id) for rule in rules]))
+    cases = ", ".join(f"CASE WHEN {r.condition} THEN '{r.rule_id}' END" for r in rules)
+    return F.expr(f"array_compact(array({cases}))")
 
 
-def fired_categories(fired: Column, rules: list[Rule]) -> Column:
-    """Distinct categories behind an array of fired rule ids, in category order."""
-    ids: dict[str, list[str]] = {}
+def fired_categories(fired: str, rules: list[Rule]) -> Column:
+    """Distinct categories behind an array column of fired rule ids, in category order."""
+    members: dict[str, list[str]] = {}
     for rule in rules:
-        ids.setdefault(rule.category, []).append(rule.rule_id)
-    return F.array_compact(F.array(*[
-        F.when(F.arrays_overlap(fired, F.array(*map(F.lit, members))), category)
-        for category, members in ids.items()
-    ]))
+        members.setdefault(rule.category, []).append(f"'{rule.rule_id}'")
+    cases = ", ".join(
+        f"CASE WHEN arrays_overlap({fired}, array({', '.join(ids)})) THEN '{category}' END"
+        for category, ids in members.items())
+    return F.expr(f"array_compact(array({cases}))")

@@ -20,10 +20,8 @@ def logistic(score: Column) -> Column:
 
 
 def risk_probability() -> Column:
-    score = F.lit(RISK_INTERCEPT)
-    for name, weight in RISK_WEIGHTS.items():
-        score = score + F.col(name) * weight
-    return logistic(score)
+    terms = " + ".join(f"{name} * {weight}D" for name, weight in RISK_WEIGHTS.items())
+    return F.expr(f"1.0D / (1.0D + exp(-({RISK_INTERCEPT}D + {terms})))")
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -49,25 +47,30 @@ def epoch_micros(name: str) -> Column:
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
+# The ordered routing rules, their routes and reasons.
+ROUTES = [
+    ("lower(coalesce(criticality, '')) = 'high'",
+     "R1_HIGH_CRITICALITY", "stream", "high criticality requires immediate analysis"),
+    (f"latency_sla_ms <= {TIGHT_SLA_MS}",
+     "R2_TIGHT_SLA", "stream", "latency SLA is at most 1000 ms"),
+    (f"task_type IN {tuple(STREAM_TASKS)}",
+     "R3_STREAM_TASK", "stream", "task type is latency sensitive"),
+    (f"task_type IN {tuple(BATCH_TASKS)}",
+     "R4_DELAY_TOLERANT", "batch", "task type permits deferred execution"),
+    ("true", "R5_DEFAULT_BATCH", "batch", "no stream rule matched"),
+]
+
+
 def route_rule() -> Column:
-    """First of the five ordered rules that applies, as one struct per row."""
-    # Rule ids, routes and reasons.
-    outcomes = [
-        (F.lower(F.coalesce("criticality", F.lit(""))) == "high",
-         "R1_HIGH_CRITICALITY", "stream", "high criticality requires immediate analysis"),
-        (F.col("latency_sla_ms") <= TIGHT_SLA_MS,
-         "R2_TIGHT_SLA", "stream", "latency SLA is at most 1000 ms"),
-        (F.col("task_type").isin(STREAM_TASKS),
-         "R3_STREAM_TASK", "stream", "task type is latency sensitive"),
-        (F.col("task_type").isin(BATCH_TASKS),
-         "R4_DELAY_TOLERANT", "batch", "task type permits deferred execution"),
-        (F.lit(True), "R5_DEFAULT_BATCH", "batch", "no stream rule matched"),
-    ]
-    return F.coalesce(*[
-        F.when(applies, F.struct(F.lit(rule).alias("rule_id"), F.lit(route).alias("route"),
-                                 F.lit(reason).alias("reason")))
-        for applies, rule, route, reason in outcomes
-    ])
+    """Number of the first routing rule that applies, from 1."""
+    cases = " ".join(f"WHEN {rule[0]} THEN {n}" for n, rule in enumerate(ROUTES, start=1))
+    return F.expr(f"CASE {cases} END")
+
+
+def route_detail(number: str, position: int) -> Column:
+    """Rule id (1), route (2) or reason (3) of the routing rule with that number."""
+    values = ", ".join(f"'{rule[position]}'" for rule in ROUTES)
+    return F.expr(f"elt({number}, {values})")
 
 
 def asymmetric_penalty(error: Column) -> Column:

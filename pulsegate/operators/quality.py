@@ -1,7 +1,7 @@
 """Quality gate: repeated events, rule evidence, accept/quarantine, detection reports."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegate.functions.gate_rules import REPEAT_FLAG, RULES, fired_categories, fired_rules
 from pulsegate.functions.scores import count_of, share_or_zero
@@ -10,70 +10,80 @@ from pulsegate.staging import stage
 
 # Rows of one input partition that share a salt: 2**20.
 SALT_BITS = 20
+# Below this estimated size a second scan costs more than shuffling the rows.
+SMALL_INPUT_BYTES = 1 << 30
 
 
-def _arrival_order() -> list[Column]:
-    return [F.coalesce("duplicate_ordinal", F.lit(0)), F.col("ingest_time").asc_nulls_last(),
-            F.coalesce("source_sequence", F.lit(0))]
+# Which of several rows with one id counts as the first.
+ARRIVAL_ORDER = ("coalesce(duplicate_ordinal, 0), ingest_time ASC NULLS LAST, "
+                 "coalesce(source_sequence, 0L)")
+LABELLED_COPY = "event_id IS NOT NULL AND coalesce(duplicate_ordinal, 0) > 0"
 
 
-def _salted_repeats(frame: DataFrame) -> DataFrame:
-    """First-of-id by two rankings: inside (id, salt), then among the salt winners.
+def _salted(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("_salt", F.shiftright(F.monotonically_increasing_id(), SALT_BITS))
+
+
+def _first_of_id(salted: DataFrame) -> DataFrame:
+    """First row of each id by two rankings: inside (id, salt), then among the salt winners.
 
     No ranking group exceeds 2**20 rows or one row per salt, whatever share one id has.
     """
-    local = Window.partitionBy("event_id", "_salt").orderBy(*_arrival_order())
-    among_winners = (Window.partitionBy("event_id", F.when(F.col("_local") > 1, F.col("_salt")))
-                     .orderBy(*_arrival_order()))
-    return (frame.withColumn("_local", F.row_number().over(local))
-            .withColumn("_final", F.row_number().over(among_winners))
-            .withColumn(REPEAT_FLAG, F.col("event_id").isNotNull()
-                        & ((F.coalesce("duplicate_ordinal", F.lit(0)) > 0)
-                           | (F.col("_local") > 1) | (F.col("_final") > 1)))
-            .drop("_local", "_final", "_salt"))
-
-
-def mark_repeats(frame: DataFrame, strategy: str = "staged") -> DataFrame:
+    columns = [c for c in salted.columns if c != "_salt"]
+    return (
+        salted.select("*", F.expr(f"""row_number() OVER (
+            PARTITION BY event_id, _salt ORDER BY {ARRIVAL_ORDER}) AS _local"""))
+        .select("*", F.expr(f"""row_number() OVER (
+            PARTITION BY event_id, if(_local > 1, _salt, NULL) ORDER BY {ARRIVAL_ORDER})
+            AS _final"""))
+        .select(*columns, F.expr(f"""({LABELLED_COPY})
+            OR (event_id IS NOT NULL AND (_local > 1 OR _final > 1)) AS {REPEAT_FLAG}""")))
+
+
+def planned_bytes(frame: DataFrame) -> int:
+    """The planner's size estimate; for file scans the size of the files."""
+    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def mark_repeats(frame: DataFrame, strategy: str = "auto") -> DataFrame:
     """Add the boolean that says a row repeats an event seen earlier in arrival order.
 
     ``staged`` first counts ids over a scan of the id column alone, writes the repeated ids,
     and ranks only rows that carry one; all others pass without a shuffle of the wide rows
     when the id table is small, or with a skew-split join when it is not.
     ``salted`` ranks all rows lazily and suits bounded micro-batches.
+    ``auto`` is ``salted`` for inputs below ``SMALL_INPUT_BYTES`` and ``staged`` above.
     """
-    salted = frame.withColumn(
-        "_salt", F.shiftright(F.monotonically_increasing_id(), SALT_BITS))
+    if strategy == "auto":
+        strategy = "salted" if planned_bytes(frame) < SMALL_INPUT_BYTES else "staged"
     if strategy == "salted":
-        return _salted_repeats(salted)
+        return _first_of_id(_salted(frame))
     if strategy != "staged":
         raise ValueError(f"unknown strategy {strategy!r}")
     repeated = stage(
-        frame.where(F.col("event_id").isNotNull()).groupBy("event_id").count()
-        .where(F.col("count") > 1).select("event_id"), "repeated-ids")
-    once = (frame.join(repeated, "event_id", "left_anti").select(*frame.columns)
-            .withColumn(REPEAT_FLAG, F.col("event_id").isNotNull()
-                        & (F.coalesce("duplicate_ordinal", F.lit(0)) > 0)))
-    often = salted.join(repeated, "event_id", "left_semi").select(*salted.columns)
-    return once.unionByName(_salted_repeats(often))
+        frame.where("event_id IS NOT NULL").groupBy("event_id").count()
+        .where("count > 1").select("event_id"), "repeated-ids")
+    once = (frame.join(repeated, "event_id", "left_anti")
+            .select(*frame.columns, F.expr(f"{LABELLED_COPY} AS {REPEAT_FLAG}")))
+    # the salt is taken before the join, where rows are still spread as they were read
+    often = _salted(frame).join(repeated, "event_id", "left_semi")
+    return once.unionByName(_first_of_id(often))
 
 
-def classify_quality(frame: DataFrame, strategy: str = "staged") -> DataFrame:
+def classify_quality(frame: DataFrame, strategy: str = "auto") -> DataFrame:
     """Attach rule evidence and the accept/quarantine decision to every row."""
-    fired = F.col("quality_failure_reasons")
+    fired = "quality_failure_reasons"
     return (
         mark_repeats(frame, strategy)
-        .withColumn("quality_failure_reasons", fired_rules(RULES))
-        .withColumns({
-            "detected_defect_categories": fired_categories(fired, RULES),
-            "quality_failure_type": F.concat_ws("|", fired),
-            "quality_rule_count": F.size(fired),
-            "is_valid": F.size(fired) == 0,
-            "quality_action": F.when(F.size(fired) == 0, "accept").otherwise("quarantine"),
-            "late_event_flag": F.array_contains(fired, "event_too_late"),
-            "event_date": F.to_date("event_time"),
-        })
-        .drop(REPEAT_FLAG)
-    )
+        .select(*frame.columns, fired_rules(RULES).alias(fired))
+        .select("*", fired_categories(fired, RULES).alias("detected_defect_categories"),
+                *[F.expr(text) for text in (
+                    f"concat_ws('|', {fired}) AS quality_failure_type",
+                    f"size({fired}) AS quality_rule_count",
+                    f"size({fired}) = 0 AS is_valid",
+                    f"if(size({fired}) = 0, 'accept', 'quarantine') AS quality_action",
+                    f"array_contains({fired}, 'event_too_late') AS late_event_flag",
+                    "to_date(event_time) AS event_date")]))
 
 
 def accepted(classified: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegate.operators import quality, routing
-from pulsegate.plans import gate  # noqa: F401
+from pulsegate.plans import flow, gate, history, life, scoring, views_ops  # noqa: F401
 from pulsegate.plans.registry import query
 from pulsegate.plans.views import Tables
 

@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegate.functions.gate_rules import REPEAT_FLAG, RULES
-from pulsegate.functions.scores import count_of
+from pulsegate.functions.gate_rules import RULES
 from pulsegate.operators import quality
+from pulsegate.operators.routing import routing_losses as row_losses
+from pulsegate.plans.common import classified
 from pulsegate.plans.registry import RULE_SQL, query
 from pulsegate.plans.views import Tables
 from pulsegate.sources import readers, registry as schema_registry, sinks
@@ -13,10 +14,6 @@ from pulsegate.sources import readers, registry as schema_registry, sinks
 ROW_KEY = ["event_id", "source_sequence"]
 
 
-def classified(t: Tables):
-    return quality.classify_quality(t.telemetry())
-
-
 def _register_rule(number: int, rule) -> None:
     short = rule.rule_id
     view = "ranked" if short == "duplicate_event" else "telemetry"
@@ -26,7 +23,7 @@ def _register_rule(number: int, rule) -> None:
         frame = t.telemetry()
         if short == "duplicate_event":
             frame = quality.mark_repeats(frame)
-        return frame.where(rule.condition()).select(*ROW_KEY)
+        return frame.where(rule.fires()).select(*ROW_KEY)
 
     query(f"q{number:02d}_{short}", sql, (view,))(build)
 
@@ -229,7 +226,6 @@ def gate_lossless(t):
     judged = classified(t)
     kept = (quality.accepted(judged).select(*ROW_KEY)
             .unionByName(quality.quarantined(judged).select(*ROW_KEY)))
-    lost = received.exceptAll(kept).agg(F.count("*").cast("int")).scalar()
-    added = kept.exceptAll(received).agg(F.count("*").cast("int")).scalar()
-    return received.agg(F.count("*").alias("received"), F.max(lost).alias("lost"),
-                        F.max(added).alias("added"))
+    return row_losses(received, kept, ROW_KEY).select(
+        F.col("accepted_rows").alias("received"), F.col("lost_rows").alias("lost"),
+        F.col("added_rows").alias("added"))

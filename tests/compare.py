@@ -8,19 +8,20 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
-def oracle_rows(sql: str, folder: str) -> pd.DataFrame:
+def oracle_rows(sql: str, folder: str) -> tuple[list[str], list[tuple]]:
     connection = duckdb.connect()
     for name in TABLES:
         connection.execute(
             f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
-    return connection.execute(sql).fetchdf()
+    result = connection.execute(sql)
+    return [d[0] for d in result.description], result.fetchall()
 
 
 def _cell(value) -> str:
-    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
+    if value is None or (isinstance(value, float) and math.isnan(value)):
         return "NULL"
-    if isinstance(value, bool) or type(value).__name__ == "bool_":
-        return str(bool(value))
+    if isinstance(value, bool):
+        return str(value)
     if hasattr(value, "strftime"):
         return pd.Timestamp(value).isoformat()
     try:
@@ -32,15 +33,17 @@ def _cell(value) -> str:
     return repr(number + 0.0)
 
 
-def normalised(frame: pd.DataFrame) -> list[tuple[str, ...]]:
-    columns = sorted(frame.columns)
-    return sorted(tuple(_cell(v) for v in row) for row in frame[columns].itertuples(index=False))
+def normalised(columns: list[str], rows: list[tuple]) -> list[tuple[str, ...]]:
+    order = sorted(range(len(columns)), key=lambda n: columns[n])
+    return sorted(tuple(_cell(row[n]) for n in order) for row in rows)
 
 
 def assert_same(spark_frame, sql: str, folder: str) -> int:
-    got, want = spark_frame.toPandas(), oracle_rows(sql, folder)
-    assert sorted(got.columns) == sorted(want.columns)
-    left, right = normalised(got), normalised(want)
+    want_columns, want_rows = oracle_rows(sql, folder)
+    got_rows = [tuple(row) for row in spark_frame.collect()]
+    assert sorted(spark_frame.columns) == sorted(want_columns)
+    left = normalised(spark_frame.columns, got_rows)
+    right = normalised(want_columns, want_rows)
     assert len(left) == len(right), f"{len(left)} rows, expected {len(right)}"
     different = [(a, b) for a, b in zip(left, right) if a != b]
     assert not different, f"{len(different)} rows differ, first: {different[:2]}"
