@@ -108,7 +108,7 @@ def best_f1(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
 def downsample_curve(curve: DataFrame, max_points: int = 250,
                      chunks: int | None = None) -> DataFrame:
     """Every ceil(n / max)-th point along falling threshold, plus the last one."""
-    ranked = global_rank(curve, "threshold", [], descending=True, chunks=chunks)
+    ranked = global_rank(curve, [F.desc("threshold")], chunks)
     step = F.ceil(F.col("total") / max_points)
     keep = ((F.col("total") <= max_points) | (F.pmod(F.col("rank") - 1, step) == 0)
             | (F.col("rank") == F.col("total")))

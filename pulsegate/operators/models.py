@@ -86,7 +86,7 @@ def with_class_weight(frame: DataFrame, label: str) -> DataFrame:
     counts = frame.groupBy(label).agg(F.count("*").alias("_n"))
     total = frame.agg(F.count("*")).scalar()
     weights = counts.withColumn("class_weight", total / (2.0 * F.col("_n"))).drop("_n")
-    return frame.join(weights, label)
+    return frame.join(F.broadcast(weights), label)
 
 
 def baseline_forest(features: list[str], label: str, **settings) -> Pipeline:

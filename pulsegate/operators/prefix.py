@@ -2,8 +2,9 @@
 
 The input is first reduced to one row per (group, position), written once, and cut into
 chunks of about equal row counts by quantiles of the position. Chunk totals give every chunk
-its starting value, and the window then runs inside (group, chunk). No window holds more
-than about 1/chunks of all rows, however the rows spread over groups or positions.
+its starting value, which enters the chunk as one extra carry row; a window inside
+(group, chunk) does the rest. No window holds more than about 1/chunks of all rows, however
+the rows spread over groups or positions, and the rows are shuffled once.
 """
 from __future__ import annotations
 
@@ -14,82 +15,92 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegate.staging import stage
 
+CHUNK, CARRY = "_chunk", "_carry"
+
 
 def default_chunks(frame: DataFrame) -> int:
     return max(2, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def chunked(frame: DataFrame, position: str, chunks: int | None = None,
-            label: str = "ordered") -> DataFrame:
-    """Written copy of ``frame`` with ``_chunk``, an integer that grows with the position."""
-    written = stage(frame.withColumn("_position", F.col(position).cast("double")), label)
+def chunked(frame: DataFrame, position: str, chunks: int | None = None) -> DataFrame:
+    """Written copy of ``frame`` with an integer chunk that grows with the position."""
+    written = stage(frame.withColumn("_position", F.col(position).cast("double")), "ordered")
     count = chunks or default_chunks(frame)
     cuts = written.approxQuantile("_position", [n / count for n in range(1, count)], 0.1 / count)
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol="_position", outputCol="_bucket",
                             handleInvalid="keep")
     return (bucketizer.transform(written)
-            .withColumn("_chunk", F.col("_bucket").cast("int")).drop("_bucket", "_position"))
-
-
-def _same(left: str, right: str, columns: list[str]) -> Column:
-    return reduce(lambda a, b: a & b,
-                  [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
+            .withColumn(CHUNK, F.col("_bucket").cast("int")).drop("_bucket", "_position"))
 
 
 def attach_by_key(frame: DataFrame, small: DataFrame, columns: list[str],
                   bounded: bool = False) -> DataFrame:
     """Left join on NULL-safe equality, keeping one copy of the key columns.
 
-    ``bounded`` states that the small side has at most one row per chunk.
+    ``bounded`` states that the small side has a fixed upper number of rows.
     """
     extra = [c for c in small.columns if c not in columns]
     right = F.broadcast(small) if bounded else small
-    return (frame.alias("l").join(right.alias("r"), _same("l", "r", columns), "left")
+    same = reduce(lambda a, b: a & b, [
+        F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns])
+    return (frame.alias("l").join(right.alias("r"), same, "left")
             .select("l.*", *[F.col(f"r.{c}") for c in extra]))
 
 
-def _steps(group_by: list[str], descending: bool) -> tuple[Window, Window, Window]:
-    """Windows for: earlier chunks, all chunks, and rows inside one chunk (unordered yet)."""
-    chunk = F.col("_chunk").desc() if descending else F.col("_chunk").asc()
-    keys = group_by or [F.lit(0)]
-    earlier = (Window.partitionBy(*keys).orderBy(chunk)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    every = Window.partitionBy(*keys)
-    return earlier, every, Window.partitionBy(*group_by, "_chunk")
+def _chunk_order(group_by: list[str], descending: bool = False) -> Window:
+    """Chunks of one group in order; at most one row per chunk."""
+    chunk = F.col(CHUNK).desc() if descending else F.col(CHUNK).asc()
+    return Window.partitionBy(*(group_by or [F.lit(0)])).orderBy(chunk)
+
+
+def _with_carries(rows: DataFrame, carries: DataFrame) -> DataFrame:
+    return (rows.withColumn(CARRY, F.lit(False))
+            .unionByName(carries.withColumn(CARRY, F.lit(True)), allowMissingColumns=True))
+
+
+def _accumulate(rows: DataFrame, group_by: list[str], order: list[Column], values: list[str],
+                descending_chunks: bool) -> DataFrame:
+    """run_x and total_x for chunked rows; ``order`` sorts the rows of one chunk."""
+    by_chunk = _chunk_order(group_by, descending_chunks)
+    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*(group_by or [F.lit(0)]))
+    sums = rows.groupBy(*group_by, CHUNK).agg(*[F.sum(v).alias(v) for v in values])
+    carries = sums.select(
+        *group_by, CHUNK,
+        *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(v) for v in values],
+        *[F.sum(v).over(every).alias(f"total_{v}") for v in values])
+    inside = (Window.partitionBy(*group_by, CHUNK).orderBy(F.col(CARRY).desc(), *order)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (_with_carries(rows, carries)
+            .withColumns({**{f"run_{v}": F.sum(v).over(inside) for v in values},
+                          **{f"total_{v}": F.first(f"total_{v}").over(inside)
+                             for v in values}})
+            .where(~F.col(CARRY)).drop(CARRY, CHUNK))
 
 
 def running_totals(frame: DataFrame, group_by: list[str], position: str, values: list[str],
-                   descending: bool = False, chunks: int | None = None,
-                   tie_break: list[Column] | None = None) -> DataFrame:
+                   descending: bool = False, chunks: int | None = None) -> DataFrame:
     """Add ``run_x`` (inclusive running sum) and ``total_x`` for each value column x.
 
-    ``frame`` holds one row per (group, position) unless ``tie_break`` orders equal positions.
+    ``frame`` holds one row per (group, position).
     """
     rows = chunked(frame, position, chunks)
-    earlier, every, inside = _steps(group_by, descending)
-    sums = rows.groupBy(*group_by, "_chunk").agg(
-        *[F.sum(v).alias(f"_sum_{v}") for v in values])
-    starts = sums.select(
-        *group_by, "_chunk",
-        *[F.coalesce(F.sum(f"_sum_{v}").over(earlier), F.lit(0)).alias(f"_start_{v}")
-          for v in values],
-        *[F.sum(f"_sum_{v}").over(every).alias(f"total_{v}") for v in values])
-    rows = attach_by_key(rows, starts, [*group_by, "_chunk"], bounded=not group_by)
     first = F.col(position).desc() if descending else F.col(position).asc()
-    upto = (inside.orderBy(first, *(tie_break or []))
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (rows.withColumns({
-        f"run_{v}": F.col(f"_start_{v}") + F.sum(v).over(upto) for v in values})
-        .drop("_chunk", *[f"_start_{v}" for v in values]))
-
-
-def global_rank(frame: DataFrame, position: str, tie_break: list[Column],
-                descending: bool = False, group_by: list[str] | None = None,
-                chunks: int | None = None) -> DataFrame:
-    """Add ``rank`` 1..n along the position (ties ordered by ``tie_break``) and ``total``."""
-    ranked = running_totals(frame.withColumn("one", F.lit(1)), group_by or [], position, ["one"],
-                            descending, chunks, tie_break)
+    return _accumulate(rows, group_by, [first], values, descending)
+
+
+def global_rank(frame: DataFrame, order: list[Column], chunks: int | None = None) -> DataFrame:
+    """Add ``rank`` 1..n in the given total order, and ``total``.
+
+    Rows are range-partitioned on the whole order, so many rows with an equal first key are
+    split by the following ones. The result is written before it is used twice, because the
+    ranges are drawn from a sample.
+    """
+    count = chunks or default_chunks(frame)
+    ranged = (stage(frame, "unranked").repartitionByRange(count, *order)
+              .withColumn(CHUNK, F.spark_partition_id()).withColumn("one", F.lit(1)))
+    ranked = _accumulate(stage(ranged, "ranged"), [], order, ["one"], False)
     return (ranked.drop("one").withColumnRenamed("run_one", "rank")
             .withColumnRenamed("total_one", "total"))
 
@@ -102,35 +113,37 @@ def running_backlog(frame: DataFrame, group_by: list[str], position: str, net: s
     ``S - min(0, m)``. Chunks combine as (s1, m1), (s2, m2) -> (s1 + s2, min(m1, s1 + m2)).
     """
     rows = chunked(frame, position, chunks)
-    earlier, _, inside = _steps(group_by, False)
-    upto = (inside.orderBy(position)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("_s", F.sum(net).over(upto))
-    rows = rows.withColumn("_m", F.min("_s").over(upto))
-    ends = (rows.groupBy(*group_by, "_chunk")
-            .agg(F.sum(net).alias("_sum"), F.min("_s").alias("_low"))
-            .withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
-            .withColumn("_floor", F.min(F.col("_start") + F.col("_low")).over(earlier))
-            .select(*group_by, "_chunk", "_start", "_floor"))
-    rows = attach_by_key(rows, ends, [*group_by, "_chunk"], bounded=not group_by)
-    lowest = F.least(F.lit(0.0), "_floor", F.col("_start") + F.col("_m"))
-    return (rows.withColumn(result, F.greatest(
-        F.lit(0.0), F.col("_start") + F.col("_s") - lowest))
-        .drop("_s", "_m", "_start", "_floor", "_chunk"))
+    before = _chunk_order(group_by).rowsBetween(Window.unboundedPreceding, -1)
+    inside = (Window.partitionBy(*group_by, CHUNK).orderBy(F.col(CARRY).desc(), position)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = (Window.partitionBy(*group_by, CHUNK).orderBy(position)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    carries = (rows.withColumn("_s", F.sum(net).over(within))
+               .groupBy(*group_by, CHUNK).agg(F.sum(net).alias("_sum"), F.min("_s").alias("_low"))
+               .withColumn(net, F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+               .withColumn("_floor", F.min(F.col(net) + F.col("_low")).over(before))
+               .select(*group_by, CHUNK, net, F.least(F.lit(0.0), "_floor").alias("_floor")))
+    return (_with_carries(rows, carries)
+            .withColumn("_s", F.sum(net).over(inside))
+            .withColumn("_m", F.min(F.when(F.col(CARRY), F.col("_floor"))
+                                    .otherwise(F.col("_s"))).over(inside))
+            .where(~F.col(CARRY))
+            .withColumn(result, F.col("_s") - F.col("_m"))
+            .drop(CARRY, CHUNK, "_s", "_m", "_floor"))
 
 
 def next_after(marks: DataFrame, group_by: list[str], position: str, value: str, result: str,
                chunks: int | None = None) -> DataFrame:
     """Add the smallest non-NULL ``value`` found strictly later in the order of ``position``.
 
-    ``marks`` holds one row per (group, position); ``value`` grows with the position.
+    ``marks`` holds one row per (group, position).
     """
     rows = chunked(marks, position, chunks)
-    earlier, _, inside = _steps(group_by, True)
-    ends = (rows.groupBy(*group_by, "_chunk").agg(F.min(value).alias("_low"))
-            .withColumn("_beyond", F.min("_low").over(earlier))
-            .select(*group_by, "_chunk", "_beyond"))
-    rows = attach_by_key(rows, ends, [*group_by, "_chunk"], bounded=not group_by)
-    later = inside.orderBy(position).rowsBetween(1, Window.unboundedFollowing)
-    return (rows.withColumn(result, F.coalesce(F.min(value).over(later), F.col("_beyond")))
-            .drop("_beyond", "_chunk"))
+    beyond = _chunk_order(group_by, descending=True).rowsBetween(Window.unboundedPreceding, -1)
+    carries = (rows.groupBy(*group_by, CHUNK).agg(F.min(value).alias("_low"))
+               .select(*group_by, CHUNK, F.min("_low").over(beyond).alias(value)))
+    later = (Window.partitionBy(*group_by, CHUNK).orderBy(F.col(CARRY).asc(), position)
+             .rowsBetween(1, Window.unboundedFollowing))
+    return (_with_carries(rows, carries)
+            .withColumn(result, F.min(value).over(later))
+            .where(~F.col(CARRY)).drop(CARRY, CHUNK))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegate.functions.scores import count_of
-from pulsegate.operators.prefix import chunked, global_rank
+from pulsegate.operators.prefix import global_rank
 from pulsegate.operators.routing import health_labelled
 
 MAX_ALERTS = 1000
@@ -21,28 +21,21 @@ def newest_first(frame: DataFrame) -> DataFrame:
     return frame.orderBy(F.desc("event_time"), F.desc("event_id"))
 
 
-def first_rows(frame: DataFrame, count: int, position: str, tie_break: str,
+def first_rows(frame: DataFrame, count: int, order: list[str],
                chunks: int | None = None) -> DataFrame:
-    """The first ``count`` rows in (position, tie_break) order, exact and not gathered.
+    """The first ``count`` rows in the order of columns that together are unique.
 
-    Chunk counts locate the chunk in which the count is reached; earlier chunks pass whole
-    and only that one is ranked.
+    Only the order columns are ranked; the row at the count gives the cut, and the wide rows
+    are filtered by it without a shuffle.
     """
-    rows = chunked(frame, position, chunks, "first-rows")
-    sizes = sorted((r["_chunk"], r["count"]) for r in
-                   rows.groupBy("_chunk").count().collect())  # one row per chunk
-    taken, boundary = 0, None
-    for chunk, size in sizes:
-        if taken + size >= count:
-            boundary = chunk
-            break
-        taken += size
-    if boundary is None:
-        return rows.drop("_chunk")
-    whole = rows.where(F.col("_chunk") < boundary)
-    part = (rows.where(F.col("_chunk") == boundary)
-            .orderBy(position, tie_break).limit(count - taken))
-    return whole.unionByName(part).drop("_chunk")
+    ranked = global_rank(frame.select(*order), [F.col(c) for c in order], chunks)
+    cut = (ranked.where(F.col("rank") == count)
+           .select(*[F.col(c).cast("string") for c in order]).first())
+    if cut is None:
+        return frame
+    limit = F.struct(*[F.lit(cut[c]).cast(kind).alias(c)
+                       for c, kind in frame.select(*order).dtypes])
+    return frame.where(F.struct(*order) <= limit)
 
 
 def recent_alerts(scored: DataFrame, probability: str, threshold: float,
@@ -70,8 +63,8 @@ def health_view(latest: DataFrame, probability: str, threshold: float,
     warnings first.
     """
     labelled = health_labelled(latest, probability, threshold)
-    return (global_rank(labelled, probability, [F.col("server_id")], descending=True,
-                        chunks=chunks).drop("total"))
+    return global_rank(labelled, [F.desc(probability), F.asc("server_id")],
+                       chunks).drop("total")
 
 
 def health_summary(labelled: DataFrame) -> DataFrame:

@@ -124,7 +124,8 @@ def stratified_folds(frame: DataFrame, label: str, key: str, folds: int = 10) ->
               .select(label, "_piece",
                       F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")))
     inside = Window.partitionBy(label, "_piece").orderBy("_digest", F.col(key))
-    return (attach_by_key(pieces, starts, [label, "_piece"])
+    # at most 4096 rows per label
+    return (attach_by_key(pieces, starts, [label, "_piece"], bounded=True)
             .withColumn("fold", F.pmod(F.col("_start") + F.row_number().over(inside) - 1,
                                        F.lit(folds)).cast("int"))
             .drop("_digest", "_piece", "_start"))

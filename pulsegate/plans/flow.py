@@ -288,9 +288,8 @@ def burst_multiplier(t):
     SELECT event_id, source_sequence, event_time FROM telemetry
     ORDER BY event_time, source_sequence LIMIT 500""", ("telemetry",))
 def first_rows(t):
-    rows = t.telemetry().select(*KEY, "event_time",
-                                F.unix_micros(F.col("event_time").cast("timestamp")).alias("at"))
-    return serving.first_rows(rows, 500, "at", "source_sequence").drop("at")
+    rows = t.telemetry().select(*KEY, "event_time")
+    return serving.first_rows(rows, 500, ["event_time", "source_sequence"])
 
 
 @query("l12_ordered_series", """
