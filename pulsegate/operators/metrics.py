@@ -75,8 +75,9 @@ def precision_recall_points(points: DataFrame) -> DataFrame:
     walked = points.select(
         "threshold", share(F.col("run_pos"), F.col("total_pos")).alias("recall"),
         share(F.col("run_pos"), F.col("run_pos") + F.col("run_neg")).alias("precision"))
-    start = points.limit(1).select(F.lit(None).cast("double").alias("threshold"),
-                                   F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
+    start = points.sparkSession.range(1).select(
+        F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("recall"),
+        F.lit(1.0).alias("precision"))
     return start.unionByName(walked)
 
 

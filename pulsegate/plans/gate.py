@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegate.functions.gate_rules import RULES
+from pulsegate.functions.gate_rules import REPEAT_FLAG, RULES
 from pulsegate.operators import quality
 from pulsegate.operators.routing import routing_losses as row_losses
 from pulsegate.plans.common import classified
@@ -32,6 +32,15 @@ for _number, _rule in enumerate(RULES, start=1):
     _register_rule(_number, _rule)
 
 
+@query("q13_duplicate_event_two_pass",
+       f"SELECT event_id, source_sequence FROM ranked WHERE {RULE_SQL['duplicate_event']}",
+       ("ranked",))
+def duplicate_event_two_pass(t):
+    """The strategy large inputs get, checked on its own."""
+    return (quality.mark_repeats(t.telemetry(), "staged").where(REPEAT_FLAG)
+            .select(*ROW_KEY))
+
+
 @query("q17_rule_evidence", """
     SELECT event_id, source_sequence, reasons AS quality_failure_type, categories,
       CAST(rule_count AS INT) AS quality_rule_count FROM classified""", ("classified",))
