@@ -19,7 +19,8 @@ CHUNK, CARRY = "_chunk", "_carry"
 
 
 def default_chunks(frame: DataFrame) -> int:
-    return max(2, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Twice the shuffle partitions, so that chunks even out over tasks."""
+    return 2 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def chunked(frame: DataFrame, position: str, chunks: int | None = None) -> DataFrame:

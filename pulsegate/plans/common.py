@@ -40,7 +40,8 @@ def evaluation(t: Tables) -> DataFrame:
 
 
 def hourly(t: Tables, by: list[str] | None = None) -> DataFrame:
-    return workload.workload_series(routed(t), "hour", by)
+    series = workload.workload_series(routed(t), "hour", by)
+    return series.withColumn("event_minute", F.col("event_minute").cast("timestamp_ntz"))
 
 
 def rul_truth(t: Tables) -> DataFrame:

@@ -101,7 +101,7 @@ def task_profile(t):
                            "profile_route", "profile_units")
 
 
-@query("a05_routing_report", """
+@query("a5_routing_report", """
     SELECT *, round(correct_rows / labelled_rows, 6) AS routing_accuracy FROM (
       SELECT count(*) AS routed_rows, count(*) FILTER (WHERE route = 'stream') AS stream_rows,
         count(*) FILTER (WHERE route = 'batch') AS batch_rows,
@@ -114,9 +114,9 @@ def routing_report(t):
     return rounded(report, "workload_units", digits=4)
 
 
-@query("a06_routing_lossless", """
-    SELECT count(*) AS accepted_rows, count(*) AS routed_rows, 0 AS lost_rows,
-      0 AS added_rows, TRUE AS lossless FROM routed""", ("routed",))
+@query("a6_routing_lossless", """
+    SELECT count(*) AS accepted_rows, count(*) AS routed_rows, CAST(0 AS BIGINT) AS lost_rows,
+      CAST(0 AS BIGINT) AS added_rows, TRUE AS lossless FROM routed""", ("routed",))
 def routing_lossless(t):
     kept = accepted(t)
     return routing.routing_losses(kept, routing.route_tasks(kept), KEY)
@@ -130,21 +130,21 @@ _GROUPED = """SELECT time_bucket(INTERVAL '6' HOUR, event_time, TIMESTAMP '2024-
     FROM routed GROUP BY 1, 2, 3"""
 
 
-@query("a07_window_aggregate", _GROUPED, ("routed",))
+@query("a7_window_aggregate", _GROUPED, ("routed",))
 def window_aggregate(t):
     grouped = workload.window_aggregate(routed(t), "6 hours")
     return rounded(rounded(grouped, "response_p95_mean", "error_rate_mean"),
                    "request_rate_sum", digits=4)
 
 
-@query("a08_window_summary", f"""
+@query("a8_window_summary", f"""
     SELECT CAST(sum(records) AS BIGINT) AS input_rows, count(*) AS output_groups
     FROM ({_GROUPED})""", ("routed",))
 def window_summary(t):
     return workload.window_summary(workload.window_aggregate(routed(t), "6 hours"))
 
 
-@query("a09_path_comparison", """
+@query("a9_path_comparison", """
     SELECT path, load, CAST(sum(n) AS BIGINT) AS input_rows, count(*) AS output_groups FROM (
       SELECT p.path, l.load, time_bucket(INTERVAL '6' HOUR, event_time,
           TIMESTAMP '2024-01-01') AS w, data_center_id, service_name, count(*) AS n
@@ -185,8 +185,9 @@ def capacity_plan(t):
 
 
 @query("w15_elapsed_minutes", """
-    SELECT event_minute, COALESCE(greatest(1.0, date_diff('minute',
-      lag(event_minute) OVER (ORDER BY event_minute), event_minute)), 1.0) AS elapsed_minutes
+    SELECT event_minute, COALESCE(greatest(1.0E0, date_diff('minute',
+      lag(event_minute) OVER (ORDER BY event_minute), event_minute)), 1.0E0)
+      AS elapsed_minutes
     FROM series""", ("series",))
 def elapsed_minutes(t):
     return workload.with_elapsed(hourly(t)).select("event_minute", "elapsed_minutes")
@@ -270,7 +271,7 @@ BURSTS = [{"start_day": 7, "start_hour": 18, "duration_minutes": 60, "multiplier
           {"start_day": 24, "start_hour": 20, "duration_minutes": 90, "multiplier": 10}]
 
 
-@query("j06_burst_multiplier", """
+@query("j6_burst_multiplier", """
     SELECT event_id, source_sequence,
       CAST(CASE WHEN event_time >= TIMESTAMP '2024-01-07 18:00:00'
              AND event_time < TIMESTAMP '2024-01-07 19:00:00' THEN 5
@@ -284,7 +285,7 @@ def burst_multiplier(t):
         *KEY, "burst_multiplier")
 
 
-@query("l01_first_rows", """
+@query("l1_first_rows", """
     SELECT event_id, source_sequence, event_time FROM telemetry
     ORDER BY event_time, source_sequence LIMIT 500""", ("telemetry",))
 def first_rows(t):

@@ -25,7 +25,7 @@ def _register_rule(number: int, rule) -> None:
             frame = quality.mark_repeats(frame)
         return frame.where(rule.fires()).select(*ROW_KEY)
 
-    query(f"q{number:02d}_{short}", sql, (view,))(build)
+    query(f"q{number}_{short}", sql, (view,))(build)
 
 
 for _number, _rule in enumerate(RULES, start=1):
@@ -136,7 +136,7 @@ def contract_check(t):
     return quality.contract_report(readers.as_raw_json(t.telemetry(), []))
 
 
-@query("s02_parse_json", """
+@query("s2_parse_json", """
     SELECT event_id, props AS raw_json, CAST(json_extract(props, '$.k') AS BIGINT) AS k
     FROM events""")
 def parse_json(t):
@@ -159,19 +159,19 @@ def registry_versions(t):
     return counts.join(versions, "schema_version", "left")
 
 
-@query("k04_message_encoding")
+@query("k4_message_encoding")
 def message_encoding(t):
     return sinks.as_messages(t.telemetry())
 
 
-@query("a01_batch_counters", """
+@query("a1_batch_counters", """
     SELECT count(*) AS received, count(*) FILTER (WHERE is_valid) AS accepted,
       count(*) FILTER (WHERE NOT is_valid) AS quarantined FROM classified""", ("classified",))
 def batch_counters(t):
     return quality.batch_counters(classified(t))
 
 
-@query("a02_detection_report", """
+@query("a2_detection_report", """
     SELECT *, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall,
       round(tn / (tn + fp), 6) AS clean_record_preservation
     FROM (SELECT count(*) AS received, count(*) FILTER (WHERE is_valid) AS accepted,
@@ -208,19 +208,19 @@ def _category_rounded(frame):
                               "recall": F.round("recall", 6)})
 
 
-@query("a03_category_detection", _CATEGORY_SQL.format(
+@query("a3_category_detection", _CATEGORY_SQL.format(
     truth="COALESCE(k.injected_defect_category = c.category, FALSE)"), ("classified",))
 def category_detection(t):
     return _category_rounded(quality.category_report(classified(t)))
 
 
-@query("a03_category_detection_legacy", _CATEGORY_SQL.format(
+@query("a3_category_detection_legacy", _CATEGORY_SQL.format(
     truth="(k.injected_defect_category = c.category)"), ("classified",))
 def category_detection_legacy(t):
     return _category_rounded(quality.category_report(classified(t), legacy_nulls=True))
 
 
-@query("a04_rule_counts", """
+@query("a4_rule_counts", """
     SELECT rule_id, count(*) AS failures
     FROM (SELECT unnest(string_split(reasons, '|')) AS rule_id FROM classified
           WHERE NOT is_valid) GROUP BY rule_id""", ("classified",))
@@ -228,8 +228,9 @@ def rule_counts(t):
     return quality.rule_counts(classified(t))
 
 
-@query("u05_gate_lossless", """
-    SELECT count(*) AS received, 0 AS lost, 0 AS added FROM telemetry""", ("telemetry",))
+@query("u5_gate_lossless", """
+    SELECT count(*) AS received, CAST(0 AS BIGINT) AS lost,
+      CAST(0 AS BIGINT) AS added FROM telemetry""", ("telemetry",))
 def gate_lossless(t):
     received = t.telemetry().select(*ROW_KEY)
     judged = classified(t)

@@ -37,14 +37,14 @@ def _register_rolling(key: str, names: list[str]) -> None:
     query(key, sql, ("accepted",))(build)
 
 
-_register_rolling("w05_rolling_5m", ["error_rate_mean_5m", "response_p95_mean_5m"])
-_register_rolling("w06_rolling_15m", [
+_register_rolling("w5_rolling_5m", ["error_rate_mean_5m", "response_p95_mean_5m"])
+_register_rolling("w6_rolling_15m", [
     "error_rate_mean_15m", "response_p95_mean_15m", "timeout_rate_mean_15m",
     "queue_depth_mean_15m", "cpu_util_mean_15m"])
-_register_rolling("w07_rolling_max", ["error_rate_max_15m"])
+_register_rolling("w7_rolling_max", ["error_rate_max_15m"])
 
 
-@query("w08_rolling_delta", f"""
+@query("w8_rolling_delta", f"""
     SELECT event_id, source_sequence,
       round(error_rate - {_over('avg(error_rate)', LONG)}, 6) AS error_rate_delta_15m,
       round(response_p95_ms - {_over('avg(response_p95_ms)', LONG)}, 6)
@@ -56,18 +56,18 @@ def rolling_delta(t):
     return frame.select(*KEY, *[(F.round(n, 6) + 0.0).alias(n) for n in names])
 
 
-@query("p00_experiment_day", "SELECT event_id, source_sequence, day FROM scored", ("scored",))
+@query("p0_experiment_day", "SELECT event_id, source_sequence, day FROM scored", ("scored",))
 def experiment_day(t):
     return scored(t).select(*KEY, "day")
 
 
-@query("p01_day_splits", """
+@query("p1_day_splits", """
     SELECT event_id, split, day BETWEEN 29 AND 30 AS is_recent FROM splits""", ("splits",))
 def day_splits(t):
     return split_rows(t).select("event_id", "split", "is_recent")
 
 
-@query("p03_feedback_split", """
+@query("p3_feedback_split", """
     SELECT event_id, substr(md5(event_id), 1, 1) < 'b' AS for_training FROM splits
     WHERE day BETWEEN 18 AND 21""", ("splits",))
 def feedback_split(t):
@@ -83,14 +83,14 @@ _UNIT = ("((instr('0123456789abcdef', substr(md5(event_id), 1, 1)) - 1) / 16.0E0
          " + (instr('0123456789abcdef', substr(md5(event_id), 2, 1)) - 1) / 256.0E0)")
 
 
-@query("p04_keep_positives", f"""
+@query("p4_keep_positives", f"""
     SELECT event_id, failure_within_30min FROM accepted WHERE failure_within_30min = 1
       OR (failure_within_30min = 0 AND {_UNIT} < 0.08)""", ("accepted",))
 def keep_positives(t):
     return splits.keep_positives(accepted(t), unit=_unit()).select("event_id", TARGET)
 
 
-@query("p05_recency_weight", """
+@query("p5_recency_weight", """
     SELECT event_id, CASE WHEN day BETWEEN 18 AND 21 THEN 4.0E0 ELSE 1.0E0 END
       AS sample_weight FROM scored""", ("scored",))
 def recency_weight(t):
@@ -101,7 +101,7 @@ def recency_weight(t):
 _FEATURES_WITH_CACHE = [*BASE_FEATURES, "cache_hit_ratio"]
 
 
-@query("p06_complete_rows", """
+@query("p6_complete_rows", """
     SELECT event_id, source_sequence FROM telemetry WHERE cpu_util_pct IS NOT NULL
       AND memory_util_pct IS NOT NULL AND disk_util_pct IS NOT NULL
       AND response_p50_ms IS NOT NULL AND error_rate IS NOT NULL
@@ -111,14 +111,14 @@ def complete_rows(t):
     return splits.complete_rows(t.telemetry(), _FEATURES_WITH_CACHE).select(*KEY)
 
 
-@query("p07_three_way_split", f"""
+@query("p7_three_way_split", f"""
     SELECT event_id, CASE WHEN {_UNIT} < 0.6 THEN 'train' WHEN {_UNIT} < 0.8
       THEN 'validation' ELSE 'test' END AS part FROM accepted""", ("accepted",))
 def three_way_split(t):
     return splits.three_way_split(accepted(t), _unit()).select("event_id", "part")
 
 
-@query("p08_stratified_folds", """
+@query("p8_stratified_folds", """
     SELECT event_id, failure_within_30min, CAST((row_number() OVER (
       PARTITION BY failure_within_30min ORDER BY md5(event_id), event_id) - 1) % 10 AS INT)
       AS fold FROM accepted""", ("accepted",))
@@ -158,20 +158,20 @@ def split_priors(t):
     return rounded(splits.split_priors(split_rows(t)), "positive_rate", "prior_multiple")
 
 
-@query("u01_adaptive_training", """
+@query("u1_adaptive_training", """
     SELECT event_id, split FROM splits WHERE split IN ('pre_drift_train', 'feedback_train')""",
        ("splits",))
 def adaptive_training(t):
     return splits.adaptive_training(split_rows(t), True).select("event_id", "split")
 
 
-@query("u02_drop_repeats", "SELECT DISTINCT event_id FROM telemetry", ("telemetry",))
+@query("u2_drop_repeats", "SELECT DISTINCT event_id FROM telemetry", ("telemetry",))
 def drop_repeats(t):
     return t.telemetry().dropDuplicates(["event_id"]).select("event_id")
 
 
-@query("u04_split_overlap", """
-    SELECT count(DISTINCT event_id) AS ids, 0 AS ids_in_two_splits FROM splits
+@query("u4_split_overlap", """
+    SELECT count(DISTINCT event_id) AS ids, CAST(0 AS BIGINT) AS ids_in_two_splits FROM splits
     WHERE split IS NOT NULL""", ("splits",))
 def split_overlap(t):
     return splits.split_overlap_counts(split_rows(t))

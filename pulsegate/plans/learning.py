@@ -38,17 +38,24 @@ def _rul_report(t, pipeline):
         "nasa_penalty": labels.asymmetric_penalty(error)}))
 
 
-@query("m02_linear_rul")
+@query("m2_linear_rul")
 def linear_rul(t):
     return _rul_report(t, models.linear_rul(LIFE_FEATURES))
 
 
-@query("m03_boosted_rul")
+@query("m3_boosted_rul")
 def boosted_rul(t):
     return _rul_report(t, models.boosted_rul(LIFE_FEATURES, maxIter=5))
 
 
-@query("m05_forest_folds")
+@query("m4_floored_predictions")
+def floored_predictions(t):
+    train, test = _life(t)
+    model = models.linear_rul(LIFE_FEATURES).fit(train)
+    return models.predict_rul(model, test, ["unit_id", "cycle"])
+
+
+@query("m5_forest_folds")
 def forest_folds(t):
     train, _ = _life(t)
     keyed = train.withColumn("row_key", F.concat_ws("-", "unit_id", "cycle"))
@@ -74,17 +81,17 @@ def _compared(t, names):
     return models.compare_models(chosen, folded, test)
 
 
-@query("m06_ridge_logistic")
+@query("m6_ridge_logistic")
 def ridge_logistic(t):
     return _compared(t, ["logistic_regression"])
 
 
-@query("m07_boosted_classifier")
+@query("m7_boosted_classifier")
 def boosted_classifier(t):
     return _compared(t, ["gradient_boosting"])
 
 
-@query("m08_model_comparison")
+@query("m8_model_comparison")
 def model_comparison(t):
     return _compared(t, ["logistic_regression", "random_forest", "gradient_boosting"])
 
@@ -93,16 +100,24 @@ def adaptive_run(t) -> AdaptiveRun:
     return AdaptiveRun(split_rows(t), WINDOWS, True, BASE_FEATURES, TARGET, **SMALL)
 
 
-@query("m09_adaptive_variants")
+@query("m9_adaptive_variants")
 def adaptive_variants(t):
     return adaptive_run(t).variant_report()
 
 
-@query("m09_adaptive_stability")
+@query("m9_adaptive_stability")
 def adaptive_stability(t):
     return adaptive_run(t).stability()
 
 
+@query("m10_calibrated_threshold")
+def calibrated_threshold(t):
+    run = adaptive_run(t)
+    held = models.scored_by(run.adaptive, run.rows.where("split = 'feedback_calibration'"))
+    return metrics.metrics_at(held, "p1", run.threshold).withColumn(
+        "threshold", F.lit(run.threshold))
+
+
 @query("m11_health_snapshot")
 def health_snapshot(t):
     return adaptive_run(t).health_snapshot()

@@ -15,7 +15,7 @@ TWO_DAYS = 2 * 24 * 60.0
 COLUMNS = ["unit_id", "cycle", "setting_1", "sensor_1", "sensor_2"]
 
 
-@query("s06_trajectory_text", "SELECT * FROM trajectory", ("trajectory",))
+@query("s6_trajectory_text", "SELECT * FROM trajectory", ("trajectory",))
 def trajectory_text(t):
     lines = t.trajectory().select(F.concat(
         F.lit("  "), F.concat_ws("   ", *[F.col(c).cast("string") for c in COLUMNS]),
@@ -23,7 +23,7 @@ def trajectory_text(t):
     return readers.parse_trajectory(lines, COLUMNS)
 
 
-@query("s07_ordered_labels", """
+@query("s7_ordered_labels", """
     SELECT event_id, CAST(position AS BIGINT) AS position,
       CASE position WHEN 1 THEN value WHEN 2 THEN CAST(user_id AS DOUBLE)
         ELSE CAST(event_id % 125 AS DOUBLE) END AS value
@@ -53,7 +53,7 @@ def _errors(t):
     return labels.rul_errors(rul_predictions(t), truth)
 
 
-@query("j01_predictions_with_truth", f"""
+@query("j1_predictions_with_truth", f"""
     SELECT unit_id, predicted_rul, actual_rul, error, absolute_error FROM ({_ERRORS})""",
        ("trajectory",))
 def predictions_with_truth(t):
@@ -87,12 +87,12 @@ _TEST = f"""SELECT f.* EXCLUDE (terminal), rul + terminal - cycle AS actual_rul,
     FROM ({_TERMINAL}) f JOIN ({_TRUTH}) r ON f.unit_id = r.unit_id"""
 
 
-@query("j02_backfilled_rul", _TEST, ("trajectory",))
+@query("j2_backfilled_rul", _TEST, ("trajectory",))
 def backfilled_rul(t):
     return labels.label_test(t.trajectory(), rul_truth(t), 30)
 
 
-@query("j03_label_reconciliation", """
+@query("j3_label_reconciliation", """
     SELECT count(*) FILTER (WHERE unit_id % 7 = 0) AS units_without_label,
       count(*) FILTER (WHERE unit_id % 11 = 0) AS labels_without_unit
     FROM (SELECT DISTINCT unit_id FROM trajectory)""", ("trajectory",))
@@ -103,14 +103,14 @@ def label_reconciliation(t):
     return labels.reconcile_counts(t.trajectory(), known.unionByName(stray))
 
 
-@query("w02_train_rul", f"""
+@query("w2_train_rul", f"""
     SELECT unit_id, cycle, least(CAST(terminal - cycle AS DOUBLE), 60.0E0) AS label
     FROM ({_TERMINAL})""", ("trajectory",))
 def train_rul(t):
     return labels.with_train_rul(t.trajectory(), 60.0).select("unit_id", "cycle", "label")
 
 
-@query("w03_last_cycle", f"SELECT * EXCLUDE (terminal) FROM ({_TERMINAL}) "
+@query("w3_last_cycle", f"SELECT * EXCLUDE (terminal) FROM ({_TERMINAL}) "
                          "WHERE cycle = terminal", ("trajectory",))
 def last_cycle(t):
     return labels.final_test_cycles(t.trajectory())
@@ -121,7 +121,7 @@ _TRAIN = f"""SELECT unit_id, cycle, terminal - cycle AS actual_rul,
     FROM ({_TERMINAL})"""
 
 
-@query("w04_horizon_label", _TRAIN, ("trajectory",))
+@query("w4_horizon_label", _TRAIN, ("trajectory",))
 def horizon_label(t):
     return labels.label_train(t.trajectory(), 30).select(
         "unit_id", "cycle", "actual_rul", "failure_within_horizon")
@@ -145,7 +145,7 @@ def rul_bands(t):
     return labels.rul_bands(labels.label_test(t.trajectory(), rul_truth(t), 30))
 
 
-@query("u03_distinct_engines", """
+@query("u3_distinct_engines", """
     SELECT count(DISTINCT unit_id) AS engines FROM trajectory""", ("trajectory",))
 def distinct_engines(t):
     return t.trajectory().select("unit_id").distinct().agg(F.count("*").alias("engines"))
@@ -159,7 +159,7 @@ _LEAD = f"""SELECT event_id, source_sequence,
       (epoch_us(n) - epoch_us(event_time)) / 60000000.0E0 AS lead FROM ({_NEXT})"""
 
 
-@query("j04_future_incident", f"""
+@query("j4_future_incident", f"""
     SELECT event_id, source_sequence, CASE WHEN n IS NULL THEN 0 ELSE 1 END AS future_incident
     FROM ({_NEXT})""", ("telemetry", "incidents"))
 def future_incident(t):
@@ -171,14 +171,14 @@ def _leads(t):
     return labels.lead_minutes(t.telemetry(), t.incidents(), TWO_DAYS)
 
 
-@query("j05_lead_minutes", f"""
+@query("j5_lead_minutes", f"""
     SELECT event_id, source_sequence, round(lead, 6) AS lead_minutes FROM ({_LEAD})""",
        ("telemetry", "incidents"))
 def lead_minutes(t):
     return rounded(_leads(t).select(*KEY, "lead_minutes"), "lead_minutes")
 
 
-@query("p09_precursor_severity", f"""
+@query("p9_precursor_severity", f"""
     SELECT event_id, source_sequence, round(COALESCE(least(1.0E0, greatest(0.0E0,
       1 - lead / 2880.0E0)), 0.0E0), 6) AS severity FROM ({_LEAD})""",
        ("telemetry", "incidents"))

@@ -85,7 +85,7 @@ _VIEWS = {
             + memory_util_pct * 0.018E0 + response_p95_ms * 0.003E0 + error_rate * 7.0E0
             + queue_depth * 0.025E0))), 4) AS p_static,
           round(1 / (1 + exp(-(response_p50_ms - 90.0E0) / 20.0E0)), 4) AS p_adaptive,
-          date_diff('day', DATE '2024-01-01', CAST(event_time AS DATE)) + 1 AS day
+          CAST(date_diff('day', DATE '2024-01-01', CAST(event_time AS DATE)) + 1 AS INT) AS day
         FROM accepted"""),
     "splits": (["scored"], """
         SELECT *, CASE WHEN day BETWEEN 1 AND 10 THEN 'pre_drift_train'

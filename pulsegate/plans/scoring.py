@@ -176,7 +176,7 @@ def threshold_curve(t):
     return curve(t)
 
 
-@query("l09_curve_downsample", f"""
+@query("l9_curve_downsample", f"""
     SELECT threshold, {_CURVE_SQL} FROM (
       SELECT *, row_number() OVER (ORDER BY threshold DESC) AS i, count(*) OVER () AS m
       FROM ({_points("p_adaptive")}))
@@ -300,7 +300,7 @@ def binary_summary(t):
                    "roc_auc", "pr_auc")
 
 
-@query("j07_attach_predictions", """
+@query("j7_attach_predictions", """
     SELECT event_id, event_time, server_id, failure_within_30min, p_adaptive AS p1
     FROM scored""", ("scored",))
 def attach_predictions(t):
@@ -319,12 +319,12 @@ def prediction_sets(t):
     return before, after
 
 
-@query("j08_prediction_changes", f"""
+@query("j8_prediction_changes", f"""
     SELECT *, only_baseline + only_candidate + changed_rows = 0 AS identical FROM (
       SELECT count(*) AS baseline_rows,
         count(*) FILTER (WHERE service_name = 'feed') AS candidate_rows,
         count(*) FILTER (WHERE service_name <> 'feed') AS only_baseline,
-        0 AS only_candidate,
+        CAST(0 AS BIGINT) AS only_candidate,
         count(*) FILTER (WHERE service_name = 'feed' AND {_CHANGED} <> p_static)
           AS changed_rows FROM scored)""", ("scored",))
 def prediction_changes(t):
@@ -337,7 +337,7 @@ _SIDE = "SELECT unnest(['precision', 'recall', 'f1', 'accuracy']) AS metric, unn
         "(tp + tn) / (tp + fp + fn + tn)]) AS v FROM ({})"
 
 
-@query("j08_non_regression", f"""
+@query("j8_non_regression", f"""
     SELECT metric, round(b.v, 6) AS baseline, round(c.v, 6) AS candidate,
       round(c.v - b.v, 6) AS delta, abs(c.v - b.v) <= 0.01 AS passed
     FROM ({_SIDE.format(_counts("p_static", "0.45"))}) b

@@ -4,7 +4,7 @@ The text is plain enough to run unchanged in Spark and in the checking engine.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegate.session import use_utc
 
@@ -112,4 +112,4 @@ class Tables:
         return self._view(INCIDENTS_SQL)
 
     def trajectory(self) -> DataFrame:
-        return self._view(TRAJECTORY_SQL)
+        return self._view(TRAJECTORY_SQL).withColumn("cycle", F.col("cycle").cast("bigint"))

@@ -20,12 +20,12 @@ def latest(t):
     return serving.latest_per_server(evaluation(t).select(*_COLUMNS))
 
 
-@query("w09_latest_per_server", f"SELECT {_LIST} FROM ({_LATEST})", ("scored",))
+@query("w9_latest_per_server", f"SELECT {_LIST} FROM ({_LATEST})", ("scored",))
 def latest_per_server(t):
     return latest(t)
 
 
-@query("l02_alert_history", f"""
+@query("l2_alert_history", f"""
     SELECT {_LIST} FROM {_EVALUATION} WHERE p_adaptive >= 0.6
     ORDER BY event_time DESC, event_id DESC""", ("scored",))
 def alert_history(t):
@@ -33,7 +33,7 @@ def alert_history(t):
         evaluation(t).select(*_COLUMNS).where(F.col("p_adaptive") >= 0.6))
 
 
-@query("l03_recent_alerts", f"""
+@query("l3_recent_alerts", f"""
     SELECT {_LIST}, (SELECT count(*) FROM {_EVALUATION} WHERE p_adaptive >= 0.6)
       AS total_alerts, (SELECT count(*) FROM {_EVALUATION} WHERE p_adaptive >= 0.6) > 40
       AS truncated
@@ -43,14 +43,14 @@ def recent_alerts(t):
     return serving.recent_alerts(evaluation(t).select(*_COLUMNS), "p_adaptive", 0.6, 40)
 
 
-@query("l04_alert_view", f"""
+@query("l4_alert_view", f"""
     SELECT {_LIST} FROM {_EVALUATION} WHERE p_adaptive >= 0.7
     ORDER BY event_time DESC, p_adaptive DESC, event_id DESC LIMIT 200""", ("scored",))
 def alert_view(t):
     return serving.alert_view(evaluation(t).select(*_COLUMNS), "p_adaptive", 0.7, 200)
 
 
-@query("l05_health_order", f"""
+@query("l5_health_order", f"""
     SELECT {_LIST}, CASE WHEN p_adaptive >= 0.6 THEN 'failure_warning' ELSE 'normal' END
         AS status,
       row_number() OVER (ORDER BY CASE WHEN p_adaptive >= 0.6 THEN 0 ELSE 1 END,
@@ -67,7 +67,7 @@ def health_summary(t):
     return serving.health_summary(routing.health_labelled(latest(t), "p_adaptive", 0.6))
 
 
-@query("l08_alerts_to_explain", f"""
+@query("l8_alerts_to_explain", f"""
     SELECT {_LIST} FROM {_EVALUATION} WHERE p_adaptive >= 0.6
     ORDER BY event_time, event_id LIMIT 100""", ("scored",))
 def alerts_to_explain(t):
@@ -98,12 +98,12 @@ def global_importance(t):
                    "mean_abs")
 
 
-@query("l07_top_features", f"{_MEANS} ORDER BY mean_abs DESC, feature LIMIT 3", ("scored",))
+@query("l7_top_features", f"{_MEANS} ORDER BY mean_abs DESC, feature LIMIT 3", ("scored",))
 def top_features(t):
     return rounded(attribution.top_features(linear_attributions(t), 3, _FEATURES), "mean_abs")
 
 
-@query("l06_top_contributors", f"""
+@query("l6_top_contributors", f"""
     SELECT event_id, n AS place, feature, round(value, 6) AS value FROM (
       SELECT *, CAST(row_number() OVER (PARTITION BY event_id
         ORDER BY abs(value) DESC, feature DESC) AS INT) AS n FROM ({_TALL}))
@@ -123,7 +123,8 @@ def daily_counters(t):
 
 
 @query("l11_newest_metric", """
-    SELECT date_diff('day', DATE '2024-01-01', CAST(event_time AS DATE)) AS batch_id,
+    SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(event_time AS DATE)) AS INT)
+        AS batch_id,
       count(*) AS received, count(*) FILTER (WHERE is_valid) AS accepted,
       count(*) FILTER (WHERE NOT is_valid) AS quarantined
     FROM classified GROUP BY 1 ORDER BY 1 DESC LIMIT 1""", ("classified",))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsegate.operators import quality, workload
 from pulsegate.sources import readers
-from pulsegate.streaming import pipeline, state
+from pulsegate.streaming import gate_stream, state
 from tests.rows import BASE, gate_set
 
 
@@ -29,8 +29,8 @@ def drop_files(folder, batches):
 
 def run(spark, folder, batches, max_files=100):
     inbox = drop_files(f"{folder}/inbox", batches)
-    out = pipeline.GateSinks(f"{folder}/out")
-    query = pipeline.run_gate(readers.telemetry_inbox(spark, inbox, max_files), out,
+    out = gate_stream.GateSinks(f"{folder}/out")
+    query = gate_stream.run_gate(readers.telemetry_inbox(spark, inbox, max_files), out,
                               f"{folder}/checkpoint", every=None)
     query.awaitTermination(240)
     assert query.exception() is None
@@ -41,29 +41,29 @@ def test_stream_accepts_what_batch_accepts(spark, folder):
     lines = [line(r) for r in gate_set()]
     inbox, out, query = run(spark, folder, [lines[:4], lines[4:] + ["{broken"]])
     batch = quality.accepted(quality.classify_quality(readers.telemetry_files(spark, inbox)))
-    streamed = pipeline.validated_table(spark, out)
+    streamed = gate_stream.validated_table(spark, out)
     assert sorted(r.event_id for r in streamed.collect()) == sorted(
         r.event_id for r in batch.collect()) == ["clean", "duplicate"]
     broken = spark.read.json(out.path("quarantine")).where("unreadable_text IS NOT NULL")
     assert [r.unreadable_text for r in broken.collect()] == ["{broken"]
     metrics = readers.stream_metrics(spark, out.path("metrics")).first()
     assert (metrics.received, metrics.accepted, metrics.quarantined) == (9, 2, 7)
-    assert sum(b["rows"] for b in pipeline.batch_rates(query)) == 9
+    assert sum(b["rows"] for b in gate_stream.batch_rates(query)) == 9
 
 
 def test_admission_control_makes_batches(spark, folder):
     _, out, _ = run(spark, folder, [[line({"event_id": f"e{n}"})] for n in range(3)], 1)
     assert readers.stream_metrics(spark, out.path("metrics")).count() == 3
-    assert pipeline.validated_table(spark, out).select("batch_id").distinct().count() == 3
+    assert gate_stream.validated_table(spark, out).select("batch_id").distinct().count() == 3
 
 
 def test_replayed_batch_is_written_once(spark, folder):
     inbox = drop_files(f"{folder}/inbox", [[line(r) for r in gate_set()]])
     batch = readers.telemetry_files(spark, inbox)
-    out = pipeline.GateSinks(f"{folder}/out")
+    out = gate_stream.GateSinks(f"{folder}/out")
     for _ in range(2):
-        pipeline.process_batch(batch, 5, out)
-    assert pipeline.validated_table(spark, out).count() == 2
+        gate_stream.process_batch(batch, 5, out)
+    assert gate_stream.validated_table(spark, out).count() == 2
     assert spark.read.json(out.path("quarantine")).count() == 6
     assert readers.stream_metrics(spark, out.path("metrics")).count() == 1
 
