@@ -30,8 +30,9 @@ def _first_of_id(salted: DataFrame) -> DataFrame:
     No ranking group exceeds 2**20 rows or one row per salt, whatever share one id has.
     """
     columns = [c for c in salted.columns if c != "_salt"]
+    # an input already partitioned by id alone would satisfy the window and keep a hot id together
     return (
-        salted.select("*", F.expr(f"""row_number() OVER (
+        salted.repartition("event_id", "_salt").select("*", F.expr(f"""row_number() OVER (
             PARTITION BY event_id, _salt ORDER BY {ARRIVAL_ORDER}) AS _local"""))
         .select("*", F.expr(f"""row_number() OVER (
             PARTITION BY event_id, if(_local > 1, _salt, NULL) ORDER BY {ARRIVAL_ORDER})
@@ -41,7 +42,12 @@ def _first_of_id(salted: DataFrame) -> DataFrame:
 
 
 def planned_bytes(frame: DataFrame) -> int:
-    """The planner's size estimate; for file scans the size of the files."""
+    """The planner's size estimate; for file scans the size of the files.
+
+    Without access to the planner the input counts as large.
+    """
+    if not hasattr(frame, "_jdf"):
+        return SMALL_INPUT_BYTES
     return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
@@ -150,10 +156,11 @@ def registry_gaps(raw: DataFrame, registry: DataFrame, json_column: str = "raw_j
                   version_column: str = "schema_version") -> DataFrame:
     """Registry keys that are absent from each raw record of a registered version.
 
-    The registry holds one row per schema version, so the planner broadcasts it.
+    The registry holds one row per schema version, which bounds what is broadcast.
     """
     keys = F.coalesce(F.json_object_keys(json_column), F.array().cast("array<string>"))
-    return (raw.join(registry.withColumnRenamed("version", version_column), version_column, "left")
+    return (raw.join(F.broadcast(registry.withColumnRenamed("version", version_column)),
+                     version_column, "left")
             .withColumns({
                 "registered": F.col("required").isNotNull(),
                 "missing_keys": F.array_except("required", keys)})

@@ -12,6 +12,8 @@ def build_session(app_name: str = "pulsegate", **settings: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split a skewed join side even where that costs another shuffle
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.files.maxRecordsPerFile": "250000",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
