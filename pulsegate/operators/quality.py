@@ -10,6 +10,10 @@ from pulsegate.staging import stage
 
 # Rows of one input partition that share a salt: 2**20.
 SALT_BITS = 20
+# An id with more rows than this is ranked with salts.
+HOT_ROWS = 1 << SALT_BITS
+# Written size up to which a table of ids is broadcast.
+BROADCAST_BYTES = 32 << 20
 # Below this estimated size a second scan costs more than shuffling the rows.
 SMALL_INPUT_BYTES = 1 << 30
 
@@ -41,6 +45,17 @@ def _first_of_id(salted: DataFrame) -> DataFrame:
             OR (event_id IS NOT NULL AND (_local > 1 OR _final > 1)) AS {REPEAT_FLAG}""")))
 
 
+def _first_of_small_id(salted: DataFrame) -> DataFrame:
+    """First row of each id by one ranking per id; rows without an id are spread by salt."""
+    columns = [c for c in salted.columns if c != "_salt"]
+    return (
+        salted.select("*", F.expr(f"""row_number() OVER (
+            PARTITION BY event_id, if(event_id IS NULL, _salt, NULL) ORDER BY {ARRIVAL_ORDER})
+            AS _final"""))
+        .select(*columns, F.expr(f"""({LABELLED_COPY})
+            OR (event_id IS NOT NULL AND _final > 1) AS {REPEAT_FLAG}""")))
+
+
 def planned_bytes(frame: DataFrame) -> int:
     """The planner's size estimate; for file scans the size of the files.
 
@@ -54,9 +69,10 @@ def planned_bytes(frame: DataFrame) -> int:
 def mark_repeats(frame: DataFrame, strategy: str = "auto") -> DataFrame:
     """Add the boolean that says a row repeats an event seen earlier in arrival order.
 
-    ``staged`` first counts ids over a scan of the id column alone, writes the repeated ids,
-    and ranks only rows that carry one; all others pass without a shuffle of the wide rows
-    when the id table is small, or with a skew-split join when it is not.
+    ``staged`` first counts ids over a scan of the id column alone and writes the repeated
+    ones. If that table is small enough to broadcast, only rows that carry a listed id are
+    ranked and all others pass without a shuffle. If not, only ids with more than ``HOT_ROWS``
+    rows are listed and ranked with salts, and the rest takes one ranking per id.
     ``salted`` ranks all rows lazily and suits bounded micro-batches.
     ``auto`` is ``salted`` for inputs below ``SMALL_INPUT_BYTES`` and ``staged`` above.
     """
@@ -67,13 +83,20 @@ def mark_repeats(frame: DataFrame, strategy: str = "auto") -> DataFrame:
     if strategy != "staged":
         raise ValueError(f"unknown strategy {strategy!r}")
     repeated = stage(
-        frame.where("event_id IS NOT NULL").groupBy("event_id").count()
-        .where("count > 1").select("event_id"), "repeated-ids")
-    once = (frame.join(repeated, "event_id", "left_anti")
-            .select(*frame.columns, F.expr(f"{LABELLED_COPY} AS {REPEAT_FLAG}")))
+        frame.where("event_id IS NOT NULL").groupBy("event_id").count().where("count > 1"),
+        "repeated-ids")
     # the salt is taken before the join, where rows are still spread as they were read
-    often = _salted(frame).join(repeated, "event_id", "left_semi")
-    return once.unionByName(_first_of_id(often))
+    salted = _salted(frame)
+    if planned_bytes(repeated) <= BROADCAST_BYTES:
+        listed = F.broadcast(repeated.select("event_id"))
+        rest = (frame.join(listed, "event_id", "left_anti")
+                .select(*frame.columns, F.expr(f"{LABELLED_COPY} AS {REPEAT_FLAG}")))
+    else:
+        # at most one id per HOT_ROWS rows of input
+        listed = F.broadcast(repeated.where(F.col("count") > HOT_ROWS).select("event_id"))
+        rest = _first_of_small_id(salted.join(listed, "event_id", "left_anti"))
+    often = salted.join(listed, "event_id", "left_semi")
+    return rest.unionByName(_first_of_id(often))
 
 
 def classify_quality(frame: DataFrame, strategy: str = "auto") -> DataFrame:

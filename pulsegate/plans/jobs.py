@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegate.operators import (drift, features, labels, metrics, models, quality, routing,
@@ -48,29 +47,26 @@ def quality_and_routing(source: DataFrame, out: str, width: str = "5 minutes",
                         grain: str = "minute", multiplier: float = 1.10,
                         evidence: bool = True) -> None:
     """Gate, route, compare paths, model the queues, and write reports and evidence."""
-    judged = quality.classify_quality(source).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        kept = quality.accepted(judged)
-        routed = routing.route_tasks(kept)
-        reports = {
-            "quality": quality.quality_report(judged),
-            "quality_categories": quality.category_report(judged),
-            "quality_rules": quality.rule_counts(judged),
-            "routing": routing.routing_report(routed),
-            "routing_losses": routing.routing_losses(kept, routed,
-                                                     ["event_id", "source_sequence"]),
-            "paths": workload.path_comparison(routed, width),
-            **queue_reports(workload.workload_series(routed, grain), multiplier)}
-        trace = reports.pop("controller_trace")
-        for name, report in reports.items():
-            sinks.write_report(report, f"{out}/reports/{name}")
-        sinks.write_trace(trace, f"{out}/controller_trace")
-        if evidence:
-            sinks.write_accepted_evidence(judged, f"{out}/accepted")
-            sinks.write_quarantine_evidence(judged, f"{out}/quarantine")
-            sinks.write_routing_audit(routed, f"{out}/routing_audit")
-    finally:
-        judged.unpersist()
+    # written once, so that every report reads only the columns it needs
+    judged = stage(quality.classify_quality(source), "classified")
+    kept = quality.accepted(judged)
+    routed = routing.route_tasks(kept)
+    reports = {
+        "quality": quality.quality_report(judged),
+        "quality_categories": quality.category_report(judged),
+        "quality_rules": quality.rule_counts(judged),
+        "routing": routing.routing_report(routed),
+        "routing_losses": routing.routing_losses(kept, routed, ["event_id", "source_sequence"]),
+        "paths": workload.path_comparison(routed, width),
+        **queue_reports(workload.workload_series(routed, grain), multiplier)}
+    trace = reports.pop("controller_trace")
+    for name, report in reports.items():
+        sinks.write_report(report, f"{out}/reports/{name}")
+    sinks.write_trace(trace, f"{out}/controller_trace")
+    if evidence:
+        sinks.write_accepted_evidence(judged, f"{out}/accepted")
+        sinks.write_quarantine_evidence(judged, f"{out}/quarantine")
+        sinks.write_routing_audit(routed, f"{out}/routing_audit")
 
 
 def adaptive_cycle(source: DataFrame, out: str, windows: dict, drift_days: tuple,
@@ -79,8 +75,8 @@ def adaptive_cycle(source: DataFrame, out: str, windows: dict, drift_days: tuple
                    alpha: float = drift.ALPHA, recent: int = 2, explain: int = 500,
                    alerts: int = 2000, **settings) -> None:
     """Accepted rows to drift gate, splits, model variants, alerts and attributions."""
-    kept = quality.accepted(quality.classify_quality(source)).dropDuplicates(["event_id"])
-    kept = stage(kept, "accepted")
+    # the gate leaves one accepted row per id, so no further dedup is needed
+    kept = stage(quality.accepted(quality.classify_quality(source)), "accepted")
     if start is None:
         start = str(splits.experiment_origin(kept).first()[0])
     dated = splits.with_experiment_day(kept, start)

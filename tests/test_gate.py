@@ -7,10 +7,23 @@ from pulsegate.operators import quality, routing
 from pulsegate.schema import TELEMETRY
 from tests.rows import BASE, defect, gate_set, telemetry
 
-STRATEGIES = ["salted", "staged"]
+STRATEGIES = ["salted", "staged", "hot-ids"]
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
+@pytest.fixture()
+def strategy(request, monkeypatch):
+    """``hot-ids`` is ``staged`` where the id table is too large to broadcast."""
+    if request.param != "hot-ids":
+        return request.param
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(quality, "HOT_ROWS", 5)
+    return "staged"
+
+
+each_strategy = pytest.mark.parametrize("strategy", STRATEGIES, indirect=True)
+
+
+@each_strategy
 def test_gate_set(spark, strategy):
     judged = quality.classify_quality(telemetry(spark, gate_set()), strategy)
     report = quality.quality_report(judged).first()
@@ -21,7 +34,7 @@ def test_gate_set(spark, strategy):
     assert categories == {"schema", "range", "temporal", "completeness", "cross_field"}
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
+@each_strategy
 def test_edge_rows(spark, strategy):
     at = BASE["event_time"]
     rows = [
@@ -44,7 +57,7 @@ def test_edge_rows(spark, strategy):
         ("same", ""), ("same", "duplicate_event"), ("disk", "")])
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
+@each_strategy
 def test_one_id_with_a_third_of_all_rows_keeps_exactly_one(spark, strategy):
     event_id = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
         F.concat(F.lit("e"), F.col("id")))
@@ -58,15 +71,24 @@ def test_one_id_with_a_third_of_all_rows_keeps_exactly_one(spark, strategy):
     assert marked.where("event_id <> 'hot' AND _is_repeat").count() == 0
 
 
-def test_strategies_agree(spark):
-    rows = [{"event_id": f"e{n % 7}", "source_sequence": 100 - n,
+@each_strategy
+def test_strategies_agree(spark, strategy):
+    rows = [{"event_id": f"e{n % 7}" if n < 50 else f"e{n}", "source_sequence": 100 - n,
              "ingest_time": BASE["ingest_time"] + dt.timedelta(seconds=n % 5)}
-            for n in range(60)]
+            for n in range(60)] + [{"event_id": None}] * 3
     frame = telemetry(spark, rows)
     columns = ["event_id", "source_sequence", "_is_repeat"]
-    salted = quality.mark_repeats(frame, "salted").select(*columns)
-    staged = quality.mark_repeats(frame, "staged").select(*columns)
-    assert salted.exceptAll(staged).isEmpty() and staged.exceptAll(salted).isEmpty()
+    want = [(r["event_id"], r["source_sequence"]) for r in sorted(
+        (r for r in rows if r["event_id"]),
+        key=lambda r: (r["ingest_time"], r["source_sequence"]))]
+    first = {}
+    for event_id, sequence in want:
+        first.setdefault(event_id, sequence)
+    got = quality.mark_repeats(frame, strategy).select(*columns).collect()
+    assert len(got) == 63
+    for row in got:
+        assert row._is_repeat == (row.event_id is not None
+                                  and first[row.event_id] != row.source_sequence)
 
 
 def test_clean_rows_count_as_category_false_alarms(spark):
