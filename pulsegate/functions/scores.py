@@ -34,7 +34,8 @@ def share_or_zero(part: Column, whole: Column) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), value))
+    """Value within [low, high]; NULL stays NULL, which least and greatest alone would skip."""
+    return F.when(value.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), value)))
 
 
 def count_of(condition: Column) -> Column:

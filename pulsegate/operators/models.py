@@ -207,9 +207,12 @@ class AdaptiveRun:
         """Attributions of the first evaluation alerts, from the saved forest's nodes."""
         alerts = alerts_to_explain(scored_by(self.adaptive, self._split("evaluation")), "p1",
                                    self.threshold, limit)
-        return explain_rows(
-            stage(alerts.select("event_id", "event_time", "server_id", "p1", *self.features),
-                  "alerts"), saved_nodes(self.adaptive, alerts), self.features)
+        chosen = stage(alerts.select("event_id", "event_time", "server_id", "p1",
+                                     *self.features), "alerts")
+        # a limit leaves one partition; the attributions are the expensive part
+        tasks = int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return explain_rows(chosen.repartition(tasks, "event_id"),
+                            saved_nodes(self.adaptive, chosen), self.features)
 
 
 def saved_nodes(model: PipelineModel, frame: DataFrame) -> DataFrame:

@@ -28,7 +28,8 @@ def chunked(frame: DataFrame, position: str, chunks: int | None = None) -> DataF
     written = stage(frame.withColumn("_position", F.col(position).cast("double")), "ordered")
     count = chunks or default_chunks(frame)
     cuts = written.approxQuantile("_position", [n / count for n in range(1, count)], 0.1 / count)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    # an empty table has no quantiles, and the bucketizer wants at least one cut
+    splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol="_position", outputCol="_bucket",
                             handleInvalid="keep")
     return (bucketizer.transform(written)
@@ -143,8 +144,9 @@ def next_after(marks: DataFrame, group_by: list[str], position: str, value: str,
     beyond = _chunk_order(group_by, descending=True).rowsBetween(Window.unboundedPreceding, -1)
     carries = (rows.groupBy(*group_by, CHUNK).agg(F.min(value).alias("_low"))
                .select(*group_by, CHUNK, F.min("_low").over(beyond).alias(value)))
-    later = (Window.partitionBy(*group_by, CHUNK).orderBy(F.col(CARRY).asc(), position)
-             .rowsBetween(1, Window.unboundedFollowing))
+    # falling order and a frame that only grows: a frame that shrinks is recomputed per row
+    later = (Window.partitionBy(*group_by, CHUNK).orderBy(F.col(CARRY).desc(), F.desc(position))
+             .rowsBetween(Window.unboundedPreceding, -1))
     return (_with_carries(rows, carries)
             .withColumn(result, F.min(value).over(later))
             .where(~F.col(CARRY)).drop(CARRY, CHUNK))

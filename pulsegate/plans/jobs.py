@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pulsegate.operators import (drift, features, labels, metrics, models, quality, routing,
                                  splits, workload)
@@ -25,6 +25,8 @@ def queue_reports(series: DataFrame, multiplier: float = 1.10) -> dict[str, Data
     """Capacity plan, both queue policies, their peaks and their recovery."""
     timed = stage(workload.with_elapsed(series), "workload-series")
     plan = stage(workload.capacity_plan(timed, multiplier), "capacity-plan")
+    if plan.where("capacity IS NOT NULL").isEmpty():
+        raise ValueError("no steps outside bursts to derive a capacity from")
     capacity, normal, burst = (plan.select(c).scalar()
                                for c in ("capacity", "normal_share", "burst_share"))
     unified = workload.unified_backlog(timed, capacity)

@@ -312,3 +312,38 @@ def test_empty_alert_table_is_an_answer(spark):
         == "snapshot"
     assert serving.first_non_empty([("alerts", empty), ("snapshot", other)]).first().source \
         == "snapshot"
+
+
+def test_empty_inputs(spark):
+    no_scores = metrics.score_points(scores_frame(spark, []), "p1")
+    areas = metrics.areas(no_scores).first()
+    assert areas.roc_auc is None and areas.pr_auc is None
+    assert metrics.best_f1(metrics.threshold_curve(no_scores)).first().threshold is None
+    assert metrics.downsample_curve(metrics.threshold_curve(no_scores)).count() == 0
+    gate = drift.drift_gate(drift.ks_by_feature(windows_frame(spark, [], []))).first()
+    assert gate.max_ks_d is None and gate.drift_detected is False
+    series = series_of(spark, [])
+    assert workload.unified_backlog(series, 10.0).count() == 0
+    assert workload.priority_allocation(series, 10.0, 0.6, 0.9).count() == 0
+    assert features.add_history_features(telemetry(spark, [])).count() == 0
+    one_sided = drift.ks_by_feature(windows_frame(spark, range(5), [])).first()
+    assert one_sided.ks_d is None and one_sided.p_value is None
+
+
+def test_many_marks_of_one_server(spark):
+    """The next incident is found for a server that holds most of the rows."""
+    events = spark.range(20_000).select(
+        F.when(F.col("id") % 4 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 9))
+        .alias("server_id"),
+        F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(100_000))).alias("event_time"),
+        F.col("id").cast("string").alias("event_id"))
+    incidents = (events.where("event_id LIKE '%77'")
+                 .select("server_id", F.col("event_time").alias("incident_time")).distinct())
+    got = labels.lead_minutes(events, incidents, 10.0, chunks=9)
+    pairs = events.join(incidents, "server_id", "left").withColumn(
+        "gap", (F.unix_timestamp("incident_time") - F.unix_timestamp("event_time")) / 60.0)
+    want = pairs.groupBy("event_id").agg(
+        F.min(F.when(F.col("gap").between(1e-9, 10.0), F.col("gap"))).alias("lead_minutes"))
+    columns = ["event_id", F.round("lead_minutes", 6).alias("lead_minutes")]
+    assert got.select(*columns).exceptAll(want.select(*columns)).isEmpty()
+    assert got.count() == 20_000
