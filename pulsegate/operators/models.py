@@ -141,6 +141,7 @@ class AdaptiveRun:
                  ablation: bool = True, negative_share: float = splits.NEGATIVE_SHARE,
                  **settings):
         self.features, self.label, self.windows = features, label, windows
+        self._evaluated = None
         context = ["event_id", "event_time", "server_id", "day", "split", "is_recent"]
         rows = splits.complete_rows(labelled.select(*context, *features, label), features, label)
         self.rows = stage(rows.where("split IS NOT NULL"), "adaptive-rows")
@@ -168,11 +169,13 @@ class AdaptiveRun:
         return self.rows.where(F.col("split") == name)
 
     def evaluated(self) -> DataFrame:
-        """Evaluation rows with one probability column per model."""
-        scored = scored_by(self.static, self._split("evaluation"), "p_static")
-        if self.retrained is not None:
-            scored = scored_by(self.retrained, scored, "p_retrained")
-        return scored_by(self.adaptive, scored, "p_adaptive")
+        """Evaluation rows with one probability column per model, scored once."""
+        if self._evaluated is None:
+            scored = scored_by(self.static, self._split("evaluation"), "p_static")
+            if self.retrained is not None:
+                scored = scored_by(self.retrained, scored, "p_retrained")
+            self._evaluated = stage(scored_by(self.adaptive, scored, "p_adaptive"), "evaluated")
+        return self._evaluated
 
     def variants(self) -> dict[str, tuple[str, float]]:
         named = {"static_rf": ("p_static", 0.5), "weighted_retraining": ("p_adaptive", 0.5),
@@ -200,13 +203,14 @@ class AdaptiveRun:
         return scored_by(self.adaptive, latest_per_server(recent))
 
     def threshold_alerts(self, limit: int = 2000) -> DataFrame:
-        recent = scored_by(self.adaptive, self._split("evaluation").where("is_recent"))
-        return recent_alerts(recent, "p1", self.threshold, limit)
+        recent = self.evaluated().where("is_recent").withColumnRenamed("p_adaptive", "p1")
+        context = [c for c in recent.columns if not c.startswith("p_")]
+        return recent_alerts(recent.select(*context), "p1", self.threshold, limit)
 
     def explanations(self, limit: int = 500) -> DataFrame:
         """Attributions of the first evaluation alerts, from the saved forest's nodes."""
-        alerts = alerts_to_explain(scored_by(self.adaptive, self._split("evaluation")), "p1",
-                                   self.threshold, limit)
+        scored = self.evaluated().withColumnRenamed("p_adaptive", "p1")
+        alerts = alerts_to_explain(scored, "p1", self.threshold, limit)
         chosen = stage(alerts.select("event_id", "event_time", "server_id", "p1",
                                      *self.features), "alerts")
         # a limit leaves one partition; the attributions are the expensive part
