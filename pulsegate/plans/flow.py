@@ -193,11 +193,12 @@ def elapsed_minutes(t):
     return workload.with_elapsed(hourly(t)).select("event_minute", "elapsed_minutes")
 
 
-# Units are cut to whole numbers so that sums agree to the last digit in any order.
+# Units are cut to whole numbers so that sums agree to the last digit in any order; rounding
+# comes first because a sum that is whole on paper may end just below it.
 def whole_series(t, by=None):
     series = hourly(t, by)
     return workload.with_elapsed(series.withColumns({
-        c: F.floor(c).cast("double") for c in ("stream_units", "batch_units")}), by)
+        c: F.floor(F.round(c, 4)).cast("double") for c in ("stream_units", "batch_units")}), by)
 
 
 def mean_capacity(series):
@@ -208,7 +209,8 @@ def mean_capacity(series):
 
 _BACKLOG = """
     whole AS (SELECT event_minute, is_burst = 1 AS is_burst,
-        floor(stream_units) AS stream_units, floor(batch_units) AS batch_units,
+        floor(round(stream_units, 4)) AS stream_units,
+        floor(round(batch_units, 4)) AS batch_units,
         COALESCE(greatest(1.0E0, date_diff('minute',
           lag(event_minute) OVER (ORDER BY event_minute), event_minute)), 1.0E0)
           AS elapsed_minutes FROM series),
