@@ -121,7 +121,8 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     place = f"doc_id {id_type}, text_key long, start int"
     rows = keyed(docs)
     halves = arrow_rows(rows, _stretches(window, True), "half long", "text")
-    repeated = halves.groupBy("half").count().filter("count > 1").select("half")
+    # sums are written before they are joined: between two plain shuffles Spark can split a hot key
+    repeated = staged(halves.groupBy("half").count().filter("count > 1").select("half"), "halves")
     found = staged(
         arrow_rows(rows, _stretches(window, False),
                    f"half long, body long, tail int, {place}, count int", "text")
@@ -146,11 +147,12 @@ def repeated_spans(docs: DataFrame, window: int = 35) -> DataFrame:
     windows = staged(arrow_rows(texts, _windows(window),
                                 f"body long, tail int, {place}, copies int", "text")
                      .dropDuplicates(), "windows")
-    again = windows.groupBy("body", "tail").agg(F.sum("copies").alias("n")).filter("n > 1")
+    again = staged(windows.groupBy("body", "tail").agg(F.sum("copies").alias("n")).filter(
+        "n > 1").select("body", "tail"), "again")
     part = windows.filter("copies = 1").join(again, ["body", "tail"]).select(
         "doc_id", "text_key", "start", F.lit(1).alias("count"))
-    return whole.unionAll(part).groupBy("doc_id", "text_key").agg(
-        F.collect_set(F.struct("start", "count")).alias("spans"))
+    return staged(whole.unionAll(part).groupBy("doc_id", "text_key").agg(
+        F.collect_set(F.struct("start", "count")).alias("spans")), "spans")
 
 
 CUT = T.StructType([T.StructField("n_words", T.LongType(), False),
