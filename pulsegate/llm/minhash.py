@@ -170,12 +170,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # equal sets are one node; the row whose text stands for it is the same on every read
     firsts = filled.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     buckets = filled.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(
-        F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader <> other")
+    # sums are written before they are joined: between two plain shuffles Spark can split a hot key
+    shared = staged(buckets.groupBy("bucket").agg(
+        F.min("node").alias("leader"), F.max("node").alias("other")).filter(
+        "leader <> other").select("bucket", "leader"), "shared")
     members = staged(buckets.join(shared, "bucket").select(
         "bucket", "node", "leader").distinct(), "buckets")
 
-    wanted = members.select("node").distinct().join(firsts, "node")
+    wanted = staged(members.select("node").distinct().join(firsts, "node"), "wanted")
     texts = rows.alias("c").join(
         wanted.select("node", "first.*").alias("p"),
         F.expr("c.doc_id <=> p.doc_id AND c.text_key = p.text_key")).select("p.node", "c.text")
@@ -191,9 +193,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # leaders have met all others of their bucket; what is left may still link across
     left = _open(members.filter("node <> leader").select("bucket", "node"), labels)
-    second = left.groupBy("bucket").agg(
+    second = staged(left.groupBy("bucket").agg(
         F.max(F.struct("label", "node")).alias("top")).select(
-        "bucket", F.col("top.node").alias("leader"), F.col("top.label").alias("leader_label"))
+        "bucket", F.col("top.node").alias("leader"), F.col("top.label").alias("leader_label")),
+        "leaders")
     more = staged(_verified(_star_pairs(left, second), sets, percent), "links")
     if not more.isEmpty():
         links = links.unionAll(more)
@@ -205,8 +208,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         labels = components(links.unionAll(last))
 
     named = _labelled(sketch.select("doc_id", "text_key", "n_shingles", "node"), labels)
-    smallest = named.filter("n_shingles > 0").groupBy("label").agg(
-        F.min("doc_id").alias("component_id"))
+    smallest = staged(named.filter("n_shingles > 0").groupBy("label").agg(
+        F.min("doc_id").alias("component_id")), "smallest")
     result = named.join(smallest, "label", "left").select(
         "doc_id", "text_key", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -217,17 +220,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of buckets that still hold two components or more, with their labels."""
     named = _labelled(rows, labels)
-    several = named.groupBy("bucket").agg(
-        F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    return staged(named.join(several.select("bucket"), "bucket", "left_semi"), "open-buckets")
+    several = staged(named.groupBy("bucket").agg(
+        F.min("label").alias("low"), F.max("label").alias("high")).filter(
+        "low <> high").select("bucket"), "several")
+    return staged(named.join(several, "bucket", "left_semi"), "open-buckets")
 
 
 def _across(rows: DataFrame) -> DataFrame:
     """Distinct pairs of one bucket and two components. The largest component of a bucket is
     on one side only, so its own members are never paired."""
     sizes = rows.groupBy("bucket", "label").count()
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top")).select(
-        "bucket", F.col("top.label").alias("major"))
+    top = staged(sizes.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top")).select(
+        "bucket", F.col("top.label").alias("major")), "majors")
     marked = rows.join(top, "bucket")
     minor = marked.filter("label <> major").select(
         "bucket", F.col("node").alias("x"), F.col("label").alias("x_label"))
