@@ -8,9 +8,11 @@ hashes are cut to that universe for the signature only, never for the verificati
 32 bands of 4 coordinates miss a pair of similarity 0.8 with a probability of 5e-8. Classes of
 equal shingle sets are one node each, so copies cost one comparison. In a bucket, all nodes are
 compared with one of them first; only nodes in different components after that are compared
-further, two such rounds and then all remaining pairs across components, so groups of thousands
-of near copies don't make all pairs and no link between components is lost. Comparisons are on
-whole sets.
+further. A node that shares too few of its shingles with any other open node to reach the
+threshold is out (an exact bound). Then all meet the node with the fewest shingles of its own,
+and last all remaining pairs across components that the bound allows, so groups of thousands of
+near copies don't make all pairs and no link between components is lost. Comparisons are on whole
+sets.
 """
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pulsegate.llm.common import (FOLDED, arrow_rows, grams, hashed_words, keyed, mix, owners,
-                                  staged, whole)
+                                  staged, take, whole)
 from pulsegate.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -193,17 +195,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # leaders have met all others of their bucket; what is left may still link across
     left = _open(members.filter("node <> leader").select("bucket", "node"), labels)
+    left = _hopeful(left, _common(sets, left.select("node").distinct()), percent)
+    # the member with the fewest shingles of its own is nearest to what the others were made from
     second = staged(left.groupBy("bucket").agg(
-        F.max(F.struct("label", "node")).alias("top")).select(
+        F.max(F.struct(F.col("common") / F.col("size"), "node", "label")).alias("top")).select(
         "bucket", F.col("top.node").alias("leader"), F.col("top.label").alias("leader_label")),
         "leaders")
     more = staged(_verified(_star_pairs(left, second), sets, percent), "links")
     if not more.isEmpty():
         links = links.unionAll(more)
         labels = components(links)
-    rest = left.select("bucket", "node").join(
+    rest = left.drop("label").join(
         second.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-    last = staged(_verified(_across(_open(rest, labels)), sets, percent), "links")
+    last = staged(_verified(_across(_open(rest, labels), percent), sets, percent), "links")
     if not last.isEmpty():
         labels = components(links.unionAll(last))
 
@@ -226,7 +230,40 @@ def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return staged(named.join(several, "bucket", "left_semi"), "open-buckets")
 
 
-def _across(rows: DataFrame) -> DataFrame:
+def _single_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+    raw = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
+    rows = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([*raw, np.zeros(0, np.int64)])), take(batch, "node", rows)],
+        names=["shingle", "node"])
+
+
+def _common(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, size, common``: shingles of a node, and those that another of ``nodes`` has."""
+    own = staged(sets.join(nodes, "node", "left_semi"), "open-sets")
+    rows = arrow_rows(own, _single_shingles, "shingle long, node binary", "shingles")
+    lone = rows.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("node").alias("node")
+                                       ).filter("nodes = 1").groupBy("node").count()
+    return staged(own.select("node", (F.length("shingles") / 8).cast("long").alias("size")).join(
+        lone, "node", "left").select(
+        "node", "size", (F.col("size") - F.coalesce("count", F.lit(0))).alias("common")), "common")
+
+
+def _reaches(common, size, other, percent: int):
+    """Can a pair that shares at most ``common`` shingles be linked, given its set sizes?"""
+    return 100 * common >= percent * (size + F.greatest(other, common) - common)
+
+
+def _hopeful(rows: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """Rows without the nodes that cannot link to any other of their bucket: too many of their
+    shingles are theirs alone for the smallest set in it."""
+    sized = staged(rows.join(common, "node"), "sized")
+    least = staged(sized.groupBy("bucket").agg(F.min("size").alias("least")), "least")
+    return staged(sized.join(least, "bucket").filter(_reaches(
+        F.col("common"), F.col("size"), F.col("least"), percent)).drop("least"), "hopeful")
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of one bucket and two components. The largest component of a bucket is
     on one side only, so its own members are never paired."""
     sizes = rows.groupBy("bucket", "label").count()
@@ -234,8 +271,11 @@ def _across(rows: DataFrame) -> DataFrame:
         "bucket", F.col("top.label").alias("major")), "majors")
     marked = rows.join(top, "bucket")
     minor = marked.filter("label <> major").select(
-        "bucket", F.col("node").alias("x"), F.col("label").alias("x_label"))
+        "bucket", F.col("node").alias("x"), F.col("label").alias("x_label"),
+        F.col("size").alias("x_size"), F.col("common").alias("x_common"))
+    most = F.least("common", "x_common")
     pairs = minor.join(marked, "bucket").filter(
-        "label <> x_label AND (label = major OR x < node)")
+        F.expr("label <> x_label AND (label = major OR x < node)")
+        & (100 * most >= percent * (F.col("size") + F.col("x_size") - most)))
     return pairs.select(F.least("x", "node").alias("a"),
                         F.greatest("x", "node").alias("b")).distinct()
