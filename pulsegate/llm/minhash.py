@@ -8,9 +8,11 @@ hashes are cut to that universe for the signature only, never for the verificati
 32 bands of 4 coordinates miss a pair of similarity 0.8 with a probability of 5e-8. Classes of
 equal shingle sets are one node each, so copies cost one comparison. In a bucket, all nodes are
 compared with one of them first; only nodes in different components after that are compared
-further. A node that shares too few of its shingles with any other open node to reach the
-threshold is out (an exact bound). Then all meet the node with the fewest shingles of its own,
-and last all remaining pairs across components that the bound allows, so groups of thousands of
+further: a node that shares too few of its shingles with any other open node to reach the
+threshold is out (an exact bound). Then
+all meet the node with the fewest shingles of its own,
+and last all remaining pairs across components that this bound and one from bitmaps
+allow, so groups of thousands of
 near copies don't make all pairs and no link between components is lost. Comparisons are on whole
 sets.
 """
@@ -26,6 +28,8 @@ from pulsegate.llm.common import (FOLDED, arrow_rows, grams, hashed_words, keyed
 from pulsegate.llm.components import components
 
 BANDS, ROWS = 32, 4
+#: 64-bit words of the bitmap that bounds intersections.
+BITMAP = 16
 _BLOCK = 1 << 14
 
 
@@ -111,9 +115,16 @@ def _sketches(size: int):
 def _full_sets(size: int):
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, bounds = shingle_sets(batch.column("text"), size)
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+        cells = np.zeros((batch.num_rows, 64 * BITMAP), bool)
+        cells[rows, (hashes % np.uint64(64 * BITMAP)).astype(np.int64)] = True
+        excess = np.diff(bounds) - cells.sum(axis=1)
+        bits = np.packbits(cells, axis=1).view(np.int64)
         sets = [hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())],
-                                          names=["node", "shingles"])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array(sets, pa.binary()),
+             pa.array(list(bits), pa.list_(pa.int64())), pa.array(excess.astype(np.int64))],
+            names=["node", "shingles", "bits", "excess"])
     return make
 
 
@@ -180,10 +191,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         "bucket", "node", "leader").distinct(), "buckets")
 
     wanted = staged(members.select("node").distinct().join(firsts, "node"), "wanted")
+    # ``wanted`` grows with the data, so it is not broadcast, however small it is here
     texts = rows.alias("c").join(
-        wanted.select("node", "first.*").alias("p"),
+        wanted.select("node", "first.*").hint("merge").alias("p"),
         F.expr("c.doc_id <=> p.doc_id AND c.text_key = p.text_key")).select("p.node", "c.text")
-    sets = staged(arrow_rows(texts, _full_sets(size), "node binary, shingles binary", "text")
+    sets = staged(arrow_rows(texts, _full_sets(size), "node binary, shingles binary, "
+                             "bits array<long>, excess long", "text")
                   .dropDuplicates(["node"]), "sets")
 
     plain = members.select("bucket", "node")
@@ -244,9 +257,9 @@ def _common(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = arrow_rows(own, _single_shingles, "shingle long, node binary", "shingles")
     lone = rows.groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("node").alias("node")
                                        ).filter("nodes = 1").groupBy("node").count()
-    return staged(own.select("node", (F.length("shingles") / 8).cast("long").alias("size")).join(
-        lone, "node", "left").select(
-        "node", "size", (F.col("size") - F.coalesce("count", F.lit(0))).alias("common")), "common")
+    return staged(own.select("node", (F.length("shingles") / 8).cast("long").alias("size"),
+                             "bits", "excess").join(lone, "node", "left").select(
+        "node", "size", "bits", "excess", (F.col("size") - F.coalesce("count", F.lit(0))).alias("common")), "common")
 
 
 def _reaches(common, size, other, percent: int):
@@ -272,8 +285,12 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     marked = rows.join(top, "bucket")
     minor = marked.filter("label <> major").select(
         "bucket", F.col("node").alias("x"), F.col("label").alias("x_label"),
-        F.col("size").alias("x_size"), F.col("common").alias("x_common"))
-    most = F.least("common", "x_common")
+        *(F.col(name).alias(f"x_{name}") for name in ("size", "common", "bits", "excess")))
+    # equal shingles share a bit, and only those beyond a set's bits can share none of their own
+    both = [F.bit_count(F.get("bits", F.lit(n)).bitwiseAND(F.get("x_bits", F.lit(n))))
+            for n in range(BITMAP)]
+    shared = sum(both[1:], both[0]) + F.least("excess", "x_excess")
+    most = F.least("common", "x_common", shared)
     pairs = minor.join(marked, "bucket").filter(
         F.expr("label <> x_label AND (label = major OR x < node)")
         & (100 * most >= percent * (F.col("size") + F.col("x_size") - most)))
