@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pulsegate.llm.common import arrow_rows
 
 #: Words and token pairs a worker remembers.
-MEMORY = 700_000
+MEMORY = 250_000
 #: Stands for the suffix that marks the end of a word; no byte is written as this character.
 _END = "\0"
 

@@ -17,7 +17,7 @@ from pulsegate.staging import shared_folder
 #: Rows of one Arrow batch. Texts may be long, so batches are small.
 BATCH_ROWS = 256
 #: Bytes of text that one call of a batch function sees, unless a single row is larger.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xBF58476D1CE4E5B9)

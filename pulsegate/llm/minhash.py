@@ -8,13 +8,11 @@ hashes are cut to that universe for the signature only, never for the verificati
 32 bands of 4 coordinates miss a pair of similarity 0.8 with a probability of 5e-8. Classes of
 equal shingle sets are one node each, so copies cost one comparison. In a bucket, all nodes are
 compared with one of them first; only nodes in different components after that are compared
-further: a node that shares too few of its shingles with any other open node to reach the
-threshold is out (an exact bound). Then
-all meet the node with the fewest shingles of its own,
-and last all remaining pairs across components that this bound and one from bitmaps
-allow, so groups of thousands of
-near copies don't make all pairs and no link between components is lost. Comparisons are on whole
-sets.
+further. A node that shares too few of its shingles with any other open node to reach the
+threshold is out (an exact bound). The others meet the node with the fewest shingles of its own,
+and last come all remaining pairs across components that this bound and one from bitmaps allow.
+So groups of thousands of near copies don't make all pairs, and no link between components is
+lost. Comparisons are on whole sets.
 """
 from __future__ import annotations
 
