@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples (operator 9).
 
 Texts are TF-IDF vectors over terms that tell the labels apart: words and word beginnings of
-four letters. The nearest examples by exact cosine are found with a block-max inverted index:
+four to seven letters. The nearest examples by exact cosine are found with a block-max inverted index:
 examples stand in blocks, each term has its largest weight per block, so the sum of a query's
 weights times those is a bound for the block; blocks are evaluated from the highest bound down
 until no bound reaches the k-th similarity. Votes are weighted by similarity and calibrated by
@@ -28,8 +28,8 @@ from pulsegate.llm.language import bucket
 MOST_TERMS, BLOCK = 2000, 32
 #: Least rows of the sample with a term, and least chi-square of a term.
 LEAST_ROWS, LEAST_CHI = 3, 15.0
-#: Letters of a word beginning; results a worker remembers.
-BEGINNING, MEMORY = 4, 200_000
+#: Letters of word beginnings; results a worker remembers.
+BEGINNINGS, MEMORY = (4, 5, 6, 7), 200_000
 _EDGES = " .,;:!?\"'()[]{}<>|#*$%&@-_=+/\\~`^…«»“”‘’„¡¿"
 SCORE = T.StructType([
     T.StructField("score", T.DoubleType(), False),
@@ -47,21 +47,27 @@ def words(text: str | None) -> Counter:
     return out
 
 
-def beginning(word: str) -> str | None:
-    return word[:BEGINNING] + "*" if len(word) >= BEGINNING else None
+def beginnings(word: str) -> list[str]:
+    return [word[:n] + "*" for n in BEGINNINGS if len(word) >= n]
 
 
-def terms(text: str | None, known: dict[str, int]) -> dict[int, int]:
-    """Count of each known term of ``text``."""
-    out: dict[int, int] = {}
-    for word, count in words(text).items():
-        number = known.get(word)
-        if number is not None:
-            out[number] = out.get(number, 0) + count
-        number = known.get(word[:BEGINNING] + "*")
-        if number is not None and len(word) >= BEGINNING:
-            out[number] = out.get(number, 0) + count
-    return out
+class Vocabulary:
+    """Numbers of the known terms."""
+
+    def __init__(self, chosen: list[str]):
+        self.number = {term: n for n, term in enumerate(chosen)}
+        self.heads = {term[:BEGINNINGS[0]] for term in chosen if term.endswith("*")}
+
+    def terms(self, text: str | None) -> dict[int, int]:
+        """Count of each known term of ``text``."""
+        out: dict[int, int] = {}
+        for word, count in words(text).items():
+            found = [word, *beginnings(word)] if word[:BEGINNINGS[0]] in self.heads else [word]
+            for term in found:
+                number = self.number.get(term)
+                if number is not None:
+                    out[number] = out.get(number, 0) + count
+        return out
 
 
 @dataclass
@@ -104,7 +110,7 @@ class BlockMaxIndex:
 
 @dataclass
 class ToxicityModel:
-    known: dict[str, int]
+    known: Vocabulary
     inverse: np.ndarray
     index: BlockMaxIndex
     weight: tuple[float, float]  # of a vote for 0 and for 1: the sample is not drawn evenly
@@ -176,7 +182,7 @@ def _terms_of(docs: DataFrame) -> DataFrame:
         toxic: Counter = Counter()
         for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
             found = set(words(text.as_py()))
-            found |= {beginning(w) for w in found} - {None}
+            found.update([head for word in found for head in beginnings(word)])
             rows.update(found)
             if label:
                 toxic.update(found)
@@ -188,19 +194,21 @@ def _terms_of(docs: DataFrame) -> DataFrame:
         "term").agg(F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic"))
 
 
-def document_frequency(docs: DataFrame, known: dict[str, int]) -> tuple[np.ndarray, int]:
+def document_frequency(docs: DataFrame, known: Vocabulary) -> tuple[np.ndarray, int]:
     """Rows of ``docs`` with each known term, and all rows."""
+    size = len(known.number)
+
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = Counter({len(known): batch.num_rows})
+        counts = Counter({size: batch.num_rows})
         for text in batch.column("text"):
-            counts.update(terms(text.as_py(), known).keys())
+            counts.update(known.terms(text.as_py()).keys())
         return pa.RecordBatch.from_arrays(
             [pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())],
             names=["term", "rows"])
 
     sums = arrow_rows(docs.select("text"), make, "term long, rows long", "text").groupBy(
         "term").agg(F.sum("rows").alias("rows")).collect()
-    out = np.zeros(len(known) + 1, np.int64)
+    out = np.zeros(size + 1, np.int64)
     for row in sums:
         out[row["term"]] = row["rows"]
     return out[:-1], int(out[-1])
@@ -219,12 +227,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, k: int = 25,
     chosen = _terms_of(drawn).withColumn("chi", chi).filter(
         (F.col("rows") >= LEAST_ROWS) & (F.col("chi") >= LEAST_CHI)).orderBy(
         F.desc("chi"), "term").limit(MOST_TERMS).collect()
-    known = {row["term"]: number for number, row in enumerate(chosen)}
+    known = Vocabulary([row["term"] for row in chosen])
     frequency, rows = document_frequency(docs, known)
     inverse = np.log((1 + rows) / (1 + frequency)) + 1
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [terms(text.as_py(), known) for text in batch.column("text")]
+        found = [known.terms(text.as_py()) for text in batch.column("text")]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("toxic"),
              pa.array([list(f.items()) for f in found], pa.map_(pa.int32(), pa.int32()))],
@@ -232,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, k: int = 25,
 
     examples = arrow_rows(drawn, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
                           "toxic int, terms map<int,int>", "text").orderBy("doc_id").collect()
-    vectors = np.zeros((len(examples), max(len(known), 1)))
+    vectors = np.zeros((len(examples), max(len(known.number), 1)))
     for place, row in enumerate(examples):
         for term, count in row["terms"].items():
             vectors[place, term] = (1 + np.log(count)) * inverse[term]
@@ -280,7 +288,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, k: in
             if model is None:
                 out.append((0.0, []))
                 continue
-            found = terms(text, model.known)
+            found = model.known.terms(text)
             key = tuple(sorted(found.items()))
             if key not in remembered:
                 if len(remembered) >= MEMORY:
