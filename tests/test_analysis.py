@@ -55,68 +55,29 @@ def series_of(spark, rows):
               "is_burst BOOLEAN"))
 
 
-def loop(rows, capacity, normal, burst):
-    """The queue model step by step, in plain Python."""
-    base = stream = batch = 0.0
-    before, result = None, {}
-    for at, s, b, is_burst in sorted(rows):
-        gap = 1.0 if before is None else max(1.0, (at - before).total_seconds() / 60)
-        before = at
-        share = burst if is_burst or stream > 0 else normal
-        base = max(0.0, base + s + b - capacity * gap)
-        stream = max(0.0, stream + s - capacity * share * gap)
-        batch = max(0.0, batch + b - capacity * (1 - share) * gap)
-        result[at] = (base, share, stream, batch)
-    return result
-
-
-SIX = [(minutes(0), 50.0, 30.0, False), (minutes(1), 50.0, 30.0, False),
-       (minutes(2), 50.0, 30.0, False), (minutes(3), 100.0, 80.0, True),
-       (minutes(4), 50.0, 20.0, False), (minutes(5), 30.0, 10.0, False)]
-
-
-def test_six_minutes(spark):
-    series = series_of(spark, SIX)
-    unified = workload.unified_backlog(series, 100.0)
-    shared = workload.priority_allocation(series, 100.0, 0.60, 0.85)
-    base = workload.backlog_peaks(unified, "baseline_backlog", "baseline_delay").first()
-    priority = workload.backlog_peaks(shared, "stream_backlog", "stream_delay").first()
-    assert base.max_backlog_units > 0
-    assert priority.max_delay_minutes < base.max_delay_minutes
-
-
-def test_queues_follow_the_loop(spark):
-    rng = random.Random(3)
-    at, rows = 0, []
-    for _ in range(400):
-        at += rng.choice([1, 1, 1, 2, 7])
-        rows.append((minutes(at), rng.uniform(0, 110), rng.uniform(0, 70), rng.random() < 0.1))
-    want = loop(rows, 100.0, 0.6, 0.9)
-    series = series_of(spark, rows)
-    unified = {r.event_minute: r.baseline_backlog for r in
-               workload.unified_backlog(series, 100.0, chunks=6).collect()}
-    shared = {r.event_minute: r for r in
-              workload.priority_allocation(series, 100.0, 0.6, 0.9, chunks=6).collect()}
-    assert len(shared) == len(rows)
-    for moment, (base, share, stream, batch) in want.items():
-        assert unified[moment] == pytest.approx(base, abs=1e-6)
-        row = shared[moment]
-        assert row.stream_share == share
-        assert row.stream_backlog == pytest.approx(stream, abs=1e-6)
-        assert row.batch_backlog == pytest.approx(batch, abs=1e-6)
+def test_backlog_equals_the_lowest_start(spark):
+    """Backlog is the largest surplus of any stretch that ends now, or nothing."""
+    rng = random.Random(17)
+    rows = [(minutes(n), rng.uniform(0, 160), rng.uniform(0, 30), False) for n in range(150)]
+    got = {r.event_minute: r.baseline_backlog for r in workload.unified_backlog(
+        series_of(spark, rows), 90.0, chunks=5).collect()}
+    surplus = [s + b - 90.0 for _, s, b, _ in rows]
+    for n, (at, *_) in enumerate(rows):
+        want = max(0.0, *(sum(surplus[k:n + 1]) for k in range(n + 1)))
+        assert got[at] == pytest.approx(want, abs=1e-6)
 
 
 def test_recovery(spark):
-    trace = workload.unified_backlog(series_of(spark, SIX), 100.0)
+    rows = [(minutes(0), 20.0, 20.0, False), (minutes(1), 150.0, 90.0, True),
+            (minutes(2), 30.0, 20.0, False), (minutes(3), 10.0, 30.0, False),
+            (minutes(4), 20.0, 20.0, False)]
+    trace = workload.unified_backlog(series_of(spark, rows), 100.0)
     row = workload.recovery_minutes(trace, "baseline_backlog").first()
-    assert row.last_burst == minutes(3) and row.recovery_minutes == 2
-    never = workload.unified_backlog(series_of(spark, SIX[:5]), 100.0)
+    assert row.last_burst == minutes(1) and row.recovery_minutes == 3
+    never = workload.unified_backlog(series_of(spark, rows[:4]), 100.0)
     assert workload.recovery_minutes(never, "baseline_backlog").first().recovery_minutes is None
-
-
-def test_capacity_needs_a_positive_multiplier(spark):
     with pytest.raises(ValueError):
-        workload.capacity_plan(series_of(spark, SIX), 0.0)
+        workload.capacity_plan(series_of(spark, rows), 0.0)
 
 
 def windows_frame(spark, reference, current):

@@ -43,7 +43,7 @@ def test_stream_accepts_what_batch_accepts(spark, folder):
     batch = quality.accepted(quality.classify_quality(readers.telemetry_files(spark, inbox)))
     streamed = gate_stream.validated_table(spark, out)
     assert sorted(r.event_id for r in streamed.collect()) == sorted(
-        r.event_id for r in batch.collect()) == ["clean", "duplicate"]
+        r.event_id for r in batch.collect()) == ["a-good", "b-good"]
     broken = spark.read.json(out.path("quarantine")).where("unreadable_text IS NOT NULL")
     assert [r.unreadable_text for r in broken.collect()] == ["{broken"]
     metrics = readers.stream_metrics(spark, out.path("metrics")).first()
@@ -109,26 +109,30 @@ def test_windows_on_a_stream_equal_batch(spark, folder):
         assert batch[row["window_start"]] == row["records"]
 
 
-def test_streamed_allocation_follows_the_loop(spark, folder):
-    from tests.test_analysis import SIX, loop
+def test_streamed_allocation_equals_the_batch(spark, folder):
     import pathlib
     inbox = pathlib.Path(f"{folder}/series")
     inbox.mkdir(parents=True)
-    for n, part in enumerate((SIX[:3], SIX[3:])):
+    start = dt.datetime(2024, 5, 17, 8)
+    rows = [(start + dt.timedelta(minutes=n), 35.0 + 23 * (n % 4), 12.0 * (n % 3), n % 5 == 2)
+            for n in range(14)]
+    for n, part in enumerate((rows[:9], rows[9:])):
         (inbox / f"{n}.json").write_text("".join(json.dumps({
             "data_center_id": "dc", "event_minute": at.isoformat() + "Z", "stream_units": s,
             "batch_units": b, "is_burst": burst}) + "\n" for at, s, b, burst in part))
         os.utime(inbox / f"{n}.json", (1_000_000 + n, 1_000_000 + n))
-    series = (spark.readStream.schema(
-        "data_center_id STRING, event_minute TIMESTAMP, stream_units DOUBLE, "
-        "batch_units DOUBLE, is_burst BOOLEAN").option("maxFilesPerTrigger", 1).json(str(inbox)))
-    rows = collect_stream(spark, state.allocate_capacity(series, 100.0, 0.6, 0.85), folder)
-    want = loop(SIX, 100.0, 0.6, 0.85)
-    assert len(rows) == 6
-    for row in rows:
-        _, share, stream, batch = want[row["event_minute"]]
-        assert (row["stream_share"], round(row["stream_backlog"], 9),
-                round(row["batch_backlog"], 9)) == (share, round(stream, 9), round(batch, 9))
+    schema = "event_minute TIMESTAMP, stream_units DOUBLE, batch_units DOUBLE, is_burst BOOLEAN"
+    series = (spark.readStream.schema("data_center_id STRING, " + schema)
+              .option("maxFilesPerTrigger", 1).json(str(inbox)))
+    got = collect_stream(spark, state.allocate_capacity(series, 90.0, 0.55, 0.8), folder)
+    batch = workload.priority_allocation(
+        workload.with_elapsed(spark.createDataFrame(rows, schema)), 90.0, 0.55, 0.8)
+    names = ["event_minute", "stream_share", "stream_backlog", "batch_backlog"]
+
+    def plain(found):
+        return sorted((r[names[0]], *(round(r[n], 9) for n in names[1:])) for r in found)
+
+    assert plain(got) == plain(batch.collect())
 
 
 def test_message_parsing_keeps_raw_text(spark):
@@ -137,5 +141,5 @@ def test_message_parsing_keeps_raw_text(spark):
         "value BINARY, partition INT, offset BIGINT").withColumn(
             "timestamp", F.current_timestamp())
     rows = {r.kafka_offset: r for r in readers.parse_messages(messages).collect()}
-    assert rows[1].event_id == "a" and rows[1].cpu_util_pct == 50.0
+    assert rows[1].event_id == "a" and rows[1].cpu_util_pct == BASE["cpu_util_pct"]
     assert rows[2].raw_json == "{nope" and rows[2][readers.CORRUPT] == "{nope"
