@@ -39,8 +39,7 @@ def without(text: Column, characters: str) -> Column:
 
 def line_passes(line: Column) -> Column:
     """Does a line with a word pass the rules of punctuation, navigation and boilerplate?"""
-    words = F.length(F.regexp_replace(line, WORD, "x")) - F.length(
-        F.regexp_replace(line, WORD, ""))
+    words = F.regexp_count(line, F.lit(WORD))
     marks = F.length(line) - F.length(without(line, SYMBOLS + "!"))
     separators = F.length(line) - F.length(without(line, SEPARATORS))
     sentence = line.rlike(r"[.!?…。！？][\"'”’»)]*([\x20\x09-\x0D]|$)")
