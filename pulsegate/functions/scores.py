@@ -79,22 +79,6 @@ def asymmetric_penalty(error: Column) -> Column:
     return F.expm1(F.when(error < 0, -error / 13.0).otherwise(error / 10.0))
 
 
-def precursor_severity(lead_minutes: Column, window_minutes: float) -> Column:
-    """0..1, rising as the incident comes closer; 0 without one in the window."""
-    return F.coalesce(clamp(1.0 - lead_minutes / window_minutes, 0.0, 1.0), F.lit(0.0))
-
-
-def drift_ramp(day_offset: Column, start_day: int, ramp_days: int) -> Column:
-    """Share of the new regime, 0..1; a ramp of 0 days is a step at the start day.
-
-    ``day_offset`` is fractional days since the start of day 1.
-    """
-    elapsed = day_offset - (start_day - 1)
-    if ramp_days == 0:
-        return F.when(elapsed < 0, 0.0).otherwise(1.0)
-    return clamp(elapsed / ramp_days, 0.0, 1.0)
-
-
 def ks_p_value(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
     """Two-sided asymptotic p-value of the two-sample KS statistic; 1 when D is 0."""
     effective = F.try_divide(n.cast("double") * m, n + m)

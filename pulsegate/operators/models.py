@@ -202,13 +202,13 @@ class AdaptiveRun:
         recent = self._split("evaluation").where("is_recent")
         return scored_by(self.adaptive, latest_per_server(recent))
 
-    def threshold_alerts(self, limit: int = 2000) -> DataFrame:
+    def threshold_alerts(self, limit: int | None = None) -> DataFrame:
         recent = self.evaluated().where("is_recent").withColumnRenamed("p_adaptive", "p1")
         context = [c for c in recent.columns if not c.startswith("p_")]
         return recent_alerts(recent.select(*context), "p1", self.threshold, limit)
 
-    def explanations(self, limit: int = 500) -> DataFrame:
-        """Attributions of the first evaluation alerts, from the saved forest's nodes."""
+    def explanations(self, limit: int | None = None) -> DataFrame:
+        """Attributions of all (or the first) evaluation alerts, from the saved forest's nodes."""
         scored = self.evaluated().withColumnRenamed("p_adaptive", "p1")
         alerts = alerts_to_explain(scored, "p1", self.threshold, limit)
         chosen = stage(alerts.select("event_id", "event_time", "server_id", "p1",

@@ -10,12 +10,6 @@ from pulsegate.staging import stage
 
 # Rows of one input partition that share a salt: 2**20.
 SALT_BITS = 20
-# An id with more rows than this is ranked with salts.
-HOT_ROWS = 1 << SALT_BITS
-# Written size up to which a table of ids is broadcast.
-BROADCAST_BYTES = 32 << 20
-# Below this estimated size a second scan costs more than shuffling the rows.
-SMALL_INPUT_BYTES = 1 << 30
 
 
 # Which of several rows with one id counts as the first.
@@ -34,76 +28,42 @@ def _first_of_id(salted: DataFrame) -> DataFrame:
     No ranking group exceeds 2**20 rows or one row per salt, whatever share one id has.
     """
     columns = [c for c in salted.columns if c != "_salt"]
+    # rows that tie up to here are told apart by their content
+    content = ", ".join(f"`{c}`" for c in columns)
+    order = f"{ARRIVAL_ORDER}, xxhash64({content})"
     # an input already partitioned by id alone would satisfy the window and keep a hot id together
     return (
         salted.repartition("event_id", "_salt").select("*", F.expr(f"""row_number() OVER (
-            PARTITION BY event_id, _salt ORDER BY {ARRIVAL_ORDER}) AS _local"""))
+            PARTITION BY event_id, _salt ORDER BY {order}) AS _local"""))
         .select("*", F.expr(f"""row_number() OVER (
-            PARTITION BY event_id, if(_local > 1, _salt, NULL) ORDER BY {ARRIVAL_ORDER})
+            PARTITION BY event_id, if(_local > 1, _salt, NULL) ORDER BY {order})
             AS _final"""))
         .select(*columns, F.expr(f"""({LABELLED_COPY})
             OR (event_id IS NOT NULL AND (_local > 1 OR _final > 1)) AS {REPEAT_FLAG}""")))
 
 
-def _first_of_small_id(salted: DataFrame) -> DataFrame:
-    """First row of each id by one ranking per id; rows without an id are spread by salt."""
-    columns = [c for c in salted.columns if c != "_salt"]
-    return (
-        salted.select("*", F.expr(f"""row_number() OVER (
-            PARTITION BY event_id, if(event_id IS NULL, _salt, NULL) ORDER BY {ARRIVAL_ORDER})
-            AS _final"""))
-        .select(*columns, F.expr(f"""({LABELLED_COPY})
-            OR (event_id IS NOT NULL AND _final > 1) AS {REPEAT_FLAG}""")))
-
-
-def planned_bytes(frame: DataFrame) -> int:
-    """The planner's size estimate; for file scans the size of the files.
-
-    Without access to the planner the input counts as large.
-    """
-    if not hasattr(frame, "_jdf"):
-        return SMALL_INPUT_BYTES
-    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def mark_repeats(frame: DataFrame, strategy: str = "auto") -> DataFrame:
+def mark_repeats(frame: DataFrame) -> DataFrame:
     """Add the boolean that says a row repeats an event seen earlier in arrival order.
 
-    ``staged`` first counts ids over a scan of the id column alone and writes the repeated
-    ones. If that table is small enough to broadcast, only rows that carry a listed id are
-    ranked and all others pass without a shuffle. If not, only ids with more than ``HOT_ROWS``
-    rows are listed and ranked with salts, and the rest takes one ranking per id.
-    ``salted`` ranks all rows lazily and suits bounded micro-batches.
-    ``auto`` is ``salted`` for inputs below ``SMALL_INPUT_BYTES`` and ``staged`` above.
+    Ids are counted over a scan of the id column alone and the repeated ones are written. Rows
+    that carry none of them pass an anti join unranked; the others are ranked with salts. The
+    planner picks the joins by the written size, so the plan is the same for every input.
     """
-    if strategy == "auto":
-        strategy = "salted" if planned_bytes(frame) < SMALL_INPUT_BYTES else "staged"
-    if strategy == "salted":
-        return _first_of_id(_salted(frame))
-    if strategy != "staged":
-        raise ValueError(f"unknown strategy {strategy!r}")
     repeated = stage(
-        frame.where("event_id IS NOT NULL").groupBy("event_id").count().where("count > 1"),
-        "repeated-ids")
+        frame.where("event_id IS NOT NULL").groupBy("event_id").count().where("count > 1")
+        .select("event_id"), "repeated-ids")
+    rest = (frame.join(repeated, "event_id", "left_anti")
+            .select(*frame.columns, F.expr(f"{LABELLED_COPY} AS {REPEAT_FLAG}")))
     # the salt is taken before the join, where rows are still spread as they were read
-    salted = _salted(frame)
-    if planned_bytes(repeated) <= BROADCAST_BYTES:
-        listed = F.broadcast(repeated.select("event_id"))
-        rest = (frame.join(listed, "event_id", "left_anti")
-                .select(*frame.columns, F.expr(f"{LABELLED_COPY} AS {REPEAT_FLAG}")))
-    else:
-        # at most one id per HOT_ROWS rows of input
-        listed = F.broadcast(repeated.where(F.col("count") > HOT_ROWS).select("event_id"))
-        rest = _first_of_small_id(salted.join(listed, "event_id", "left_anti"))
-    often = salted.join(listed, "event_id", "left_semi")
+    often = _salted(frame).join(repeated, "event_id", "left_semi")
     return rest.unionByName(_first_of_id(often))
 
 
-def classify_quality(frame: DataFrame, strategy: str = "auto") -> DataFrame:
+def classify_quality(frame: DataFrame) -> DataFrame:
     """Attach rule evidence and the accept/quarantine decision to every row."""
     fired = "quality_failure_reasons"
     return (
-        mark_repeats(frame, strategy)
+        mark_repeats(frame)
         .select(*frame.columns, fired_rules(RULES).alias(fired))
         .select("*", fired_categories(fired, RULES).alias("detected_defect_categories"),
                 *[F.expr(text) for text in (

@@ -1,14 +1,12 @@
 """Tables behind the operations views: health, alerts, history, fallbacks."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegate.functions.scores import count_of
 from pulsegate.operators.prefix import global_rank
 from pulsegate.operators.routing import health_labelled
 
-MAX_ALERTS = 1000
-
 
 def latest_per_server(frame: DataFrame, key: str = "server_id") -> DataFrame:
     """Newest row per server (time, then id), by a combinable aggregate instead of a sort."""
@@ -38,21 +36,30 @@ def first_rows(frame: DataFrame, count: int, order: list[str],
     return frame.where(F.struct(*order) <= limit)
 
 
-def recent_alerts(scored: DataFrame, probability: str, threshold: float,
-                  limit: int) -> DataFrame:
-    """Newest alerts, each with the number of all alerts and whether the list was cut."""
-    alerts = scored.where(F.col(probability) >= threshold)
+def _alert_list(alerts: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """Alerts in order, each with the number of all and whether the list was cut."""
     total = alerts.agg(F.count("*")).scalar()
-    return (newest_first(alerts).limit(limit)
-            .withColumn("total_alerts", total)
+    shown = alerts.orderBy(*order)
+    if limit is None:
+        return shown.withColumns({"total_alerts": total, "truncated": F.lit(False)})
+    if limit < 1:
+        raise ValueError("a limit of alerts must be positive")
+    return (shown.limit(limit).withColumn("total_alerts", total)
             .withColumn("truncated", F.col("total_alerts") > limit))
 
 
-def alert_view(scored: DataFrame, probability: str, threshold: float, limit: int) -> DataFrame:
-    """Alerts by time and probability, newest and strongest first; 1 to 1000 rows."""
-    return (scored.where(F.col(probability) >= threshold)
-            .orderBy(F.desc("event_time"), F.desc(probability), F.desc("event_id"))
-            .limit(min(MAX_ALERTS, max(1, limit))))
+def recent_alerts(scored: DataFrame, probability: str, threshold: float,
+                  limit: int | None = None) -> DataFrame:
+    """All alerts, or the newest ``limit`` of them."""
+    return _alert_list(scored.where(F.col(probability) >= threshold),
+                       [F.desc("event_time"), F.desc("event_id")], limit)
+
+
+def alert_view(scored: DataFrame, probability: str, threshold: float,
+               limit: int | None = None) -> DataFrame:
+    """Alerts by time and probability, newest and strongest first; all or ``limit`` of them."""
+    return _alert_list(scored.where(F.col(probability) >= threshold),
+                       [F.desc("event_time"), F.desc(probability), F.desc("event_id")], limit)
 
 
 def health_view(latest: DataFrame, probability: str, threshold: float,
@@ -75,10 +82,10 @@ def health_summary(labelled: DataFrame) -> DataFrame:
 
 
 def alerts_to_explain(scored: DataFrame, probability: str, threshold: float,
-                      limit: int) -> DataFrame:
-    """First alerts in time order; the id makes the order total."""
-    return (scored.where(F.col(probability) >= threshold)
-            .orderBy("event_time", "event_id").limit(limit))
+                      limit: int | None = None) -> DataFrame:
+    """Alerts in time order, all or the first ``limit``; the id makes the order total."""
+    return _alert_list(scored.where(F.col(probability) >= threshold),
+                       [F.asc("event_time"), F.asc("event_id")], limit)
 
 
 def newest_metric(metrics: DataFrame) -> DataFrame:

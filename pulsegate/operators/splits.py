@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulsegate.functions.scores import count_of, drift_ramp, hash_unit, share
+from pulsegate.functions.scores import count_of, hash_unit, share
 from pulsegate.operators.prefix import attach_by_key
 from pulsegate.schema import TARGET
 
@@ -160,12 +160,6 @@ def split_overlap_counts(frame: DataFrame) -> DataFrame:
                       count_of(F.col("lo") != F.col("hi")).alias("ids_in_two_splits"))
 
 
-def with_drift_ramp(frame: DataFrame, start: str, start_day: int, ramp_days: int) -> DataFrame:
-    origin = F.unix_micros(F.lit(start).cast("timestamp"))
-    offset = (F.unix_micros(F.col("event_time").cast("timestamp")) - origin) / 86_400_000_000.0
-    return frame.withColumn("drift_progress", drift_ramp(offset, start_day, ramp_days))
-
-
 def surrogate_event_id(frame: DataFrame, namespace: str, parts: list[str]) -> DataFrame:
     """Stable id of a logical observation from the columns that identify it."""
     key = F.concat_ws(":", F.lit(namespace), *[F.col(p).cast("string") for p in parts])

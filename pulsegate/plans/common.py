@@ -51,7 +51,7 @@ def rul_truth(t: Tables) -> DataFrame:
 
 
 def rul_predictions(t: Tables) -> DataFrame:
-    final = labels.final_test_cycles(t.trajectory())
+    final = labels.at_last_cycle(t.trajectory())
     return final.select("unit_id", F.greatest(
         F.lit(0.0), F.lit(90.0) - F.col("cycle") + F.col("setting_1")).alias("predicted_rul"))
 

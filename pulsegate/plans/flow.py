@@ -71,36 +71,6 @@ def display_threshold(t):
             .withColumnRenamed("threshold", "threshold_alerts"))
 
 
-_DRAW = ("(instr('0123456789abcdef', substr(md5(event_id), 1, 1)) - 1) / 16.0E0"
-         " + (instr('0123456789abcdef', substr(md5(event_id), 2, 1)) - 1) / 256.0E0")
-
-
-@query("r7_task_profile", f"""
-    SELECT event_id, source_sequence, task AS profile_task,
-      CASE task WHEN 'incident_response' THEN 'high' WHEN 'incident_enrichment' THEN 'high'
-        WHEN 'health_monitor' THEN 'medium' ELSE 'low' END AS profile_criticality,
-      CASE task WHEN 'incident_response' THEN 250 WHEN 'incident_enrichment' THEN 500
-        WHEN 'health_monitor' THEN 1000 WHEN 'capacity_analytics' THEN 300000
-        ELSE 900000 END AS profile_sla_ms,
-      CASE WHEN task IN ('capacity_analytics', 'model_feedback') THEN 'batch'
-        ELSE 'stream' END AS profile_route,
-      CAST(CASE task WHEN 'incident_response' THEN 2.5 WHEN 'incident_enrichment' THEN 1.8
-        WHEN 'health_monitor' THEN 1.0 WHEN 'capacity_analytics' THEN 1.4
-        ELSE 2.0 END AS DOUBLE) AS profile_units
-    FROM (SELECT *, CASE WHEN failure_within_30min = 1 THEN 'incident_response'
-        WHEN draw < CASE WHEN traffic_campaign_flag THEN 0.35 ELSE 0.12 END
-          THEN 'incident_enrichment'
-        WHEN draw < 0.70 THEN 'health_monitor' WHEN draw < 0.92 THEN 'capacity_analytics'
-        ELSE 'model_feedback' END AS task
-      FROM (SELECT *, {_DRAW} AS draw FROM telemetry))""", ("telemetry",))
-def task_profile(t):
-    draw = hex_digit("event_id", 1) / 16.0 + hex_digit("event_id", 2) / 256.0
-    profiled = routing.task_profile(t.telemetry().withColumn("draw", draw),
-                                    "failure_within_30min", "traffic_campaign_flag", "draw")
-    return profiled.select(*KEY, "profile_task", "profile_criticality", "profile_sla_ms",
-                           "profile_route", "profile_units")
-
-
 @query("a5_routing_report", """
     SELECT *, round(correct_rows / labelled_rows, 6) AS routing_accuracy FROM (
       SELECT count(*) AS routed_rows, count(*) FILTER (WHERE route = 'stream') AS stream_rows,
@@ -248,16 +218,6 @@ def backlog_peaks(t):
     return rounded(peaks, "max_backlog_units", "max_delay_minutes", digits=4)
 
 
-@query("w13_priority_allocation")
-def priority_allocation(t):
-    by = ["data_center_id"]
-    series = whole_series(t, by)
-    plan = workload.capacity_plan(series, 0.02, by=by)
-    planned = series.join(plan, by)
-    return workload.priority_allocation(
-        planned, F.col("capacity"), F.col("normal_share"), F.col("burst_share"), by)
-
-
 @query("w14_recovery", _with_queue("""
     SELECT last_burst, min(CASE WHEN event_minute >= last_burst AND baseline_backlog <= 0
       THEN CAST(date_diff('minute', last_burst, event_minute) AS DOUBLE) END)
@@ -268,25 +228,6 @@ def recovery(t):
     return workload.recovery_minutes(unified(t), "baseline_backlog")
 
 
-BURSTS = [{"start_day": 7, "start_hour": 18, "duration_minutes": 60, "multiplier": 5},
-          {"start_day": 7, "start_hour": 12, "duration_minutes": 720, "multiplier": 3},
-          {"start_day": 24, "start_hour": 20, "duration_minutes": 90, "multiplier": 10}]
-
-
-@query("j6_burst_multiplier", """
-    SELECT event_id, source_sequence,
-      CAST(CASE WHEN event_time >= TIMESTAMP '2024-01-07 18:00:00'
-             AND event_time < TIMESTAMP '2024-01-07 19:00:00' THEN 5
-           WHEN event_time >= TIMESTAMP '2024-01-07 12:00:00'
-             AND event_time < TIMESTAMP '2024-01-08 00:00:00' THEN 3
-           WHEN event_time >= TIMESTAMP '2024-01-24 20:00:00'
-             AND event_time < TIMESTAMP '2024-01-24 21:30:00' THEN 10
-           ELSE 1 END AS DOUBLE) AS burst_multiplier FROM telemetry""", ("telemetry",))
-def burst_multiplier(t):
-    return labels.burst_multiplier(t.telemetry(), BURSTS, START).select(
-        *KEY, "burst_multiplier")
-
-
 @query("l1_first_rows", """
     SELECT event_id, source_sequence, event_time FROM telemetry
     ORDER BY event_time, source_sequence LIMIT 500""", ("telemetry",))

@@ -36,8 +36,8 @@ for _number, _rule in enumerate(RULES, start=1):
        f"SELECT event_id, source_sequence FROM ranked WHERE {RULE_SQL['duplicate_event']}",
        ("ranked",))
 def duplicate_event_two_pass(t):
-    """The strategy large inputs get, checked on its own."""
-    return (quality.mark_repeats(t.telemetry(), "staged").where(REPEAT_FLAG)
+    """The same rows when they arrive in another partitioning."""
+    return (quality.mark_repeats(t.telemetry().repartition(7)).where(REPEAT_FLAG)
             .select(*ROW_KEY))
 
 

@@ -22,27 +22,16 @@ from pulsegate.streaming import gate_stream
 
 
 def queue_reports(series: DataFrame, multiplier: float = 1.10) -> dict[str, DataFrame]:
-    """Capacity plan, both queue policies, their peaks and their recovery."""
+    """Capacity plan and the shared queue: trace, peaks and recovery."""
     timed = stage(workload.with_elapsed(series), "workload-series")
     plan = stage(workload.capacity_plan(timed, multiplier), "capacity-plan")
     if plan.where("capacity IS NOT NULL").isEmpty():
         raise ValueError("no steps outside bursts to derive a capacity from")
-    capacity, normal, burst = (plan.select(c).scalar()
-                               for c in ("capacity", "normal_share", "burst_share"))
-    unified = workload.unified_backlog(timed, capacity)
-    shared = workload.priority_allocation(timed, capacity, normal, burst)
-    peaks = (workload.backlog_peaks(unified, "baseline_backlog", "baseline_delay")
-             .withColumn("policy", F.lit("unified"))
-             .unionByName(workload.backlog_peaks(shared, "stream_backlog", "stream_delay")
-                          .withColumn("policy", F.lit("priority"))))
-    recovery = (workload.recovery_minutes(unified, "baseline_backlog")
-                .withColumn("policy", F.lit("unified"))
-                .unionByName(workload.recovery_minutes(shared, "stream_backlog")
-                             .withColumn("policy", F.lit("priority"))))
-    trace = unified.select("event_minute", "baseline_backlog", "baseline_delay").join(
-        shared, "event_minute")
-    return {"capacity_plan": plan, "queue_peaks": peaks, "queue_recovery": recovery,
-            "controller_trace": trace}
+    unified = workload.unified_backlog(timed, plan.select("capacity").scalar())
+    return {"capacity_plan": plan,
+            "queue_peaks": workload.backlog_peaks(unified, "baseline_backlog", "baseline_delay"),
+            "queue_recovery": workload.recovery_minutes(unified, "baseline_backlog"),
+            "queue_trace": unified.select("event_minute", "baseline_backlog", "baseline_delay")}
 
 
 def quality_and_routing(source: DataFrame, out: str, width: str = "5 minutes",
@@ -61,10 +50,10 @@ def quality_and_routing(source: DataFrame, out: str, width: str = "5 minutes",
         "routing_losses": routing.routing_losses(kept, routed, ["event_id", "source_sequence"]),
         "paths": workload.path_comparison(routed, width),
         **queue_reports(workload.workload_series(routed, grain), multiplier)}
-    trace = reports.pop("controller_trace")
+    trace = reports.pop("queue_trace")
     for name, report in reports.items():
         sinks.write_report(report, f"{out}/reports/{name}")
-    sinks.write_trace(trace, f"{out}/controller_trace")
+    sinks.write_trace(trace, f"{out}/queue_trace")
     if evidence:
         sinks.write_accepted_evidence(judged, f"{out}/accepted")
         sinks.write_quarantine_evidence(judged, f"{out}/quarantine")
@@ -114,11 +103,11 @@ def remaining_life(train: DataFrame, test: DataFrame, truth: DataFrame, out: str
     unmatched = labels.unmatched_units(test, capped)
     if not unmatched.isEmpty():
         raise ValueError(f"units and labels differ, e.g. {unmatched.first()}")
-    prepared = stage(labels.with_train_rul(train, cap), "rul-train")
+    prepared = stage(labels.life_target(train, cap), "rul-train")
     pipeline = (models.linear_rul(TRAJECTORY_FEATURES) if model == "linear"
                 else models.boosted_rul(TRAJECTORY_FEATURES, **settings))
     fitted = pipeline.fit(prepared)
-    predicted = models.predict_rul(fitted, labels.final_test_cycles(test), ["unit_id"])
+    predicted = models.predict_rul(fitted, labels.at_last_cycle(test), ["unit_id"])
     errors = stage(labels.rul_errors(predicted, capped), "rul-errors")
     sinks.write_artefact(errors, f"{out}/{model}/predictions", True)
     sinks.write_report(labels.regression_report(errors), f"{out}/{model}/metrics")
@@ -132,9 +121,9 @@ def failure_horizon(train: DataFrame, test: DataFrame, truth: DataFrame, out: st
                        .alias("rul_at_final_cycle"))
     key = F.concat_ws("-", "unit_id", "cycle")
     fitting = stage(splits.stratified_folds(
-        labels.label_train(train, horizon).withColumn("row_key", key),
+        labels.horizon_target(train, horizon).withColumn("row_key", key),
         labels.HORIZON_LABEL, "row_key", folds), "horizon-train")
-    held = stage(labels.label_test(test, rul, horizon), "horizon-test")
+    held = stage(labels.horizon_target(test, horizon, rul), "horizon-test")
     for name, frame in (("train", fitting), ("test", held)):
         sinks.write_report(labels.label_distribution(frame), f"{out}/distribution/{name}")
         sinks.write_report(labels.rul_bands(frame), f"{out}/rul_bands/{name}")

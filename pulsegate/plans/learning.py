@@ -22,7 +22,7 @@ LIFE_FEATURES = ["cycle", "setting_1", "sensor_1", "sensor_2"]
 
 def _life(t):
     """Trajectories with both labels; units are split by hash into train and test."""
-    frame = labels.label_train(labels.with_train_rul(t.trajectory(), 60.0), 30)
+    frame = labels.horizon_target(labels.life_target(t.trajectory(), 60.0), 30)
     held = hex_digit("unit_id") < 4
     frame = stage(frame.withColumn("held", held), "life")
     return frame.where("NOT held"), frame.where("held")
@@ -125,12 +125,12 @@ def health_snapshot(t):
 
 @query("m11_threshold_alerts")
 def threshold_alerts(t):
-    return adaptive_run(t).threshold_alerts(200)
+    return adaptive_run(t).threshold_alerts()
 
 
 @query("m12_attributions")
 def attributions(t):
-    return adaptive_run(t).explanations(200)
+    return adaptive_run(t).explanations()
 
 
 @query("m14_balanced_baseline")

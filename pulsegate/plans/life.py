@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegate.functions.scores import precursor_severity
 from pulsegate.operators import labels, splits
 from pulsegate.plans.common import rounded, rul_predictions, rul_truth
 from pulsegate.plans.registry import query
@@ -89,7 +88,7 @@ _TEST = f"""SELECT f.* EXCLUDE (terminal), rul + terminal - cycle AS actual_rul,
 
 @query("j2_backfilled_rul", _TEST, ("trajectory",))
 def backfilled_rul(t):
-    return labels.label_test(t.trajectory(), rul_truth(t), 30)
+    return labels.horizon_target(t.trajectory(), 30, rul_truth(t))
 
 
 @query("j3_label_reconciliation", """
@@ -107,13 +106,13 @@ def label_reconciliation(t):
     SELECT unit_id, cycle, least(CAST(terminal - cycle AS DOUBLE), 60.0E0) AS label
     FROM ({_TERMINAL})""", ("trajectory",))
 def train_rul(t):
-    return labels.with_train_rul(t.trajectory(), 60.0).select("unit_id", "cycle", "label")
+    return labels.life_target(t.trajectory(), 60.0).select("unit_id", "cycle", "label")
 
 
 @query("w3_last_cycle", f"SELECT * EXCLUDE (terminal) FROM ({_TERMINAL}) "
                          "WHERE cycle = terminal", ("trajectory",))
 def last_cycle(t):
-    return labels.final_test_cycles(t.trajectory())
+    return labels.at_last_cycle(t.trajectory())
 
 
 _TRAIN = f"""SELECT unit_id, cycle, terminal - cycle AS actual_rul,
@@ -123,7 +122,7 @@ _TRAIN = f"""SELECT unit_id, cycle, terminal - cycle AS actual_rul,
 
 @query("w4_horizon_label", _TRAIN, ("trajectory",))
 def horizon_label(t):
-    return labels.label_train(t.trajectory(), 30).select(
+    return labels.horizon_target(t.trajectory(), 30).select(
         "unit_id", "cycle", "actual_rul", "failure_within_horizon")
 
 
@@ -133,7 +132,7 @@ def horizon_label(t):
       round(sum(failure_within_horizon) / count(*), 6) AS positive_rate
     FROM ({_TRAIN})""", ("trajectory",))
 def label_distribution(t):
-    return rounded(labels.label_distribution(labels.label_train(t.trajectory(), 30)),
+    return rounded(labels.label_distribution(labels.horizon_target(t.trajectory(), 30)),
                    "positive_rate")
 
 
@@ -142,7 +141,7 @@ def label_distribution(t):
       WHEN actual_rul <= 120 THEN '61-120' ELSE '121+' END AS rul_band, count(*) AS "rows"
     FROM ({_TEST}) GROUP BY 1""", ("trajectory",))
 def rul_bands(t):
-    return labels.rul_bands(labels.label_test(t.trajectory(), rul_truth(t), 30))
+    return labels.rul_bands(labels.horizon_target(t.trajectory(), 30, rul_truth(t)))
 
 
 @query("u3_distinct_engines", """
@@ -176,25 +175,3 @@ def _leads(t):
        ("telemetry", "incidents"))
 def lead_minutes(t):
     return rounded(_leads(t).select(*KEY, "lead_minutes"), "lead_minutes")
-
-
-@query("p9_precursor_severity", f"""
-    SELECT event_id, source_sequence, round(COALESCE(least(1.0E0, greatest(0.0E0,
-      1 - lead / 2880.0E0)), 0.0E0), 6) AS severity FROM ({_LEAD})""",
-       ("telemetry", "incidents"))
-def severity(t):
-    return _leads(t).select(*KEY, F.round(
-        precursor_severity(F.col("lead_minutes"), TWO_DAYS), 6).alias("severity"))
-
-
-@query("p10_drift_ramp", """
-    SELECT event_id, source_sequence, round(least(1.0E0, greatest(0.0E0,
-      (epoch_us(event_time) - epoch_us(TIMESTAMP '2024-01-15')) / 86400000000.0E0 / 3)), 6)
-      AS drift_progress,
-      CASE WHEN event_time < TIMESTAMP '2024-01-15' THEN 0.0E0 ELSE 1.0E0 END AS drift_step
-    FROM telemetry""", ("telemetry",))
-def drift_ramp(t):
-    stepped = splits.with_drift_ramp(t.telemetry(), START, 15, 0)
-    stepped = stepped.withColumnRenamed("drift_progress", "drift_step")
-    return rounded(splits.with_drift_ramp(stepped, START, 15, 3).select(
-        *KEY, "drift_progress", "drift_step"), "drift_progress")

@@ -44,7 +44,9 @@ def recent_alerts(t):
 
 
 @query("l4_alert_view", f"""
-    SELECT {_LIST} FROM {_EVALUATION} WHERE p_adaptive >= 0.7
+    SELECT {_LIST}, (SELECT count(*) FROM {_EVALUATION} WHERE p_adaptive >= 0.7) AS total_alerts,
+      (SELECT count(*) FROM {_EVALUATION} WHERE p_adaptive >= 0.7) > 200 AS truncated
+    FROM {_EVALUATION} WHERE p_adaptive >= 0.7
     ORDER BY event_time DESC, p_adaptive DESC, event_id DESC LIMIT 200""", ("scored",))
 def alert_view(t):
     return serving.alert_view(evaluation(t).select(*_COLUMNS), "p_adaptive", 0.7, 200)
@@ -68,7 +70,9 @@ def health_summary(t):
 
 
 @query("l8_alerts_to_explain", f"""
-    SELECT {_LIST} FROM {_EVALUATION} WHERE p_adaptive >= 0.6
+    SELECT {_LIST}, (SELECT count(*) FROM {_EVALUATION} WHERE p_adaptive >= 0.6) AS total_alerts,
+      (SELECT count(*) FROM {_EVALUATION} WHERE p_adaptive >= 0.6) > 100 AS truncated
+    FROM {_EVALUATION} WHERE p_adaptive >= 0.6
     ORDER BY event_time, event_id LIMIT 100""", ("scored",))
 def alerts_to_explain(t):
     return serving.alerts_to_explain(evaluation(t).select(*_COLUMNS), "p_adaptive", 0.6, 100)

@@ -5,7 +5,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 from pyspark.errors import AnalysisException
 
+from pulsegate.operators.prefix import global_rank
 from pulsegate.schema import TELEMETRY, TRAJECTORY_COLUMNS
+from pulsegate.staging import stage
 
 CORRUPT = "_corrupt_record"
 METRIC_DDL = ("batch_id BIGINT, received BIGINT, accepted BIGINT, quarantined BIGINT, "
@@ -122,9 +124,20 @@ def ordered_values(texts: DataFrame, text: str, keep: list[str] | None = None) -
 
 
 def rul_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Line n of the truth file is the remaining life of unit n."""
-    return ordered_values(spark.read.text(path, wholetext=True), "value").select(
-        F.col("position").alias("unit_id"), F.col("value").alias("actual_rul"))
+    """The n-th number of the truth files is the remaining life of unit n.
+
+    Numbers are ranked by file, block, line within the scan and place in the line, so a file is
+    read in as many tasks as it has blocks.
+    """
+    place = ["file", "block", "line", "position"]
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line")).where("trim(value) <> ''")
+    numbers = stage(ordered_values(lines, "value", place[:3]).withColumnRenamed(
+        "value", "actual_rul"), "life-numbers")
+    return global_rank(numbers, [F.col(c) for c in place]).select(
+        F.col("rank").alias("unit_id"), "actual_rul")
 
 
 def prepared_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

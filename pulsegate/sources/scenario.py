@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pulsegate.schema import QUALITY_CATEGORIES
 
 # Supported scenarios.
-SCENARIOS = ("covariate_shift_v1 concept_drift_v2 concept_drift_30d_v3 "
-             "concept_drift_30d_v4").split()
+SCENARIOS = [
+    "covariate_shift_v1",
+    "concept_drift_v2",
+    "concept_drift_30d_v3",
+    "concept_drift_30d_v4",
+]
 
 
 @dataclass
@@ -57,20 +61,6 @@ class Scenario:
         windows = self.experiment_windows
         return (windows.get("drift_reference", [1, 3]), windows.get("drift_current", [5, 7]))
 
-    def burst_table(self, spark: SparkSession) -> DataFrame:
-        """Burst windows as [start, end) timestamps with their order and multiplier."""
-        columns = ("position INT, start_day INT, start_hour INT, duration_minutes INT, "
-                   "multiplier DOUBLE")
-        rows = [(n, w["start_day"], w["start_hour"], w["duration_minutes"],
-                 float(w["multiplier"])) for n, w in enumerate(self.burst_windows)]
-        minute = F.lit(self.start_time).cast("timestamp") + F.make_dt_interval(
-            days=F.col("start_day") - 1, hours=F.col("start_hour"))
-        return (spark.createDataFrame(rows, columns)
-                .withColumn("start_time", minute)
-                .withColumn("end_time", F.col("start_time") + F.make_dt_interval(
-                    mins=F.col("duration_minutes"))))
-
-
 def scenario_from(text: str) -> Scenario:
     """Scenario from its JSON text; defect rates fall back to the two older rate fields."""
     raw = json.loads(text)

@@ -6,14 +6,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulsegate.schema import TELEMETRY_FIELDS
 
 # Columns of the evidence tables.
-QUARANTINE_COLUMNS = ("event_id event_time server_id is_injected_defect "
-                      "injected_defect_category injected_defect_type quality_failure_reasons "
-                      "detected_defect_categories quality_action").split()
-AUDIT_COLUMNS = ("event_id event_time server_id task_type criticality latency_sla_ms "
-                 "expected_route route route_rule_id decision_reason decision_time "
-                 "route_correct workload_units").split()
-PREDICTION_COLUMNS = ("event_id event_time server_id service_name risk_probability "
-                      "predicted_failure schema_version").split()
+QUARANTINE_COLUMNS = [
+    "event_id",
+    "event_time",
+    "server_id",
+    "is_injected_defect",
+    "injected_defect_category",
+    "injected_defect_type",
+    "quality_failure_reasons",
+    "detected_defect_categories",
+    "quality_action",
+]
+AUDIT_COLUMNS = [
+    "event_id",
+    "event_time",
+    "server_id",
+    "task_type",
+    "criticality",
+    "latency_sla_ms",
+    "expected_route",
+    "route",
+    "route_rule_id",
+    "decision_reason",
+    "decision_time",
+    "route_correct",
+    "workload_units",
+]
+PREDICTION_COLUMNS = [
+    "event_id",
+    "event_time",
+    "server_id",
+    "service_name",
+    "risk_probability",
+    "predicted_failure",
+    "schema_version",
+]
 
 
 def _batch_path(folder: str, batch_id: int | None) -> str:

@@ -34,7 +34,7 @@ def process_batch(batch: DataFrame, batch_id: int, out: GateSinks) -> None:
     the folders it wrote before. The classified batch is kept once for all sinks.
     """
     started = time.perf_counter()
-    classified = classify_quality(batch, "salted").persist(StorageLevel.MEMORY_AND_DISK)
+    classified = classify_quality(batch).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         valid = accepted(classified).drop(CORRUPT)
         # under its own name Spark would take the column for its own when reading it back

@@ -1,4 +1,4 @@
-"""Keyed state on streams: repeats across micro-batches, windowed aggregates, queue control."""
+"""Keyed state on streams: repeats across micro-batches and windowed aggregates."""
 from __future__ import annotations
 
 from typing import Iterator
@@ -69,35 +69,3 @@ def windowed_workload(stream: DataFrame, width: str = "5 minutes",
     if lateness:
         stream = stream.withWatermark("event_time", lateness)
     return window_aggregate(stream, width)
-
-
-def allocate_capacity(series: DataFrame, capacity: float, normal_share: float,
-                      burst_share: float, key: str = "data_center_id") -> DataFrame:
-    """Priority allocation over a stream of per-minute workload rows.
-
-    Rows of a group must arrive in time order; the state is the two queues and the last minute.
-    """
-    output = (f"{key} STRING, event_minute TIMESTAMP, stream_share DOUBLE, "
-              "stream_backlog DOUBLE, batch_backlog DOUBLE")
-
-    def step(group, batches: Iterator[pd.DataFrame], state: GroupState):
-        stream_queue, batch_queue, last = state.get if state.exists else (0.0, 0.0, None)
-        for batch in batches:
-            rows = []
-            for row in batch.sort_values("event_minute").itertuples(index=False):
-                now = row.event_minute.timestamp() / 60.0
-                minutes = 1.0 if last is None else max(1.0, now - last)
-                share = burst_share if row.is_burst or stream_queue > 0 else normal_share
-                stream_queue = max(0.0, stream_queue + row.stream_units
-                                   - capacity * share * minutes)
-                batch_queue = max(0.0, batch_queue + row.batch_units
-                                  - capacity * (1.0 - share) * minutes)
-                last = now
-                rows.append((group[0], row.event_minute, share, stream_queue, batch_queue))
-            yield pd.DataFrame(rows, columns=[key, "event_minute", "stream_share",
-                                              "stream_backlog", "batch_backlog"])
-        state.update((stream_queue, batch_queue, last))
-
-    return series.groupBy(key).applyInPandasWithState(
-        step, output, "stream_queue DOUBLE, batch_queue DOUBLE, last_minute DOUBLE", "append",
-        GroupStateTimeout.NoTimeout)

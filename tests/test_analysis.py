@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from pulsegate.functions.scores import ks_p_value, precursor_severity
+from pulsegate.functions.scores import ks_p_value
 from pulsegate.operators import (drift, features, labels, metrics, prefix, serving, splits,
                                  workload)
 from tests.rows import BASE, telemetry
@@ -184,12 +184,6 @@ def test_incident_bounds(spark):
         "0": 0, "10": 1, "30": 1, "40": 0}
 
 
-def test_precursor_severity(spark):
-    frame = spark.createDataFrame([(None,), (30.0,), (15.0,), (1.0,)], "lead DOUBLE")
-    got = [r[0] for r in frame.select(precursor_severity(F.col("lead"), 30.0)).collect()]
-    assert got[:3] == [0.0, 0.0, 0.5] and got[3] > 0.9
-
-
 def test_rolling_features_look_back_inclusively(spark):
     rows = [{"event_id": str(n), "event_time": minutes(n), "error_rate": n / 100.0}
             for n in range(30)]
@@ -262,7 +256,11 @@ def test_health_and_alert_views(spark):
     assert (summary.servers, summary.normal, summary.failure_warning) == (2, 1, 1)
     assert view.where("rank = 1").first().server_id == "srv-2"
     assert serving.alert_view(frame, "p1", 0.9, 200).count() == 0
-    assert serving.alert_view(frame, "p1", 0.7, 0).count() == 1
+    one = serving.alert_view(frame, "p1", 0.1, 1).first()
+    assert (one.event_id, one.total_alerts, one.truncated) == ("e2", 2, True)
+    assert not any(r.truncated for r in serving.alert_view(frame, "p1", 0.1).collect())
+    with pytest.raises(ValueError):
+        serving.alert_view(frame, "p1", 0.7, 0)
 
 
 def test_empty_alert_table_is_an_answer(spark):
@@ -285,7 +283,6 @@ def test_empty_inputs(spark):
     assert gate.max_ks_d is None and gate.drift_detected is False
     series = series_of(spark, [])
     assert workload.unified_backlog(series, 10.0).count() == 0
-    assert workload.priority_allocation(series, 10.0, 0.6, 0.9).count() == 0
     assert features.add_history_features(telemetry(spark, [])).count() == 0
     one_sided = drift.ks_by_feature(windows_frame(spark, range(5), [])).first()
     assert one_sided.ks_d is None and one_sided.p_value is None

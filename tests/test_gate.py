@@ -7,35 +7,22 @@ from pulsegate.operators import quality, routing
 from pulsegate.schema import TELEMETRY
 from tests.rows import BASE, defect, gate_set, telemetry
 
-STRATEGIES = ["salted", "staged", "hot-ids"]
+each_partitioning = pytest.mark.parametrize("parts", [1, 7, 40])
 
 
-@pytest.fixture()
-def strategy(request, monkeypatch):
-    """``hot-ids`` is ``staged`` where the id table is too large to broadcast."""
-    if request.param != "hot-ids":
-        return request.param
-    monkeypatch.setattr(quality, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(quality, "HOT_ROWS", 5)
-    return "staged"
-
-
-each_strategy = pytest.mark.parametrize("strategy", STRATEGIES, indirect=True)
-
-
-@each_strategy
-def test_every_category_is_caught(spark, strategy):
+@each_partitioning
+def test_every_category_is_caught(spark, parts):
     rows = gate_set()
-    judged = quality.classify_quality(telemetry(spark, rows), strategy).collect()
+    judged = quality.classify_quality(telemetry(spark, rows).repartition(parts)).collect()
     good = sorted(r.event_id for r in judged if r.is_valid)
     assert good == ["a-good", "b-good"] and len(judged) == len(rows)
-    found = quality.category_report(quality.classify_quality(telemetry(spark, rows), strategy))
+    found = quality.category_report(quality.classify_quality(telemetry(spark, rows).repartition(parts)))
     assert sorted(r.category for r in found.collect()) == sorted(
         {r["injected_defect_category"] for r in rows if "injected_defect_category" in r})
 
 
-@each_strategy
-def test_edge_rows(spark, strategy):
+@each_partitioning
+def test_edge_rows(spark, parts):
     at = BASE["event_time"]
     rows = [
         {"event_id": None}, {"event_id": None, "source_sequence": 2},
@@ -48,7 +35,7 @@ def test_edge_rows(spark, strategy):
         {"event_id": "same", "source_sequence": 1}, {"event_id": "same", "source_sequence": 2},
         {"event_id": "disk", "disk_util_pct": None},
     ]
-    judged = quality.classify_quality(telemetry(spark, rows), strategy)
+    judged = quality.classify_quality(telemetry(spark, rows).repartition(parts))
     got = sorted((r.event_id or "", r.quality_failure_type) for r in judged.collect())
     assert got == sorted([
         ("", "missing_required_field"), ("", "missing_required_field"),
@@ -57,22 +44,22 @@ def test_edge_rows(spark, strategy):
         ("same", ""), ("same", "duplicate_event"), ("disk", "")])
 
 
-@each_strategy
-def test_one_id_with_a_third_of_all_rows_keeps_exactly_one(spark, strategy):
+@each_partitioning
+def test_one_id_with_a_third_of_all_rows_keeps_exactly_one(spark, parts):
     event_id = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
         F.concat(F.lit("e"), F.col("id")))
     frame = spark.range(0, 6000, 1, 8).select(*[
         (event_id if f.name == "event_id" else F.lit(BASE.get(f.name)).cast(f.dataType))
         .alias(f.name) for f in TELEMETRY])
-    marked = quality.mark_repeats(frame, strategy)
+    marked = quality.mark_repeats(frame.repartition(parts))
     hot = marked.where("event_id = 'hot'")
     assert marked.count() == 6000
     assert hot.where("NOT _is_repeat").count() == 1
     assert marked.where("event_id <> 'hot' AND _is_repeat").count() == 0
 
 
-@each_strategy
-def test_strategies_agree(spark, strategy):
+@each_partitioning
+def test_first_arrival_stays(spark, parts):
     rows = [{"event_id": f"e{n % 7}" if n < 50 else f"e{n}", "source_sequence": 100 - n,
              "ingest_time": BASE["ingest_time"] + dt.timedelta(seconds=n % 5)}
             for n in range(60)] + [{"event_id": None}] * 3
@@ -84,13 +71,21 @@ def test_strategies_agree(spark, strategy):
     first = {}
     for event_id, sequence in want:
         first.setdefault(event_id, sequence)
-    got = quality.mark_repeats(frame, strategy).select(*columns).collect()
+    got = quality.mark_repeats(frame.repartition(parts)).select(*columns).collect()
     assert len(got) == 63
     for row in got:
         assert row._is_repeat == (row.event_id is not None
                                   and first[row.event_id] != row.source_sequence)
 
 
+def test_equal_arrival_keys_leave_the_same_survivor(spark):
+    rows = [{"event_id": "tied", "cpu_util_pct": float(n)} for n in range(20)]
+    kept = {parts: [r.cpu_util_pct for r in quality.mark_repeats(
+        telemetry(spark, rows).repartition(parts)).where("NOT _is_repeat").collect()]
+        for parts in (1, 7, 200)}
+    assert len(kept[1]) == 1 and kept[1] == kept[7] == kept[200]
+
+
 def test_clean_rows_count_as_category_false_alarms(spark):
     rows = [defect("a", "range", cpu_util_pct=120.0), {"event_id": "b", "cpu_util_pct": 130.0},
             {"event_id": "c"}]

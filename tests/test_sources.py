@@ -145,8 +145,6 @@ def test_scenario(spark, folder):
     loaded = scenario.load_scenario(spark, path)
     assert loaded.defect_rates == {"range": 0.01, "completeness": 0.01, "temporal": 0.01}
     assert loaded.drift_days() == ([1, 3], [5, 7])
-    row = loaded.burst_table(spark).first()
-    assert (row.start_time.day, row.start_time.hour, row.end_time.hour) == (2, 18, 19)
     for change in ({"days": 0}, {"scenario": "x"}, {"drift_start_day": 9},
                    {"quality_defect_rates": {"odd": 0.1}},
                    {"quality_defect_rates": {"range": 1.0}}, {"drift_transition_days": -1}):

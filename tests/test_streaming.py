@@ -109,32 +109,6 @@ def test_windows_on_a_stream_equal_batch(spark, folder):
         assert batch[row["window_start"]] == row["records"]
 
 
-def test_streamed_allocation_equals_the_batch(spark, folder):
-    import pathlib
-    inbox = pathlib.Path(f"{folder}/series")
-    inbox.mkdir(parents=True)
-    start = dt.datetime(2024, 5, 17, 8)
-    rows = [(start + dt.timedelta(minutes=n), 35.0 + 23 * (n % 4), 12.0 * (n % 3), n % 5 == 2)
-            for n in range(14)]
-    for n, part in enumerate((rows[:9], rows[9:])):
-        (inbox / f"{n}.json").write_text("".join(json.dumps({
-            "data_center_id": "dc", "event_minute": at.isoformat() + "Z", "stream_units": s,
-            "batch_units": b, "is_burst": burst}) + "\n" for at, s, b, burst in part))
-        os.utime(inbox / f"{n}.json", (1_000_000 + n, 1_000_000 + n))
-    schema = "event_minute TIMESTAMP, stream_units DOUBLE, batch_units DOUBLE, is_burst BOOLEAN"
-    series = (spark.readStream.schema("data_center_id STRING, " + schema)
-              .option("maxFilesPerTrigger", 1).json(str(inbox)))
-    got = collect_stream(spark, state.allocate_capacity(series, 90.0, 0.55, 0.8), folder)
-    batch = workload.priority_allocation(
-        workload.with_elapsed(spark.createDataFrame(rows, schema)), 90.0, 0.55, 0.8)
-    names = ["event_minute", "stream_share", "stream_backlog", "batch_backlog"]
-
-    def plain(found):
-        return sorted((r[names[0]], *(round(r[n], 9) for n in names[1:])) for r in found)
-
-    assert plain(got) == plain(batch.collect())
-
-
 def test_message_parsing_keeps_raw_text(spark):
     messages = spark.createDataFrame(
         [(bytearray(line({"event_id": "a"}).encode()), 0, 1), (bytearray(b"{nope"), 0, 2)],
