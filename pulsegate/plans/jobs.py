@@ -63,8 +63,8 @@ def quality_and_routing(source: DataFrame, out: str, width: str = "5 minutes",
 def adaptive_cycle(source: DataFrame, out: str, windows: dict, drift_days: tuple,
                    start: str | None = None, history: bool = True,
                    split_key: str = "event_id", threshold: float = drift.EFFECT_THRESHOLD,
-                   alpha: float = drift.ALPHA, recent: int = 2, explain: int = 500,
-                   alerts: int = 2000, **settings) -> None:
+                   alpha: float = drift.ALPHA, recent: int = 2, explain: int | None = None,
+                   alerts: int | None = None, **settings) -> None:
     """Accepted rows to drift gate, splits, model variants, alerts and attributions."""
     # the gate leaves one accepted row per id, so no further dedup is needed
     kept = stage(quality.accepted(quality.classify_quality(source)), "accepted")

@@ -31,10 +31,13 @@ def process_batch(batch: DataFrame, batch_id: int, out: GateSinks) -> None:
     """Gate one micro-batch and write every output under its batch id.
 
     Repeats stay in the batch until the gate counts them. A replay of the batch overwrites
-    the folders it wrote before. The classified batch is kept once for all sinks.
+    the folders it wrote before. The batch and its classified rows are kept
+    once for all sinks.
     """
     started = time.perf_counter()
-    classified = classify_quality(batch).persist(StorageLevel.MEMORY_AND_DISK)
+    # the gate reads its input more than once; the source is read once
+    arrived = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    classified = classify_quality(arrived).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         valid = accepted(classified).drop(CORRUPT)
         # under its own name Spark would take the column for its own when reading it back
@@ -57,6 +60,7 @@ def process_batch(batch: DataFrame, batch_id: int, out: GateSinks) -> None:
         sinks.write_metrics(metrics, out.path("metrics"), batch_id)
     finally:
         classified.unpersist()
+        arrived.unpersist()
 
 
 def run_gate(source: DataFrame, out: GateSinks, checkpoint: str,
