@@ -246,7 +246,9 @@ def read_packages(paths: DataFrame, id_type: str = "bigint") -> DataFrame:
                            "refers_to"])
 
     ranges = arrow_rows(paths.select("path"), locate, "path string, start long, length long")
-    spread = ranges.repartition(F.xxhash64("path", "start"))
+    # a stated number of tasks: by the bytes of these short rows all would be put into one
+    tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = ranges.repartition(tasks, F.xxhash64("path", "start"))
     return spread.mapInArrow(
         read, "page_id string, payload_bytes long, payload_digest string, record_type string, "
         "refers_to string").withColumns({
