@@ -73,8 +73,9 @@ def as_messages(frame: DataFrame, key: str = "server_id") -> DataFrame:
     return frame.select(F.col(key).alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
-def write_messages(frame: DataFrame, servers: str, topic: str) -> None:
-    (as_messages(frame).write.format("kafka").option("kafka.bootstrap.servers", servers)
+def write_messages(messages: DataFrame, servers: str, topic: str) -> None:
+    """Send rows that ``as_messages`` has encoded; a replayed batch sends them again."""
+    (messages.write.format("kafka").option("kafka.bootstrap.servers", servers)
      .option("topic", topic).save())
 
 
@@ -83,7 +84,10 @@ def prediction_documents(scored: DataFrame) -> DataFrame:
 
 
 def write_documents(scored: DataFrame, data_format: str, options: dict[str, str]) -> None:
-    """Append the prediction projection through whichever connector the caller names."""
+    """Append the prediction projection through whichever connector the caller names.
+
+    A replayed batch appends again: at least once, so readers take one row per ``event_id``.
+    """
     (prediction_documents(scored).write.format(data_format).options(**options)
      .mode("append").save())
 

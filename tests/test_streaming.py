@@ -68,6 +68,20 @@ def test_replayed_batch_is_written_once(spark, folder):
     assert readers.stream_metrics(spark, out.path("metrics")).count() == 1
 
 
+def test_published_rows_are_encoded_once(spark, folder):
+    inbox = drop_files(f"{folder}/inbox", [[line(r) for r in gate_set()]])
+    sent = {}
+    out = gate_stream.GateSinks(
+        f"{folder}/out", lambda name, rows: sent.update({name: (rows.columns, rows.collect())}))
+    gate_stream.process_batch(readers.telemetry_files(spark, inbox), 1, out)
+    assert {name: len(rows) for name, (_, rows) in sent.items()} == {
+        "quarantine": 6, "predictions": 2}
+    columns, rows = sent["predictions"]
+    assert columns == ["key", "value"]
+    assert {json.loads(r.value)["event_id"] for r in rows} == {"a-good", "b-good"}
+    assert {r.key for r in rows} == {json.loads(r.value)["server_id"] for r in rows}
+
+
 def collect_stream(spark, frame, folder, mode="append"):
     seen = []
     query = (frame.writeStream.outputMode(mode)
