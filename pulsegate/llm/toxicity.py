@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples (operator 9).
 
-Texts are TF-IDF vectors over terms that tell the labels apart: words and word beginnings of
-four to seven letters. The nearest examples by exact cosine are found with a block-max inverted index:
-examples stand in blocks, each term has its largest weight per block, so the sum of a query's
-weights times those is a bound for the block; blocks are evaluated from the highest bound down
-until no bound reaches the k-th similarity. Votes are weighted by similarity and calibrated by
+Texts are TF-IDF vectors over all words of the examples and their beginnings of four to seven
+letters. The nearest examples by exact cosine are found with a block-max inverted index: examples
+stand in blocks, each term has its postings and its largest weight per block. The commonest terms
+are summed for every example; that sum, with a query's weights times the block maxima of its other
+terms, is a bound for the block, and blocks whose bound does not reach the k-th similarity
+are left out. Votes are weighted by similarity and calibrated by
 isotonic regression on the examples themselves, each left out of its own vote.
 
 Examples, terms and the calibration come from at most ``sample`` labelled rows that are not held
@@ -13,8 +14,11 @@ rows and whole texts.
 """
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,10 +28,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pulsegate.llm.common import arrow_rows, small_batches
 from pulsegate.llm.language import bucket
 
-#: Bounds of the index: terms kept, examples of a block.
-MOST_TERMS, BLOCK = 2000, 32
-#: Least rows of the sample with a term, and least chi-square of a term.
-LEAST_ROWS, LEAST_CHI = 3, 15.0
+#: Examples of a block, terms whose postings are kept as a dense matrix, queries of one product.
+BLOCK, DENSE, TOGETHER = 32, 1024, 64
+#: More than the product of single precision can be off.
+SLACK = 1e-4
 #: Letters of word beginnings; results a worker remembers.
 BEGINNINGS, MEMORY = (4, 5, 6, 7), 200_000
 _EDGES = " .,;:!?\"'()[]{}<>|#*$%&@-_=+/\\~`^…«»“”‘’„¡¿"
@@ -51,61 +55,199 @@ def beginnings(word: str) -> list[str]:
     return [word[:n] + "*" for n in BEGINNINGS if len(word) >= n]
 
 
-class Vocabulary:
-    """Numbers of the known terms."""
+def _hashes(found: list[str]) -> np.ndarray:
+    """64-bit hashes of each word and its beginnings, 1 + len(BEGINNINGS) columns."""
+    data = b"".join([hashlib.blake2b(term.encode("utf-8", "replace"), digest_size=8).digest()
+                     for word in found for term in (word, *(
+                         word[:n] + "*" if len(word) >= n else "" for n in BEGINNINGS))])
+    return np.frombuffer(data, np.int64).reshape(-1, 1 + len(BEGINNINGS))
+
+
+_NOTHING = np.frombuffer(hashlib.blake2b(b"", digest_size=8).digest(), np.int64)[0]
 
-    def __init__(self, chosen: list[str]):
-        self.number = {term: n for n, term in enumerate(chosen)}
-        self.heads = {term[:BEGINNINGS[0]] for term in chosen if term.endswith("*")}
+
+class Vocabulary:
+    """Numbers of the known terms: places in their sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.remembered: dict[str, list[int]] = {}
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes, "remembered": {}}
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def of(self, found: Iterable[str]) -> list[list[int]]:
+        """Numbers of each word and its beginnings that are known."""
+        if len(self.remembered) >= MEMORY:
+            self.remembered.clear()
+        new = [word for word in found if word not in self.remembered]
+        if new and len(self):
+            hashes = _hashes(new)
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
+            known = self.hashes[at] == hashes
+            for word, places, right in zip(new, at.tolist(), known.tolist()):
+                self.remembered[word] = [p for p, r in zip(places, right) if r]
+        return [self.remembered.get(word, []) for word in found]
 
     def terms(self, text: str | None) -> dict[int, int]:
         """Count of each known term of ``text``."""
         out: dict[int, int] = {}
-        for word, count in words(text).items():
-            found = [word, *beginnings(word)] if word[:BEGINNINGS[0]] in self.heads else [word]
-            for term in found:
-                number = self.number.get(term)
-                if number is not None:
-                    out[number] = out.get(number, 0) + count
+        counts = words(text)
+        for numbers, count in zip(self.of(counts), counts.values()):
+            for number in numbers:
+                out[number] = out.get(number, 0) + count
         return out
 
 
+@dataclass
+class Rows:
+    """Sparse vectors: the terms and weights of row n stand at bounds[n]:bounds[n + 1]."""
+    bounds: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Rows:
+        rows, terms = np.nonzero(dense)
+        return cls(np.searchsorted(rows, np.arange(len(dense) + 1)), terms, dense[rows, terms],
+                   dense.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def __getitem__(self, order: np.ndarray) -> Rows:
+        sizes = np.diff(self.bounds)[order]
+        at = _ranges(self.bounds[:-1][order], sizes)
+        return Rows(np.append(0, np.cumsum(sizes)), self.terms[at], self.weights[at], self.width)
+
+    def row(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.bounds[n], self.bounds[n + 1])
+        return self.terms[at], self.weights[at]
+
+    def largest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Term with the largest weight of each row, and that weight; -1 and 0 without any."""
+        top, most = np.full(len(self), -1), np.zeros(len(self))
+        for n in np.flatnonzero(np.diff(self.bounds)):
+            terms, weights = self.row(n)
+            top[n], most[n] = terms[weights.argmax()], weights.max()
+        return top, most
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 @dataclass
 class BlockMaxIndex:
-    """Examples sorted so that like ones share a block, their vectors and the block maxima."""
-    vectors: np.ndarray  # one row per example, of length 1 or 0
+    """Examples sorted so that like ones share a block, as posting lists with block maxima.
+
+    The lists of the DENSE commonest terms are columns of one matrix. The postings of the others
+    are (place, weight) pairs in order of the place; those of one block are an entry of the term:
+    its block, its largest weight, its first posting.
+    """
+    vectors: np.ndarray | Rows  # one row per example, of length 1 or 0
     ids: np.ndarray
     toxic: np.ndarray
-    maxima: np.ndarray = field(init=False)  # one row per block, one column per term
 
     def __post_init__(self):
-        top = np.where(self.vectors.any(axis=1), self.vectors.argmax(axis=1), -1)
-        order = np.lexsort((self.ids, -self.vectors.max(axis=1, initial=0), top))
-        self.vectors, self.ids, self.toxic = (
-            x[order] for x in (self.vectors, self.ids, self.toxic))
-        blocks = range(0, len(self.ids), BLOCK)
-        self.maxima = np.array([self.vectors[b:b + BLOCK].max(axis=0) for b in blocks]).reshape(
-            len(blocks), self.vectors.shape[1])
+        rows = Rows.of(self.vectors) if isinstance(self.vectors, np.ndarray) else self.vectors
+        top, most = rows.largest()
+        order = np.lexsort((self.ids, -most, top))
+        dense = self.vectors is not rows
+        self.ids, self.toxic, rows = self.ids[order], self.toxic[order], rows[order]
+        self.vectors, self.rows = self.vectors[order] if dense else rows, rows
+        self._post(rows)
+
+    def __getstate__(self) -> dict:
+        return {"rows": self.rows, "ids": self.ids, "toxic": self.toxic}
+
+    def __setstate__(self, state: dict):
+        # postings are made again where they are used: less to send
+        self.__dict__.update(state, vectors=state["rows"])
+        self._post(self.rows)
+
+    def _post(self, rows: Rows) -> None:
+        places = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(rows.bounds))
+        common = np.argsort(-np.bincount(rows.terms, minlength=rows.width), kind="stable")[:DENSE]
+        self.column = np.full(rows.width, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[rows.terms] >= 0
+        high = -(-len(rows) // BLOCK) * BLOCK
+        self.matrix = np.zeros((len(common), high), np.float32)
+        self.matrix[self.column[rows.terms[dense]], places[dense]] = rows.weights[dense]
+        by_term = np.flatnonzero(~dense)
+        by_term = by_term[np.argsort(rows.terms[by_term], kind="stable")]
+        terms = rows.terms[by_term]
+        self.places, self.weights = places[by_term], rows.weights[by_term]
+        blocks = self.places // BLOCK
+        first = np.ones(len(terms), bool)
+        first[1:] = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
+        starts = np.flatnonzero(first)
+        self.blocks = blocks[starts]
+        self.maxima = np.maximum.reduceat(self.weights, starts) if len(starts) else self.weights
+        self.starts = np.append(starts, len(terms))
+        self.entries = np.searchsorted(terms[starts], np.arange(rows.width + 1))
+        self.query = np.zeros(rows.width)
 
     def nearest(self, columns: np.ndarray, weights: np.ndarray, k: int, skip: int = -1,
                 ) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` nearest with a cosine over 0; ties by id."""
-        bounds = self.maxima[:, columns] @ weights
-        found = np.zeros(0, np.int64)
-        similar = np.zeros(0)
-        for block in np.argsort(-bounds, kind="stable"):
-            # a tie with the k-th may still win by its id
-            if bounds[block] <= 0 or len(found) == k and bounds[block] < similar[-1] - 1e-12:
-                break
-            start = block * BLOCK
-            own = self.vectors[start:start + BLOCK][:, columns] @ weights
-            places = start + np.flatnonzero(own > 0)
-            places = places[places != skip]
-            found = np.concatenate([found, places])
-            similar = np.concatenate([similar, np.round(own[places - start], 12)])
-            best = np.lexsort((self.ids[found], -similar))[:k]
-            found, similar = found[best], similar[best]
-        return found, similar
+        return next(self.nearest_of([(columns, weights)], k, [skip]))
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int,
+                   skips: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each query; TOGETHER of them share one product."""
+        for at in range(0, len(queries), TOGETHER):
+            part = queries[at:at + TOGETHER]
+            dense = np.zeros((len(part), len(self.matrix)), np.float32)
+            for n, (columns, weights) in enumerate(part):
+                own = self.column[columns]
+                dense[n, own[own >= 0]] = weights[own >= 0]
+            for n, sums in enumerate(dense @ self.matrix):
+                yield self._search(*part[n], sums, k, skips[at + n] if skips else -1)
+
+    def _search(self, columns: np.ndarray, weights: np.ndarray, sums: np.ndarray, k: int,
+                skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """``sums`` are the shares of the common terms, which no cosine is below."""
+        size = len(self.rows)
+        if skip >= 0:
+            sums[skip] = -9
+        sizes = self.entries[columns + 1] - self.entries[columns]
+        entries, own = _ranges(self.entries[columns], sizes), np.repeat(weights, sizes)
+        blocks = self.blocks[entries]
+        bounds = sums.reshape(-1, BLOCK).max(axis=1) + np.bincount(
+            blocks, self.maxima[entries] * own, minlength=len(sums) // BLOCK)
+        open_blocks = bounds >= self._least(sums[:size], k)
+        part = open_blocks[blocks]
+        first = self.starts[entries[part]]
+        lengths = self.starts[entries[part] + 1] - first
+        postings = _ranges(first, lengths)
+        similar = sums + np.bincount(
+            self.places[postings], self.weights[postings] * np.repeat(own[part], lengths),
+            minlength=len(sums))
+        found = np.flatnonzero(similar[:size] >= self._least(similar[:size], k))
+        found = found[(similar[found] > 0) & (found != skip)]
+        # what is near enough is summed anew in double precision
+        self.query[columns] = weights
+        lengths = np.diff(self.rows.bounds)[found]
+        at = _ranges(self.rows.bounds[:-1][found], lengths)
+        exact = np.round(np.bincount(
+            np.repeat(np.arange(len(found)), lengths),
+            self.rows.weights[at] * self.query[self.rows.terms[at]], minlength=len(found)), 12)
+        self.query[columns] = 0
+        best = np.lexsort((self.ids[found], -exact))[:k]
+        best = best[exact[best] > 0]
+        return found[best], exact[best]
+
+    @staticmethod
+    def _least(sums: np.ndarray, k: int) -> float:
+        return np.partition(sums, -k)[-k] - 2 * SLACK if len(sums) > k else -1.0
 
 
 @dataclass
@@ -132,15 +274,16 @@ class ToxicityModel:
         at = max(int(np.searchsorted(self.steps, vote, "right")) - 1, 0)
         return float(self.values[at])
 
-    def score(self, found: dict[int, int]) -> tuple[float, list]:
-        if not found:
-            return self.silent, []
-        places, similar = self.index.nearest(*self.query(found), self.k)
-        if not len(places):
-            return self.silent, []
-        evidence = [(int(self.index.ids[p]), float(s), int(self.index.toxic[p]))
-                    for p, s in zip(places[:3], similar)]
-        return self.calibrated(self.vote(places, similar)), evidence
+    def scores(self, found: list[dict[int, int]]) -> list[tuple[float, list]]:
+        out: list[tuple[float, list]] = [(self.silent, [])] * len(found)
+        spoken = [n for n, own in enumerate(found) if own]
+        nearest = self.index.nearest_of([self.query(found[n]) for n in spoken], self.k)
+        for n, (places, similar) in zip(spoken, nearest):
+            if len(places):
+                evidence = [(int(self.index.ids[p]), float(s), int(self.index.toxic[p]))
+                            for p, s in zip(places[:3], similar)]
+                out[n] = self.calibrated(self.vote(places, similar)), evidence
+        return out
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray,
@@ -175,42 +318,48 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame,
     return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), share
 
 
-def _terms_of(docs: DataFrame) -> DataFrame:
-    """``term, rows, toxic``: rows of the sample with a term, and those with label 1."""
+def _terms_of(docs: DataFrame) -> np.ndarray:
+    """Hashes of all terms of the sample."""
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows: Counter = Counter()
-        toxic: Counter = Counter()
-        for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-            found = set(words(text.as_py()))
-            found.update([head for word in found for head in beginnings(word)])
-            rows.update(found)
-            if label:
-                toxic.update(found)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64()),
-             pa.array([toxic[t] for t in rows], pa.int64())], names=["term", "rows", "toxic"])
+        found: set = set()
+        for text in batch.column("text"):
+            found.update(words(text.as_py()))
+        hashes = np.unique(_hashes(list(found)))
+        return pa.RecordBatch.from_arrays([pa.array(hashes[hashes != _NOTHING])], names=["term"])
 
-    return arrow_rows(docs, make, "term string, rows long, toxic long", "text").groupBy(
-        "term").agg(F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic"))
+    # terms of ``sample`` texts
+    return _numbers(arrow_rows(docs.select("text"), make, "term long", "text").distinct())[0]
 
 
-def document_frequency(docs: DataFrame, known: Vocabulary) -> tuple[np.ndarray, int]:
-    """Rows of ``docs`` with each known term, and all rows."""
-    size = len(known.number)
+def _numbers(frame: DataFrame) -> list[np.ndarray]:
+    """Columns of numbers of a table that the driver can hold."""
+    table = frame.toArrow()
+    return [column.to_numpy() for column in table.columns]
 
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = Counter({size: batch.num_rows})
-        for text in batch.column("text"):
-            counts.update(known.terms(text.as_py()).keys())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())],
-            names=["term", "rows"])
 
-    sums = arrow_rows(docs.select("text"), make, "term long, rows long", "text").groupBy(
-        "term").agg(F.sum("rows").alias("rows")).collect()
+def document_frequency(docs: DataFrame, known: Vocabulary) -> tuple[np.ndarray, int]:
+    """Rows of ``docs`` with each known term, and all rows; one vector per task is summed."""
+    size = len(known)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    small_batches(docs)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = shared.value, np.zeros(size + 1, np.int64)
+        for batch in batches:
+            total[size] += batch.num_rows
+            for text in batch.column("text"):
+                found = set(chain.from_iterable(own.of(words(text.as_py()))))
+                total[np.fromiter(found, np.int64, len(found))] += 1
+        seen = np.flatnonzero(total)
+        for at in range(0, len(seen), 1 << 16):
+            part = seen[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])],
+                                             names=["term", "rows"])
+
+    terms, sums = _numbers(docs.select("text").mapInArrow(count, "term long, rows long").groupBy(
+        "term").agg(F.sum("rows").alias("rows")))
     out = np.zeros(size + 1, np.int64)
-    for row in sums:
-        out[row["term"]] = row["rows"]
+    out[terms] = sums
     return out[:-1], int(out[-1])
 
 
@@ -222,42 +371,43 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, k: int = 25,
     if len(sizes) < 2:
         return None
     n, positive = sum(sizes.values()), sizes[1]
-    expected = F.col("rows") * (positive / n)
-    chi = (F.col("toxic") - expected) ** 2 / (expected * (1 - positive / n))
-    chosen = _terms_of(drawn).withColumn("chi", chi).filter(
-        (F.col("rows") >= LEAST_ROWS) & (F.col("chi") >= LEAST_CHI)).orderBy(
-        F.desc("chi"), "term").limit(MOST_TERMS).collect()
-    known = Vocabulary([row["term"] for row in chosen])
+    known = Vocabulary(_terms_of(drawn))
     frequency, rows = document_frequency(docs, known)
     inverse = np.log((1 + rows) / (1 + frequency)) + 1
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [known.terms(text.as_py()) for text in batch.column("text")]
+        found = [sorted(shared.value.terms(text.as_py()).items()) for text in batch.column("text")]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("toxic"),
-             pa.array([list(f.items()) for f in found], pa.map_(pa.int32(), pa.int32()))],
-            names=["doc_id", "toxic", "terms"])
+             pa.array([np.array([t for t, _ in f], np.int32).tobytes() for f in found], pa.binary()),
+             pa.array([np.array([c for _, c in f], np.int32).tobytes() for f in found],
+                      pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
 
     examples = arrow_rows(drawn, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
-                          "toxic int, terms map<int,int>", "text").orderBy("doc_id").collect()
-    vectors = np.zeros((len(examples), max(len(known.number), 1)))
-    for place, row in enumerate(examples):
-        for term, count in row["terms"].items():
-            vectors[place, term] = (1 + np.log(count)) * inverse[term]
-    length = np.sqrt((vectors ** 2).sum(axis=1, keepdims=True))
-    vectors /= np.where(length == 0, 1, length)
-    index = BlockMaxIndex(vectors, np.array([row["doc_id"] for row in examples]),
+                          "toxic int, terms binary, counts binary", "text").orderBy(
+        "doc_id").collect()
+    parts = [np.frombuffer(row["terms"], np.int32) for row in examples]
+    bounds = np.append(0, np.cumsum([len(part) for part in parts]))
+    terms = np.concatenate(parts)
+    weights = (1 + np.log(np.concatenate([np.frombuffer(row["counts"], np.int32)
+                                          for row in examples]))) * inverse[terms]
+    lengths = np.sqrt([(weights[a:b] ** 2).sum() for a, b in zip(bounds[:-1], bounds[1:])])
+    weights /= np.repeat(lengths, np.diff(bounds))
+    index = BlockMaxIndex(Rows(bounds, terms, weights, len(known)),
+                          np.array([row["doc_id"] for row in examples]),
                           np.array([row["toxic"] for row in examples]))
+    del examples, parts, terms, weights
     weight = ((1 - share) / (1 - positive / n), share / (positive / n))
     model = ToxicityModel(known, inverse, index, weight, k)
     own = np.where(index.toxic == 1, weight[1], weight[0])
-    blank = ~index.vectors.any(axis=1)
+    blank = np.diff(index.rows.bounds) == 0
     model.silent = float(((own * index.toxic)[blank].sum() + 0.5 * share)
                          / (own[blank].sum() + 0.5))
     votes, kept = [], []
-    for place in np.flatnonzero(~blank):
-        columns = np.flatnonzero(index.vectors[place])
-        found, similar = index.nearest(columns, index.vectors[place, columns], k, skip=place)
+    spoken = np.flatnonzero(~blank).tolist()
+    nearest = index.nearest_of([index.rows.row(place) for place in spoken], k, spoken)
+    for place, (found, similar) in zip(spoken, nearest):
         if len(found):
             votes.append(model.vote(found, similar))
             kept.append(place)
@@ -283,18 +433,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, k: in
 
     @F.pandas_udf(SCORE)
     def toxicity(texts: pd.Series) -> pd.DataFrame:
-        model, out = shared.value, []
-        for text in texts:
-            if model is None:
-                out.append((0.0, []))
-                continue
-            found = model.known.terms(text)
-            key = tuple(sorted(found.items()))
-            if key not in remembered:
-                if len(remembered) >= MEMORY:
-                    remembered.clear()
-                remembered[key] = model.score(found)
-            out.append(remembered[key])
+        model = shared.value
+        if model is None:
+            out = [(0.0, [])] * len(texts)
+        else:
+            keys = [hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16)
+                    .digest() for text in texts]
+            if len(remembered) >= MEMORY:
+                remembered.clear()
+            new = {key: text for key, text in zip(keys, texts) if key not in remembered}
+            remembered.update(zip(new, model.scores([model.known.terms(t) for t in new.values()])))
+            out = [remembered[key] for key in keys]
         return pd.DataFrame({"score": [s for s, _ in out], "evidence": [
             [{"doc_id": d, "similarity": s, "toxic": y} for d, s, y in e] for _, e in out]})
 
