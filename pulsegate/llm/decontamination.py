@@ -1,7 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows (operator 10).
 
 For every benchmark item, windows of its own length in words are compared with it. Windows and
-items have 64-bit SimHash fingerprints over their weighted five-word shingles. The bits are cut
+items have 64-bit SimHash fingerprints over their five-word shingles, which vote with the square
+root of their weight: so the cosine that SimHash estimates is of the linear weights, as the
+similarity is, and at least 2s / (1 + s) at similarity s. The bits are cut
 into RADIUS + 1 blocks: fingerprints within the radius agree in one block at least, so looking
 up all blocks finds every pair within the radius. The radius lies five deviations beyond the distance
 expected at the similarity asked for. Pairs within it are verified by exact weighted Jaccard
@@ -105,7 +107,7 @@ class Items:
             sets = [{s: self.weight[s] for s in np.unique(x).tolist()} for _, x in items]
             span = max(length - SHINGLE + 1, 1)
             prints = np.concatenate([fingerprints(
-                mix(x), np.array([self.weight[s] for s in x.tolist()]), np.array([0]), span)
+                mix(x), np.sqrt([self.weight[s] for s in x.tolist()]), np.array([0]), span)
                 for _, x in items])
             self.sizes.append(Size(length, span, [i for i, _ in items], sets,
                                    np.array([sum(s.values()) for s in sets]), prints))
@@ -147,7 +149,7 @@ class Items:
                 weights: np.ndarray, best: dict) -> None:
         # far starts are fingerprinted apart: sums run over the stretch between them
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > 512) + 1):
-            prints = fingerprints(mixed, weights, part, size.span)
+            prints = fingerprints(mixed, np.sqrt(weights), part, size.span)
             for window, item in zip(*size.candidates(prints)):
                 at = int(part[window])
                 found = set(hashes[at:at + size.span].tolist())

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from pulsegate.llm import toxicity
+from pulsegate.llm import decontamination, toxicity
 
 
 def test_toxicity_uses_every_term(spark):
@@ -63,3 +63,43 @@ def test_nearest_with_rare_terms(monkeypatch):
         similar = np.round(index.vectors[:, columns] @ weights, 12)
         order = [p for p in np.lexsort((index.ids, -similar)) if similar[p] > 0 and p != skip][:10]
         assert index.nearest(columns, weights, 10, skip)[0].tolist() == order
+
+
+def leaks_of(spark, texts, items):
+    """(doc_id, item_id) -> leak, and what brute force over whole documents gives."""
+    def cut(text):
+        own = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+        return own, lambda part: {tuple(part[i:i + 5]) for i in range(max(len(part) - 4, 1))}
+
+    sets = [(n, len(own), make(own)) for n, (own, make) in ((n, cut(t)) for n, t in items)]
+    rarity = collections.Counter(s for *_, own in sets for s in own)
+
+    def weight(shingles):
+        return sum(math.log(1 + len(items) / max(rarity[s], 1)) for s in shingles)
+
+    want = {}
+    for n, text in texts:
+        own, make = cut(text)
+        for item_id, size, item in sets:
+            for at in range(max(len(own) - size + 1, 1)):
+                part = make(own[at:at + size])
+                value = weight(part & item) / weight(part | item)
+                if value >= 0.8 and value > want.get((n, item_id), 0):
+                    want[n, item_id] = value
+    found = decontamination.find_leaks(
+        spark.createDataFrame(texts, "doc_id long, text string").repartition(2),
+        spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {(r.doc_id, leak.item_id): leak for r in found for leak in r.leaks}, want
+
+
+def phrase(seed, count):
+    rnd = random.Random(seed)
+    return [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 10 ** 6)}" for _ in range(count)]
+
+
+def test_decontamination_of_templated_items(spark):
+    """Items that share a light preamble and differ in a heavy shingle, similarity 0.834."""
+    preamble = " ".join(phrase(1, 104))
+    items = [(n, f"{preamble} item{n}") for n in range(1000)]
+    got, want = leaks_of(spark, [(n, f"{preamble} doc{n}") for n in range(4)], items)
+    assert len(want) == 4000 and set(got) == set(want)
