@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows (operator 10).
 
-For every benchmark item, windows of its own length in words are compared with it. Windows and
+For every benchmark item, windows of its own length in words are compared with it; a document that
+is shorter is one window. Windows and
 items have 64-bit SimHash fingerprints over their five-word shingles, which vote with the square
 root of their weight: so the cosine that SimHash estimates is of the linear weights, as the
 similarity is, and at least 2s / (1 + s) at similarity s. The bits are cut
@@ -136,23 +137,25 @@ class Items:
             shared = np.cumsum(shared)
             mixed = mix(hashes)
             for size in self.sizes:
-                if min(SHINGLE, size.words) != shingle or len(hashes) < size.span:
+                if min(SHINGLE, size.words) != shingle:
                     continue
-                reach = shared[size.span:] - shared[:-size.span]
+                # a shorter document is one window
+                span = min(size.span, len(hashes))
+                reach = shared[span:] - shared[:-span]
                 starts = np.flatnonzero(
                     reach >= self.similarity * size.totals.min() - 1e-9)
                 for at in range(0, len(starts), 4096):
-                    self._verify(size, starts[at:at + 4096], hashes, mixed, weights, best)
+                    self._verify(size, span, starts[at:at + 4096], hashes, mixed, weights, best)
         return sorted(best.values(), key=lambda leak: (leak[1], str(leak[0])))
 
-    def _verify(self, size: Size, starts: np.ndarray, hashes: np.ndarray, mixed: np.ndarray,
-                weights: np.ndarray, best: dict) -> None:
+    def _verify(self, size: Size, span: int, starts: np.ndarray, hashes: np.ndarray,
+                mixed: np.ndarray, weights: np.ndarray, best: dict) -> None:
         # far starts are fingerprinted apart: sums run over the stretch between them
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > 512) + 1):
-            prints = fingerprints(mixed, np.sqrt(weights), part, size.span)
+            prints = fingerprints(mixed, np.sqrt(weights), part, span)
             for window, item in zip(*size.candidates(prints)):
                 at = int(part[window])
-                found = set(hashes[at:at + size.span].tolist())
+                found = set(hashes[at:at + span].tolist())
                 shared = sum(w for s, w in size.sets[item].items() if s in found)
                 union = size.totals[item] + sum(self.weight.get(s, self.most) for s in found
                                                 if s not in size.sets[item])
@@ -160,7 +163,8 @@ class Items:
                 key = size.ids[item]
                 if similarity >= self.similarity - 1e-12 and (
                         key not in best or similarity > best[key][3]):
-                    best[key] = (key, at, size.words, float(similarity))
+                    words = size.words - size.span + span
+                    best[key] = (key, at, words, float(similarity))
 
 
 def _finder(shared):
@@ -189,7 +193,8 @@ def _suspects(items: Items, words: np.ndarray, bounds: np.ndarray) -> np.ndarray
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                ) -> DataFrame:
     """All rows and columns of ``docs`` and ``leaks``: an array of item_id, start, n_words,
-    similarity, one entry per benchmark item found, its best window.
+    similarity, one entry per benchmark item found, its best window. ``n_words`` is less than the
+    words of the item where the whole document is.
 
     Words are lower-cased and split at blanks and ASCII punctuation; whole texts are searched.
     Items of fewer than five words are one shingle. Null and empty texts have no leaks; null and

@@ -103,3 +103,15 @@ def test_decontamination_of_templated_items(spark):
     items = [(n, f"{preamble} item{n}") for n in range(1000)]
     got, want = leaks_of(spark, [(n, f"{preamble} doc{n}") for n in range(4)], items)
     assert len(want) == 4000 and set(got) == set(want)
+
+
+def test_decontamination_of_shorter_documents(spark):
+    """An item less one or two words at its ends, and what is too short for the similarity."""
+    item, short = phrase(2, 51), phrase(3, 5)
+    texts = [(1, item[1:]), (2, item[:-1]), (3, item[1:-1]), (4, item[:30]), (5, short[1:]),
+             (6, item), (7, item[:1]), (8, item[2:] + short)]
+    got, want = leaks_of(spark, [(n, " ".join(own)) for n, own in texts],
+                         [(1, " ".join(item)), (2, " ".join(short))])
+    assert set(got) == set(want) and {(1, 1), (2, 1), (3, 1), (6, 1)} <= set(got)
+    assert all(got[key].similarity == pytest.approx(value) for key, value in want.items())
+    assert (got[3, 1].start, got[3, 1].n_words) == (0, 49)
