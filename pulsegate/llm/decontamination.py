@@ -14,8 +14,11 @@ Only windows that can reach the similarity are fingerprinted: the shingles they
 any item must weigh at least ``similarity`` times the lightest item of that length. That bound
 follows from the similarity itself, so it drops nothing.
 
-Items reach the tasks in blocks of bounded size, one pass of the documents for each block. Documents
-are neither shuffled nor grouped, so no group of copies can be hot.
+Items and the rarity of shingles are counted once over the whole benchmark. Items reach the tasks
+in blocks of bounded size; with several, each is a pass of the documents of its own, whose leaks are
+written before its broadcast is released. Besides its items a pass holds 12 bytes for
+each shingle that two items or more of the whole benchmark have, as these weigh less everywhere.
+Documents are not shuffled to be compared, so no group of copies can be hot.
 """
 from __future__ import annotations
 
@@ -25,9 +28,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pulsegate.llm.common import byte_table, grams, hashed_words, mix, owners, small_batches
+from pulsegate.llm.common import (arrow_rows, byte_table, grams, hashed_words, keyed, mix, owners,
+                                  signed, small_batches, staged)
 
 SHINGLE, RADIUS, SIMILARITY = 5, 24, 0.8
 #: Words of the items that one pass compares with.
@@ -83,26 +88,58 @@ class Size:
         return window[close], item[close]
 
 
+@dataclass
+class Rarity:
+    """Weights of shingles: one that many items share tells less."""
+    items: int
+    shingles: np.ndarray  # those of more than one item, sorted
+    counts: np.ndarray
+
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
+        counts = np.ones(len(hashes))
+        if len(self.shingles):
+            at = np.minimum(np.searchsorted(self.shingles, hashes), len(self.shingles) - 1)
+            known = self.shingles[at] == hashes
+            counts[known] = self.counts[at[known]]
+        return np.log(1 + self.items / counts)
+
+
+def count_rarity(items: DataFrame) -> Rarity:
+    """Items, and how many of them have each shingle that repeats, over the whole benchmark."""
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = pa.array([text.lower() for text in batch.column("text").to_pylist()], pa.string())
+        words, bounds = hashed_words(texts, _TABLE)
+        parts = [np.unique(grams(words[a:b], min(SHINGLE, int(b - a))))
+                 for a, b in zip(bounds[:-1], bounds[1:]) if b > a]
+        return pa.RecordBatch.from_arrays(
+            [signed(np.concatenate([np.zeros(0, np.uint64), *parts]))], names=["shingle"])
+
+    table = arrow_rows(items.select("text"), make, "shingle long", "text").groupBy(
+        "shingle").count().filter("count > 1").toArrow()
+    shingles = table.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return Rarity(items.count(), shingles[order],
+                  table.column("count").to_numpy()[order].astype(np.int32))
+
+
 class Items:
     """A block of benchmark items, ready to be looked up."""
 
-    def __init__(self, rows: list[tuple[int, str]], similarity: float):
-        self.similarity = similarity
+    def __init__(self, rows: list[tuple[int, str]], similarity: float, rarity: Rarity):
+        self.similarity, self.rarity = similarity, rarity
         column = pa.array([text.lower() for _, text in rows], pa.string())
         words, bounds = hashed_words(column, _TABLE)
         found: dict[int, list] = {}
-        rarity: dict[int, int] = {}
+        known: list[np.ndarray] = []
         for n, (item_id, _) in enumerate(rows):
             own = words[bounds[n]:bounds[n + 1]]
             if not len(own):
                 continue
             shingles = grams(own, min(SHINGLE, len(own)))
-            for shingle in np.unique(shingles).tolist():
-                rarity[shingle] = rarity.get(shingle, 0) + 1
+            known.append(shingles)
             found.setdefault(len(own), []).append((item_id, shingles))
-        # a shingle that many items share tells less
-        self.most = math.log(1 + len(rows))
-        self.weight = {s: math.log(1 + len(rows) / n) for s, n in rarity.items()}
+        every = np.unique(np.concatenate([np.zeros(0, np.uint64), *known]))
+        self.weight = dict(zip(every.tolist(), rarity.weights(every).tolist()))
         self.sizes = []
         for length, items in sorted(found.items()):
             sets = [{s: self.weight[s] for s in np.unique(x).tolist()} for _, x in items]
@@ -130,8 +167,7 @@ class Items:
                    if (s := int(hashes[at])) in self.weight}
             if not own:
                 continue
-            weights = np.full(len(hashes), self.most)
-            weights[list(own)] = list(own.values())
+            weights = self.rarity.weights(hashes)
             shared = np.zeros(len(hashes) + 1)
             shared[np.array(list(own)) + 1] = list(own.values())
             shared = np.cumsum(shared)
@@ -155,9 +191,9 @@ class Items:
             prints = fingerprints(mixed, np.sqrt(weights), part, span)
             for window, item in zip(*size.candidates(prints)):
                 at = int(part[window])
-                found = set(hashes[at:at + span].tolist())
+                found = dict(zip(hashes[at:at + span].tolist(), weights[at:at + span].tolist()))
                 shared = sum(w for s, w in size.sets[item].items() if s in found)
-                union = size.totals[item] + sum(self.weight.get(s, self.most) for s in found
+                union = size.totals[item] + sum(w for s, w in found.items()
                                                 if s not in size.sets[item])
                 similarity = shared / union
                 key = size.ids[item]
@@ -207,11 +243,33 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
         F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     passes = max(1, math.ceil(total / PASS_WORDS))
-    found = F.array().cast(LEAK)
-    for number in range(passes if total else 0):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number)
+    empty = F.array().cast(LEAK)
+    if not total:
+        return docs.withColumn("leaks", empty)
+    rarity = count_rarity(items)
+
+    def shared(number: int) -> Broadcast:
+        # rows of one id stay together, as its best window is reported
+        own = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number)
         rows = [(row["item_id"], row["text"]) for row in own.orderBy("item_id", "text").collect()]
-        if rows:
-            shared = spark.sparkContext.broadcast(Items(rows, similarity))
-            found = F.concat(found, _finder(shared)(F.lower("text")))
-    return docs.withColumn("leaks", found)
+        return spark.sparkContext.broadcast(Items(rows, similarity, rarity))
+
+    if passes == 1:
+        return docs.withColumn("leaks", _finder(shared(0))(F.lower("text")))
+    found = None
+    for number in range(passes):
+        block = shared(number)
+        # repeated rows have equal leaks
+        part = staged(keyed(docs).select(
+            F.col("doc_id").alias("_leaks_id"), F.col("text_key").alias("_leaks_key"),
+            _finder(block)(F.lower("text")).alias("_leaks")).filter(
+            F.size("_leaks") > 0).distinct(), "leaks")
+        block.destroy()
+        found = part if found is None else found.unionAll(part)
+    by_start = F.sort_array(F.transform(F.flatten(F.collect_list("_leaks")), lambda x: F.struct(
+        x["start"], F.coalesce(x["item_id"].cast("string"), F.lit("None")), x.alias("leak"))))
+    merged = found.groupBy("_leaks_id", "_leaks_key").agg(
+        F.transform(by_start, lambda x: x["leak"]).alias("_leaks"))
+    return docs.join(merged, docs["doc_id"].eqNullSafe(merged["_leaks_id"])
+                     & (F.xxhash64(docs["text"]) == merged["_leaks_key"]), "left").withColumn(
+        "leaks", F.coalesce("_leaks", empty)).drop("_leaks_id", "_leaks_key", "_leaks")

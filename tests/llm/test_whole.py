@@ -115,3 +115,17 @@ def test_decontamination_of_shorter_documents(spark):
     assert set(got) == set(want) and {(1, 1), (2, 1), (3, 1), (6, 1)} <= set(got)
     assert all(got[key].similarity == pytest.approx(value) for key, value in want.items())
     assert (got[3, 1].start, got[3, 1].n_words) == (0, 49)
+
+
+def test_decontamination_is_the_same_in_passes(spark, monkeypatch):
+    """Similarities don't depend on how many passes the benchmark takes."""
+    head = phrase(4, 40)
+    items = [(n, " ".join(head[:20 + n % 20] + phrase(50 + n, 8))) for n in range(40)]
+    texts = [(n, f"{text} more words") for n, text in items]
+    texts += [(40 + n, text.rsplit(" ", 1)[0] + f" other{n}") for n, text in items] + [(80, "")]
+    got, want = leaks_of(spark, texts, items)
+    assert len(want) > 40 and set(got) == set(want)
+    monkeypatch.setattr(decontamination, "PASS_WORDS", 300)
+    again, _ = leaks_of(spark, texts, items)
+    assert again == got
+    assert all(got[key].similarity == pytest.approx(value) for key, value in want.items())
