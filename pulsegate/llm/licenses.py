@@ -1,7 +1,10 @@
 """License scans by an exact set-similarity join (operator 6). DataFrame functions only.
 
 Phrases are found as words that stand consecutively. Templates are found by containment: a block
-(line) holds at least ``threshold`` of the distinct tokens of a template. Tokens are ordered by
+holds at least ``threshold`` of the distinct tokens of a template. Blocks are the lines, and for each
+template overlapping windows of words across lines, so that wrapped notices are found: any run of
+words a quarter longer than the template stands in a window whole. Documents that hold too few
+tokens of every template have no such block and are left out first. Tokens are ordered by
 their frequency in the corpus, rarest first. A block and a template that meet the threshold share a
 token among the first ones of each (prefix filter); the block must have enough tokens (length
 filter), and enough of them must follow the shared one (positional filter); what is left is
@@ -93,14 +96,23 @@ def template_hits(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                   threshold: float = 0.9) -> DataFrame:
     """``doc_id, text_key, label, containment`` of every block that meets the threshold.
 
-    One row per block and template; blocks are the lines of the whole text. Null and empty
-    texts have none. Lines that repeat give a row each.
+    One row per block and template; blocks are the lines of the whole text, numbered from 0, and
+    windows of words, numbered -1 - first word. Null and empty texts have none. Lines that
+    repeat give a row each.
     """
     sets = [(label, sorted(set(_plain(text)))) for label, text in templates]
+    spans = [math.ceil(1.25 * len(_plain(text))) for _, text in templates]
     vocabulary = sorted({token for _, tokens in sets for token in tokens})
     known = F.array(*map(F.lit, vocabulary))
-    seen = docs.select(F.explode(F.array_intersect(F.split(spaced(F.col("text")), " "), known))
-                       .alias("token")).groupBy("token").count()
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text", F.array_intersect(
+        known, F.split(spaced(F.col("text")), " ")).alias("held"))
+    enough = F.lit(False)
+    for _, tokens in sets:
+        enough |= F.size(F.array_intersect("held", F.array(*map(F.lit, tokens)))) >= math.ceil(
+            threshold * len(tokens) - 1e-9)
+    # texts are written only where a block can match
+    read = staged(own.withColumn("text", F.when(enough, F.col("text"))), "licenses")
+    seen = read.select(F.explode("held").alias("token")).groupBy("token").count()
     # a row per token of the templates at most
     frequency = dict.fromkeys(vocabulary, 0) | {row[0]: row[1] for row in seen.collect()}
     order = sorted(vocabulary, key=lambda token: (frequency[token], token))
@@ -109,26 +121,37 @@ def template_hits(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         ranked = sorted(tokens, key=order.index)
         least = math.ceil(threshold * len(ranked) - 1e-9)
         prepared.append((label, ranked, least))
-        index += [(ranked[at], at, number, label, len(ranked), least, ranked)
-                  for at in range(len(ranked) - least + 1)]
+        # lines, span 0, meet all templates, windows those of their span
+        index += [(ranked[at], at, number, label, len(ranked), least, ranked, span)
+                  for at in range(len(ranked) - least + 1) for span in (0, spans[number])]
     fewest = min(least for *_, least in prepared)
     prefixes = F.broadcast(docs.sparkSession.createDataFrame(
         index, "token string, t_at int, template int, label string, t_size int, least int, "
-               "t_tokens array<string>"))
+               "t_tokens array<string>, span int"))
     first_tokens = sorted({row[0] for row in index})
-    lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
-                        F.posexplode(F.split(folded(F.col("text")), "\n", -1))
-                        .alias("block", "line"))
+    texts = read.filter(F.col("text").isNotNull())
+    lines = texts.select("doc_id", "text_key", F.posexplode(F.split(folded(F.col("text")), "\n", -1))
+                         .alias("block", "line"))
     # the prefix filter on raw text: a block without any prefix token matches nothing
     likely = F.col("line").rlike("|".join(first_tokens))
     ranked = F.array(*map(F.lit, order))
-    blocks = lines.filter(likely).select("doc_id", "text_key", "block", F.array_intersect(
-        ranked, F.split(F.regexp_replace("line", _GAPS, " "), " ")).alias("tokens")).filter(
-        F.size("tokens") >= fewest)  # length filter; ``ranked`` first keeps its order
+    lines = lines.filter(likely).select(
+        "doc_id", "text_key", "block", F.lit(0).alias("span"),
+        F.split(F.regexp_replace("line", _GAPS, " "), " ").alias("words"))
+    # windows of two spans, one span apart
+    apart = texts.select("doc_id", "text_key", F.split(spaced(F.col("text")), " ").alias("all"),
+                         F.explode(F.array(*map(F.lit, sorted(set(spans))))).alias("span"))
+    windows = apart.select("doc_id", "text_key", "span", "all", F.explode(F.sequence(
+        F.lit(0), F.size("all") - 1, F.col("span"))).alias("first")).select(
+        "doc_id", "text_key", (-1 - F.col("first")).alias("block"), "span",
+        F.slice("all", F.col("first") + 1, 2 * F.col("span")).alias("words"))
+    blocks = lines.unionByName(windows).select(
+        "doc_id", "text_key", "block", "span", F.array_intersect(ranked, "words").alias("tokens")
+    ).filter(F.size("tokens") >= fewest)  # length filter; ``ranked`` first keeps its order
     opened = blocks.select("*", F.posexplode(F.slice(
         "tokens", F.lit(1), F.size("tokens") - fewest + 1)).alias("b_at", "token"))
     rest = F.least(F.col("t_size") - F.col("t_at"), F.size("tokens") - F.col("b_at"))
-    matched = opened.join(prefixes, "token").filter(
+    matched = opened.join(prefixes, ["token", "span"]).filter(
         (F.size("tokens") >= F.col("least")) & (rest >= F.col("least") - F.least("t_at", "b_at")))
     shared = F.size(F.array_intersect("tokens", "t_tokens"))
     return matched.filter(shared >= F.col("least")).select(

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from pulsegate.llm import decontamination, toxicity
+from pulsegate.llm import decontamination, licenses, toxicity
 
 
 def test_toxicity_uses_every_term(spark):
@@ -129,3 +129,20 @@ def test_decontamination_is_the_same_in_passes(spark, monkeypatch):
     again, _ = leaks_of(spark, texts, items)
     assert again == got
     assert all(got[key].similarity == pytest.approx(value) for key, value in want.items())
+
+
+def test_wrapped_licenses(spark):
+    """Notices broken over lines, with comment marks, far into the text, and words that scatter."""
+    mit = ("Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this "
+           "software and associated\n# documentation files (the \"Software\"), to deal")
+    bsd = (" * Redistribution and use in source and binary forms, with or without\n * modification, "
+           "are permitted provided that the following\n *\n * conditions are met:")
+    filler = " ".join(f"w{n}" for n in range(203))
+    scattered = filler.join(["permission is hereby granted free of charge", "to any person obtaining",
+                             "a copy of this software and", "associated documentation files"])
+    texts = ["# " + mit, bsd, f"{filler}\n{mit}\n{filler}\n{bsd}", "released under\nthe MIT license",
+             scattered.replace(" ", "\n")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(
+        list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[n].labels for n in range(5)] == ["mit", "bsd", "bsd,mit", "mit", ""]
+    assert got[0].score == got[1].score == 1.0 and got[4].score == 0.0
