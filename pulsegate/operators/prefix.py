@@ -107,6 +107,22 @@ def global_rank(frame: DataFrame, order: list[Column], chunks: int | None = None
             .withColumnRenamed("total_one", "total"))
 
 
+def grouped_rank(frame: DataFrame, group_by: list[str], order: list[Column],
+                 chunks: int | None = None) -> DataFrame:
+    """Add ``rank`` 1..n inside each group in the given order, and the group's ``total``.
+
+    Rows are range-partitioned on the group and the order, so a group that holds a third of all
+    rows is cut into chunks like the rest: no window spans a whole group. Rows that tie in
+    ``order`` get different ranks; the result is written once, so that every reader sees the same.
+    """
+    count = chunks or default_chunks(frame)
+    ranged = stage(frame.repartitionByRange(count, *[F.col(g).asc() for g in group_by], *order)
+                   .withColumn(CHUNK, F.spark_partition_id()).withColumn("_one", F.lit(1)), "ranged")
+    ranked = stage(_accumulate(ranged, group_by, order, ["_one"], False), "ranked")
+    return (ranked.drop("_one").withColumnRenamed("run__one", "rank")
+            .withColumnRenamed("total__one", "total"))
+
+
 def running_backlog(frame: DataFrame, group_by: list[str], position: str, net: str,
                     result: str, chunks: int | None = None) -> DataFrame:
     """Queue left after each step, ``max(0, previous + net)``, in closed form.
