@@ -145,30 +145,59 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield shard_nodes(batch.slice(at, SHARD))
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SHA-256 of the ids of each node, streamed: rows come sorted, nothing is gathered."""
-    node, digest = None, hashlib.sha256()
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int]]:
+    """Node, start and end of each run of rows with one node."""
+    nodes = batch.column("node").to_pylist()
+    cuts = [0, *(n for n in range(1, len(nodes)) if nodes[n] != nodes[n - 1]), len(nodes)]
+    return ((nodes[a], a, b) for a, b in zip(cuts[:-1], cuts[1:]) if a < b)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted ids of a node as text, one row for each run of them in a batch."""
     for batch in batches:
-        nodes = batch.column("node").to_pylist()
         ids = batch.column("conv_id").to_pylist()
-        cuts = [0, *(n for n in range(1, len(nodes)) if nodes[n] != nodes[n - 1]), len(nodes)]
-        done = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            text = ",".join(map(str, ids[a:b])).encode()
-            if nodes[a] == node:
+        rows = [(node, ids[a], ",".join(map(str, ids[a:b]))) for node, a, b in _runs(batch)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in rows], kind)
+             for k, kind in enumerate((pa.binary(), pa.int64(), pa.string()))],
+            names=["node", "first", "ids"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each node's texts in their order, streamed: nothing is gathered."""
+    node, digest = None, hashlib.sha256()
+    for batch in batches:
+        texts, done = batch.column("ids").to_pylist(), []
+        for own, a, b in _runs(batch):
+            text = ",".join(texts[a:b]).encode()
+            if own == node:
                 digest.update(b"," + text)
             else:
                 if node is not None:
                     done.append((node, digest.hexdigest()))
-                node, digest = nodes[a], hashlib.sha256(text)
-        if done:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([d[k] for d in done]) for k in (0, 1)], names=["node", "ends_sha256"])
+                node, digest = own, hashlib.sha256(text)
+        yield _hashed(done)
     if node is not None:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([node]), pa.array([digest.hexdigest()])], names=["node", "ends_sha256"])
+        yield _hashed([(node, digest.hexdigest())])
+
+
+def _hashed(done: list[tuple[bytes, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.string())],
+        names=["node", "ends_sha256"])
+
+
+def ends_of(last: DataFrame) -> DataFrame:
+    """(node, ends_sha256) of rows (node, conv_id).
+
+    Ids are sorted and written out in ranges, so a node where a third of all conversations end is
+    spread; only the hash itself, which is serial by its definition, reads a node's text in one
+    stream.
+    """
+    listed = last.repartitionByRange("node", "conv_id").sortWithinPartitions(
+        "node", "conv_id").mapInArrow(_listed, "node binary, first long, ids string")
+    return listed.repartition("node").sortWithinPartitions("node", "first").mapInArrow(
+        _digests, "node binary, ends_sha256 string")
 
 
 def _borrowed(conv_id: str) -> Column:
@@ -285,8 +314,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     last = rows.filter("last").select("node", "conv_id")
     nothing = ids.join(rows.filter("depth = 1").select("conv_id"), "conv_id", "left_anti").select(
         F.lit(ROOT).alias("node"), "conv_id")
-    ends = last.unionByName(nothing).repartition("node").sortWithinPartitions(
-        "node", "conv_id").mapInArrow(_ends, "node binary, ends_sha256 string")
+    ends = ends_of(last.unionByName(nothing))
 
     above = merged.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     return nodes.join(below, "node").join(ends, "node", "left").join(
