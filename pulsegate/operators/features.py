@@ -25,44 +25,63 @@ DELTAS = {
 
 def rolling_features(frame: DataFrame, names: list[str] | None = None,
                      short_seconds: int = 240, long_seconds: int = 840,
-                     key: str = "server_id", time: str = "event_time",
-                     block_seconds: int | None = None) -> DataFrame:
+                     key: str = "server_id", time: str = "event_time") -> DataFrame:
     """Add the named rolling features; the bounds are inclusive whole seconds.
 
-    Rows of one (key, second) are peers of the frame, so they are reduced to one row first.
-    The reduced series is cut into blocks of time, each given the tail of the block before it,
-    and the window runs inside (key, block): a block holds at most
-    ``block_seconds + long_seconds`` rows even if one server sends a third of the data.
+    Rows of one (key, second) are peers of the frame, so they are reduced to one row first. Time
+    is cut into blocks as long as the frame, so a frame is the end of one block and the beginning
+    of the next. Every second gets the running aggregate of its block so far, and asks the block
+    before for its running aggregate from the end back to where the frame starts. Both only grow, so
+    a row costs the same whatever the frame's length, sums lose nothing by subtraction, and a
+    window holds at most two rows per second of a block even if one server sends a third of the
+    data.
     """
     wanted = {n: ROLLING[n] for n in (names or ROLLING)}
-    block = max(block_seconds or 86_400, long_seconds + 1)
     spans = {"short": short_seconds, "long": long_seconds}
+    used = sorted({span for _, _, span in wanted.values()})
     sources = sorted({source for _, source, _ in wanted.values()})
     timed = frame.withColumn("_second", F.unix_timestamp(F.col(time).cast("timestamp")))
-
+    measures = {f"_{how}_{s}": agg for s in sources for how, agg in (
+        ("sum", F.sum(s)), ("n", F.count(s)), ("max", F.max(s)))}
     per_second = timed.groupBy(key, "_second").agg(
-        *[agg for s in sources for agg in (
-            F.sum(s).alias(f"_sum_{s}"), F.count(s).alias(f"_n_{s}"),
-            F.max(s).alias(f"_max_{s}"))])
-    home = F.floor(F.col("_second") / block)
-    reaches_next = F.col("_second") + long_seconds >= (home + 1) * block
-    blocks = per_second.withColumn("_home", home).withColumn(
-        "_block", F.explode(F.when(reaches_next, F.array(home, home + 1))
-                            .otherwise(F.array(home))))
-
-    rolled = {}
-    for name, (how, source, span) in wanted.items():
-        frame_of = (Window.partitionBy(key, "_block").orderBy("_second")
-                    .rangeBetween(-spans[span], Window.currentRow))
-        if how == "max":
-            rolled[name] = F.max(f"_max_{source}").over(frame_of)
-        else:
-            rolled[name] = F.try_divide(F.sum(f"_sum_{source}").over(frame_of),
-                                        F.sum(f"_n_{source}").over(frame_of))
-    result = (blocks.withColumns(rolled)
-              .where(F.col("_block").eqNullSafe(F.col("_home")))
-              .select(key, "_second", *wanted))
-    return attach_by_key(timed, result, [key, "_second"]).drop("_second")
+        *[agg.alias(name) for name, agg in measures.items()])
+
+    second = F.col("_second")
+
+    def cell(span: str, own: bool):
+        block = F.floor(second / (spans[span] + 1))
+        return F.struct(F.lit(span).alias("_span"), F.lit(own).alias("_own"),
+                        (block if own else block - 1).alias("_block"),
+                        (second if own else second - spans[span]).alias("_at"))
+
+    # rows without a time are peers of each other only
+    cells = per_second.select("*", F.inline(F.when(
+        second.isNull(), F.array(*[cell(span, True) for span in used])).otherwise(
+        F.array(*[cell(span, own) for span in used for own in (True, False)]))))
+    block = Window.partitionBy(key, "_span", "_block")
+    so_far = block.orderBy(F.col("_at").asc(), F.col("_own").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    from_end = block.orderBy(F.col("_at").desc(), F.col("_own").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    over = {"_max": F.max, "_sum": F.sum, "_n": F.sum}
+
+    def running(name: str):
+        value = F.when(F.col("_own"), F.col(name))
+        total = over[name[:name.index("_", 1)]]
+        return F.when(F.col("_own"), total(value).over(so_far)).otherwise(
+            total(value).over(from_end)).alias(name)
+
+    parts = cells.select(key, "_second", "_span", *[running(name) for name in measures])
+
+    def both(name: str, span: str):
+        total = F.max if name.startswith("_max") else F.sum
+        return total(F.when(F.col("_span") == span, F.col(name)))
+
+    rolled = parts.groupBy(key, "_second").agg(*[
+        (both(f"_max_{source}", span) if how == "max" else F.try_divide(
+            both(f"_sum_{source}", span), both(f"_n_{source}", span))).alias(name)
+        for name, (how, source, span) in wanted.items()])
+    return attach_by_key(timed, rolled, [key, "_second"]).drop("_second")
 
 
 def add_deltas(frame: DataFrame) -> DataFrame:

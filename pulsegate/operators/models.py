@@ -211,12 +211,8 @@ class AdaptiveRun:
         """Attributions of all (or the first) evaluation alerts, from the saved forest's nodes."""
         scored = self.evaluated().withColumnRenamed("p_adaptive", "p1")
         alerts = alerts_to_explain(scored, "p1", self.threshold, limit)
-        chosen = stage(alerts.select("event_id", "event_time", "server_id", "p1",
-                                     *self.features), "alerts")
-        # a limit leaves one partition; the attributions are the expensive part
-        tasks = int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return explain_rows(chosen.repartition(tasks, "event_id"),
-                            saved_nodes(self.adaptive, chosen), self.features)
+        chosen = alerts.select("event_id", "event_time", "server_id", "p1", *self.features)
+        return explain_rows(chosen, saved_nodes(self.adaptive, chosen), self.features)
 
 
 def saved_nodes(model: PipelineModel, frame: DataFrame) -> DataFrame:

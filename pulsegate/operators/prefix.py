@@ -27,7 +27,8 @@ def chunked(frame: DataFrame, position: str, chunks: int | None = None) -> DataF
     """Written copy of ``frame`` with an integer chunk that grows with the position."""
     written = stage(frame.withColumn("_position", F.col(position).cast("double")), "ordered")
     count = chunks or default_chunks(frame)
-    cuts = written.approxQuantile("_position", [n / count for n in range(1, count)], 0.1 / count)
+    shares = [n / count for n in range(1, count)]
+    cuts = written.approxQuantile("_position", shares, 0.1 / count) if shares else []
     # an empty table has no quantiles, and the bucketizer wants at least one cut
     splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol="_position", outputCol="_bucket",
@@ -123,6 +124,31 @@ def grouped_rank(frame: DataFrame, group_by: list[str], order: list[Column],
             .withColumnRenamed("total__one", "total"))
 
 
+def exact_quantile(frame: DataFrame, group_by: list[str], value: str, share: float, result: str,
+                   chunks: int | None = None) -> DataFrame:
+    """One row per group with the exact quantile of ``value``, interpolated between two ranks.
+
+    Values are counted first, so equal ones are one row; running counts over chunks then find
+    the two distinct values that hold the ranks around ``share``. No group is sorted in one
+    task. NULL values are left out; groups without any other have no row.
+    """
+    counted = frame.where(F.col(value).isNotNull()).groupBy(*group_by, value).agg(
+        F.count("*").alias("_n"))
+    ranks = running_totals(counted, group_by, value, ["_n"], chunks=chunks)
+    place = (F.col("total__n") - 1) * F.lit(float(share))
+    low = F.floor(place)
+
+    def at(rank: Column) -> Column:
+        """The value whose copies cover a rank, counted from 0."""
+        return F.max(F.when((F.col("run__n") > rank) & (F.col("run__n") - F.col("_n") <= rank),
+                            F.col(value)))
+
+    found = ranks.groupBy(*group_by).agg(at(low).alias("_low"), at(F.ceil(place)).alias("_high"),
+                                         F.max(place - low).alias("_part"))
+    return found.select(*group_by, (F.col("_low") + (F.col("_high") - F.col("_low"))
+                                    * F.col("_part")).alias(result))
+
+
 def running_backlog(frame: DataFrame, group_by: list[str], position: str, net: str,
                     result: str, chunks: int | None = None) -> DataFrame:
     """Queue left after each step, ``max(0, previous + net)``, in closed form.

@@ -13,57 +13,78 @@ SALT_BITS = 20
 
 
 # Which of several rows with one id counts as the first.
-ARRIVAL_ORDER = ("coalesce(duplicate_ordinal, 0), ingest_time ASC NULLS LAST, "
-                 "coalesce(source_sequence, 0L)")
+ARRIVAL = ("struct(coalesce(duplicate_ordinal, 0) AS ordinal, ingest_time IS NULL AS undated, "
+           "ingest_time AS at, coalesce(source_sequence, 0L) AS sequence)")
 LABELLED_COPY = "event_id IS NOT NULL AND coalesce(duplicate_ordinal, 0) > 0"
 
 
-def _salted(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("_salt", F.shiftright(F.monotonically_increasing_id(), SALT_BITS))
+def _one_of_tied(tied: DataFrame, columns: list[str]) -> DataFrame:
+    """Of rows that arrived alike, the one with the smallest content stays.
 
-
-def _first_of_id(salted: DataFrame) -> DataFrame:
-    """First row of each id by two rankings: inside (id, salt), then among the salt winners.
-
-    No ranking group exceeds 2**20 rows or one row per salt, whatever share one id has.
+    Two rankings, inside (id, salt) and then among the salt winners: no group exceeds 2**20 rows
+    or one row per salt, whatever share one id has.
     """
-    columns = [c for c in salted.columns if c != "_salt"]
-    # rows that tie up to here are told apart by their content
     content = ", ".join(f"`{c}`" for c in columns)
-    order = f"{ARRIVAL_ORDER}, xxhash64({content})"
+    salted = tied.withColumn("_salt", F.shiftright(F.monotonically_increasing_id(), SALT_BITS))
     # an input already partitioned by id alone would satisfy the window and keep a hot id together
     return (
         salted.repartition("event_id", "_salt").select("*", F.expr(f"""row_number() OVER (
-            PARTITION BY event_id, _salt ORDER BY {order}) AS _local"""))
-        .select("*", F.expr(f"""row_number() OVER (
-            PARTITION BY event_id, if(_local > 1, _salt, NULL) ORDER BY {order})
-            AS _final"""))
-        .select(*columns, F.expr(f"""({LABELLED_COPY})
-            OR (event_id IS NOT NULL AND (_local > 1 OR _final > 1)) AS {REPEAT_FLAG}""")))
+            PARTITION BY event_id, _salt ORDER BY xxhash64({content})) AS _local"""))
+        .select("*", F.expr(f"""row_number() OVER (PARTITION BY event_id,
+            if(_local > 1, _salt, NULL) ORDER BY xxhash64({content})) AS _final"""))
+        .select(*columns, F.expr(f"({LABELLED_COPY}) OR _local > 1 OR _final > 1")
+                .alias(REPEAT_FLAG)))
+
 
+def first_arrivals(frame: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Ids whose rows are not all new: their first arrival, its rows, and if the id was seen before.
 
-def mark_repeats(frame: DataFrame) -> DataFrame:
+    Only the columns of the arrival are read, and both aggregates combine map-side. ``seen`` holds
+    one row per ``event_id`` that an earlier input brought.
+    """
+    arrivals = frame.where("event_id IS NOT NULL").select(
+        "event_id", F.expr(ARRIVAL).alias("arrival")).groupBy("event_id", "arrival").count()
+    ids = arrivals.groupBy("event_id").agg(
+        F.min(F.struct("arrival", "count")).alias("first"), F.sum("count").alias("rows"))
+    if seen is None:
+        old = F.lit(False)
+    else:
+        ids = ids.join(seen.select("event_id", F.lit(True).alias("_old")), "event_id", "left")
+        old = F.coalesce("_old", F.lit(False))
+    return ids.withColumn("seen_before", old).where("rows > 1 OR seen_before").select(
+        "event_id", F.col("first.arrival").alias("first_arrival"),
+        F.col("first.count").alias("first_rows"), "seen_before")
+
+
+def mark_repeats(frame: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Add the boolean that says a row repeats an event seen earlier in arrival order.
 
-    Ids are counted over a scan of the id column alone and the repeated ones are written. Rows
-    that carry none of them pass an anti join unranked; the others are ranked with salts. The
-    planner picks the joins by the written size, so the plan is the same for every input.
+    The first arrival of each repeated id is written; the planner picks the join by its size.
+    The wide rows are read once and compared with it: no row is ranked. Only where several rows
+    of an id arrived first alike (same ordinal, time and sequence) are these read again and told
+    apart by content. Rows whose id is in ``seen`` are all repeats.
+    """
+    firsts = stage(first_arrivals(frame, seen), "first-arrivals")
+    columns = frame.columns
+    later = f"seen_before OR {ARRIVAL} <> first_arrival"
+    joined = frame.join(firsts, "event_id", "left").select(
+        *[F.col(c) for c in columns],
+        F.expr(f"({LABELLED_COPY}) OR coalesce({later}, FALSE)").alias(REPEAT_FLAG),
+        F.expr(f"coalesce(first_rows > 1 AND NOT ({later}), FALSE)").alias("_tied"))
+    if firsts.where("first_rows > 1 AND NOT seen_before").isEmpty():
+        return joined.drop("_tied")
+    tied = joined.where("_tied").select(*columns)
+    return joined.where("NOT _tied").drop("_tied").unionByName(_one_of_tied(tied, columns))
+
+
+def classify_quality(frame: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Attach rule evidence and the accept/quarantine decision to every row.
+
+    ``seen`` holds the ids that earlier inputs brought; rows with one of them are repeats.
     """
-    repeated = stage(
-        frame.where("event_id IS NOT NULL").groupBy("event_id").count().where("count > 1")
-        .select("event_id"), "repeated-ids")
-    rest = (frame.join(repeated, "event_id", "left_anti")
-            .select(*frame.columns, F.expr(f"{LABELLED_COPY} AS {REPEAT_FLAG}")))
-    # the salt is taken before the join, where rows are still spread as they were read
-    often = _salted(frame).join(repeated, "event_id", "left_semi")
-    return rest.unionByName(_first_of_id(often))
-
-
-def classify_quality(frame: DataFrame) -> DataFrame:
-    """Attach rule evidence and the accept/quarantine decision to every row."""
     fired = "quality_failure_reasons"
     return (
-        mark_repeats(frame)
+        mark_repeats(frame, seen)
         .select(*frame.columns, fired_rules(RULES).alias(fired))
         .select("*", fired_categories(fired, RULES).alias("detected_defect_categories"),
                 *[F.expr(text) for text in (

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegate.functions.scores import count_of, hash_unit, share
-from pulsegate.operators.prefix import attach_by_key
+from pulsegate.operators.prefix import grouped_rank
 from pulsegate.schema import TARGET
 
 # Default experiment windows.
@@ -112,23 +112,15 @@ def three_way_split(frame: DataFrame, unit: Column | None = None,
 def stratified_folds(frame: DataFrame, label: str, key: str, folds: int = 10) -> DataFrame:
     """Fold 0..k-1 per label, balanced to within one row.
 
-    Rows are ordered inside a label by md5 of their unique key. The first three hex digits cut
-    each label into 4096 even pieces; piece counts give the starting rank, so no window sorts
-    a whole class.
+    Rows are ranked inside a label by md5 of their unique key. The ranks are found over ranges
+    of rows of about equal size, so a label has as many pieces as its rows need: no window
+    sorts a whole class, and nothing is broadcast.
     """
     digest = F.md5(F.col(key).cast("string"))
-    pieces = frame.withColumns({"_digest": digest, "_piece": F.substring(digest, 1, 3)})
-    earlier = (Window.partitionBy(label).orderBy("_piece")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    starts = (pieces.groupBy(label, "_piece").agg(F.count("*").alias("_n"))
-              .select(label, "_piece",
-                      F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")))
-    inside = Window.partitionBy(label, "_piece").orderBy("_digest", F.col(key))
-    # at most 4096 rows per label
-    return (attach_by_key(pieces, starts, [label, "_piece"], bounded=True)
-            .withColumn("fold", F.pmod(F.col("_start") + F.row_number().over(inside) - 1,
-                                       F.lit(folds)).cast("int"))
-            .drop("_digest", "_piece", "_start"))
+    ranked = grouped_rank(frame.withColumn("_digest", digest), [label],
+                          [F.col("_digest").asc(), F.col(key).asc()])
+    return (ranked.withColumn("fold", F.pmod(F.col("rank") - 1, F.lit(folds)).cast("int"))
+            .drop("_digest", "rank", "total"))
 
 
 def split_counts(frame: DataFrame, by: str = "split", label: str = TARGET) -> DataFrame:

@@ -149,7 +149,7 @@ _PLAN = """
       round(normal_share, 6) AS normal_share, round(burst_share, 6) AS burst_share
     FROM ({_PLAN})""", ("series",))
 def capacity_plan(t):
-    plan = workload.capacity_plan(hourly(t), 1.10, exact=True)
+    plan = workload.capacity_plan(hourly(t), 1.10)
     return rounded(rounded(plan, "capacity", "p95_stream", digits=4),
                    "normal_share", "burst_share")
 

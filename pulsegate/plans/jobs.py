@@ -5,18 +5,21 @@
     python -m pulsegate.plans.jobs rul --train t.txt --test t.txt --labels r.txt --out ...
     python -m pulsegate.plans.jobs horizon --train t.txt --test t.txt --labels r.txt --out ...
     python -m pulsegate.plans.jobs stream --inbox inbox/ --out results/ --checkpoint state/
+    python -m pulsegate.plans.jobs stream --kafka host:9092 --topic telemetry --out ...
+    python -m pulsegate.plans.jobs stream --log logs/telemetry --publish logs/ --out ...
 """
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pulsegate.operators import (drift, features, labels, metrics, models, quality, routing,
                                  splits, workload)
 from pulsegate.schema import BASE_FEATURES, HISTORY_FEATURES, TRAJECTORY_FEATURES
 from pulsegate.session import build_session
-from pulsegate.sources import readers, scenario, sinks
+from pulsegate.sources import message_log, readers, scenario, sinks
 from pulsegate.staging import stage
 from pulsegate.streaming import gate_stream
 
@@ -137,6 +140,32 @@ def failure_horizon(train: DataFrame, test: DataFrame, truth: DataFrame, out: st
                        f"{out}/comparison")
 
 
+def telemetry_stream(spark: SparkSession, checkpoint: str, inbox: str | None = None,
+                     kafka: str | None = None, topic: str | None = None, log: str | None = None,
+                     cap: int | None = None) -> DataFrame:
+    """The stream of one source: a file inbox, a Kafka topic or a message log."""
+    if sum(source is not None for source in (inbox, kafka, log)) != 1:
+        raise ValueError("name one of an inbox, Kafka servers and a message log")
+    if inbox is not None:
+        return readers.telemetry_inbox(spark, inbox, cap or 4)
+    if kafka is not None:
+        if not topic:
+            raise ValueError("Kafka servers need a topic")
+        return readers.parse_messages(readers.kafka_stream(spark, kafka, topic, cap or 50_000))
+    return readers.parse_messages(message_log.message_stream(
+        spark, log, f"{checkpoint.rstrip('/')}-consumer", cap or 50_000))
+
+
+def stream_telemetry(source: DataFrame, out: str, checkpoint: str, every: str | None = "10 seconds",
+                     publish: str | None = None, kafka: str | None = None) -> StreamingQuery:
+    """Run the gate; accepted and quarantined rows also go to message logs or Kafka topics."""
+    def send(name: str, frame: DataFrame) -> None:
+        sinks.write_messages(frame, kafka, f"telemetry.{name}")
+
+    return gate_stream.run_gate(source, gate_stream.GateSinks(
+        out, send if kafka else None, logs=publish), checkpoint, every)
+
+
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     jobs = parser.add_subparsers(dest="job", required=True)
@@ -150,8 +179,15 @@ def main(arguments: list[str] | None = None) -> None:
                 job.add_argument(f"--{part}", required=True)
     jobs.choices["adaptive"].add_argument("--config")
     jobs.choices["rul"].add_argument("--model", choices=("linear", "gbt"), default="linear")
-    jobs.choices["stream"].add_argument("--inbox", required=True)
-    jobs.choices["stream"].add_argument("--checkpoint", required=True)
+    stream = jobs.choices["stream"]
+    source = stream.add_mutually_exclusive_group(required=True)
+    for part in ("--inbox", "--kafka", "--log"):
+        source.add_argument(part)
+    for part in ("--topic", "--publish", "--publish-kafka"):
+        stream.add_argument(part)
+    stream.add_argument("--cap", type=int, help="files or messages per trigger")
+    stream.add_argument("--once", action="store_true", help="drain what is there and stop")
+    stream.add_argument("--checkpoint", required=True)
     given = parser.parse_args(arguments)
     spark = build_session(f"pulsegate-{given.job}")
     if given.job == "quality":
@@ -173,8 +209,11 @@ def main(arguments: list[str] | None = None) -> None:
         else:
             failure_horizon(train, test, truth, given.out)
     else:
-        run = gate_stream.run_gate(readers.telemetry_inbox(spark, given.inbox),
-                                   gate_stream.GateSinks(given.out), given.checkpoint)
+        source = telemetry_stream(spark, given.checkpoint, given.inbox, given.kafka, given.topic,
+                                  given.log, given.cap)
+        run = stream_telemetry(source, given.out, given.checkpoint,
+                               None if given.once else "10 seconds", given.publish,
+                               given.publish_kafka)
         run.awaitTermination()
 
 

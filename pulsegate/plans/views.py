@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pulsegate.operators.prefix import grouped_rank
 from pulsegate.session import use_utc
 
 TELEMETRY_SQL = """
@@ -97,6 +98,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = use_utc(spark)
         self.folder = folder.rstrip("/")
+        self._trajectory: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -112,4 +114,13 @@ class Tables:
         return self._view(INCIDENTS_SQL)
 
     def trajectory(self) -> DataFrame:
-        return self._view(TRAJECTORY_SQL).withColumn("cycle", F.col("cycle").cast("bigint"))
+        """What TRAJECTORY_SQL says; cycles are ranks over chunks, as one user may be hot."""
+        if self._trajectory is None:
+            rows = self.table("events").select("user_id", "ts", "event_id", "value")
+            ranked = grouped_rank(rows, ["user_id"], [F.col("ts").asc(), F.col("event_id").asc()])
+            self._trajectory = ranked.select(
+                F.col("user_id").alias("unit_id"), F.col("rank").cast("bigint").alias("cycle"),
+                (F.col("user_id") % 3).cast("double").alias("setting_1"),
+                F.col("value").alias("sensor_1"),
+                (F.col("event_id") % 100).cast("double").alias("sensor_2"))
+        return self._trajectory

@@ -1,7 +1,10 @@
 """Sinks: partitioned tables, message encoding, evidence, reports and exports."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from typing import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsegate.schema import TELEMETRY_FIELDS
 
@@ -49,10 +52,17 @@ def _batch_path(folder: str, batch_id: int | None) -> str:
 
 
 def write_validated(valid: DataFrame, folder: str, batch_id: int | None = None) -> None:
-    (valid.write.mode("overwrite").partitionBy("event_date", "data_center_id")
+    """A task holds whole days and centres, or even parts of them, so files stay few."""
+    keys = ["event_date", "data_center_id"]
+    (valid.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys)
      .parquet(_batch_path(folder, batch_id)))
 
 
+def written_rows(spark: SparkSession, folder: str, batch_id: int) -> int:
+    """Rows of a batch in a Parquet sink, from the footers; no column is read."""
+    return spark.read.schema("event_id STRING").parquet(_batch_path(folder, batch_id)).count()
+
+
 def write_quarantine(invalid: DataFrame, folder: str, batch_id: int | None = None) -> None:
     invalid.write.mode("overwrite").json(_batch_path(folder, batch_id))
 
@@ -74,7 +84,7 @@ def as_messages(frame: DataFrame, key: str = "server_id") -> DataFrame:
 
 
 def write_messages(messages: DataFrame, servers: str, topic: str) -> None:
-    """Send rows that ``as_messages`` has encoded; a replayed batch sends them again."""
+    """Send rows that ``as_messages`` has encoded; guard it with ``once`` against replays."""
     (messages.write.format("kafka").option("kafka.bootstrap.servers", servers)
      .option("topic", topic).save())
 
@@ -84,14 +94,31 @@ def prediction_documents(scored: DataFrame) -> DataFrame:
 
 
 def write_documents(scored: DataFrame, data_format: str, options: dict[str, str]) -> None:
-    """Append the prediction projection through whichever connector the caller names.
-
-    A replayed batch appends again: at least once, so readers take one row per ``event_id``.
-    """
+    """Append the prediction projection through whichever connector the caller names."""
     (prediction_documents(scored).write.format(data_format).options(**options)
      .mode("append").save())
 
 
+def once(spark: SparkSession, commits: str, sink: str, batch_id: int,
+         send: Callable[[], None]) -> bool:
+    """Send unless ``sink`` has committed the batch; its row in the commit table comes last.
+
+    A batch that is replayed after it was committed sends nothing. One that stopped between the
+    end of its sending and its commit is sent again, so connectors that can should upsert;
+    message logs commit by themselves and have no such gap.
+    """
+    path = f"{commits}/sink={sink}/batch_id={batch_id}"
+    try:
+        if not spark.read.schema("committed_at TIMESTAMP").parquet(path).isEmpty():
+            return False
+    except AnalysisException:  # never sent
+        pass
+    send()
+    spark.range(1).select(F.current_timestamp().alias("committed_at")).write.mode(
+        "overwrite").parquet(path)
+    return True
+
+
 def write_accepted_evidence(classified: DataFrame, folder: str) -> None:
     (classified.where("is_valid").select(*TELEMETRY_FIELDS)
      .write.mode("overwrite").json(folder))

@@ -199,19 +199,84 @@ def test_rolling_features_look_back_inclusively(spark):
             n / 100 - sum(fifteen) / len(fifteen))
 
 
-def test_rolling_blocks_do_not_change_results(spark):
+@pytest.mark.parametrize("short, long", [(0, 1), (7, 40), (300, 100_000)])
+def test_rolling_features_equal_brute_force(spark, short, long):
+    """Frames of one second, of parts of a block and longer than the data; null times and keys."""
     rng = random.Random(2)
-    rows = [{"event_id": str(n), "server_id": "hot" if n % 3 == 0 else f"s{n % 5}",
-             "event_time": START + dt.timedelta(seconds=rng.randint(0, 9000)),
-             "error_rate": rng.choice([0.0, 0.5, None])} for n in range(300)]
-    frame = telemetry(spark, rows)
-    names = list(features.ROLLING)
-    small = features.rolling_features(frame, names, block_seconds=900)
-    large = features.rolling_features(frame, names, block_seconds=10**9)
-    rounded = [F.round(n, 9).alias(n) for n in names]
-    assert small.select("event_id", *rounded).exceptAll(
-        large.select("event_id", *rounded)).isEmpty()
-    assert small.count() == 300
+    rows = [{"event_id": str(n),
+             "server_id": "hot" if n % 3 == 0 else None if n % 10 == 1 else f"s{n % 5}",
+             "event_time": None if n % 29 == 0 else START + dt.timedelta(
+                 seconds=rng.randint(0, 900)),
+             "error_rate": rng.choice([0.0, 0.5, 0.25, None]), "queue_depth": float(n % 13)}
+            for n in range(240)]
+    got = {r.event_id: r for r in features.rolling_features(
+        telemetry(spark, rows), None, short, long).collect()}
+    assert len(got) == 240
+    for row in rows:
+        at = row["event_time"]
+
+        def around(seconds, source):
+            return [r[source] for r in rows if r["server_id"] == row["server_id"]
+                    and r[source] is not None and (
+                        r["event_time"] is None if at is None else r["event_time"] is not None
+                        and 0 <= (at - r["event_time"]).total_seconds() <= seconds)]
+
+        near, far, queue = around(short, "error_rate"), around(long, "error_rate"), around(
+            long, "queue_depth")
+        own = got[row["event_id"]]
+        assert own.error_rate_mean_5m == (
+            pytest.approx(sum(near) / len(near)) if near else None)
+        assert own.error_rate_max_15m == max(far, default=None)
+        assert own.queue_depth_mean_15m == pytest.approx(sum(queue) / len(queue))
+
+
+@pytest.mark.parametrize("chunks", [1, 3, 16])
+def test_exact_quantile(spark, chunks):
+    """Ties, NULLs, one value, negative values, a group with most of the rows."""
+    rng = random.Random(8)
+    rows = [("hot", float(rng.randint(-3, 3))) for _ in range(400)]
+    rows += [("wide", rng.uniform(-1e6, 1e6)) for _ in range(57)] + [("one", 4.5), ("two", 1.0),
+                                                                     ("two", 2.0)]
+    rows += [("hot", None), ("none", None), (None, 1.0), (None, 3.0)]
+    frame = spark.createDataFrame(rows, "g STRING, v DOUBLE").repartition(5)
+    for share in (0.0, 0.5, 0.95, 1.0):
+        got = {r.g: r.q for r in prefix.exact_quantile(
+            frame, ["g"], "v", share, "q", chunks).collect()}
+        assert set(got) == {"hot", "wide", "one", "two", None}
+        for g, value in got.items():
+            own = sorted(v for h, v in rows if h == g and v is not None)
+            place = (len(own) - 1) * share
+            low = int(place)
+            high = min(low + 1, len(own) - 1)
+            assert value == pytest.approx(own[low] + (own[high] - own[low]) * (place - low))
+
+
+@pytest.mark.parametrize("chunks", [1, 4, 25])
+def test_grouped_rank(spark, chunks):
+    """A group that spans chunks, NULL groups, and ties that get different ranks."""
+    rng = random.Random(5)
+    rows = [("hot" if n % 3 else None if n % 5 == 0 else f"g{n % 7}", rng.randint(0, 40), n)
+            for n in range(300)]
+    frame = spark.createDataFrame(rows, "g STRING, v INT, n INT").repartition(6)
+    got = prefix.grouped_rank(frame, ["g"], [F.col("v").desc()], chunks).collect()
+    assert len(got) == 300
+    for g in {r.g for r in got}:
+        own = sorted((r for r in got if r.g == g), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, len(own) + 1))
+        assert [r.v for r in own] == sorted((v for h, v, _ in rows if h == g), reverse=True)
+        assert {r.total for r in own} == {len(own)}
+
+
+def test_folds_of_a_hot_label(spark):
+    frame = spark.range(1003).selectExpr("IF(id % 100 = 0, 1, 0) AS y", "CAST(id AS STRING) AS k")
+    got = splits.stratified_folds(frame, "y", "k", 10)
+    assert got.columns == ["y", "k", "fold"] and got.count() == 1003
+    sizes = {}
+    for r in got.groupBy("y", "fold").count().collect():
+        sizes.setdefault(r.y, []).append(r["count"])
+    assert all(max(own) - min(own) <= 1 for own in sizes.values())
+    again = splits.stratified_folds(frame.repartition(9), "y", "k", 10)
+    assert got.exceptAll(again).isEmpty()
 
 
 def test_windows_are_resolved_and_checked():

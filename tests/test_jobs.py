@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pulsegate.plans import jobs
 from pulsegate.plans.views import START, WINDOWS, Tables
 from pulsegate.schema import TELEMETRY_FIELDS
-from pulsegate.sources import readers
+from pulsegate.sources import message_log, readers, sinks
 
 FOLDER = "/root/testdata/sf0.001"
 SMALL = {"numTrees": 3, "maxDepth": 3, "minInstancesPerNode": 2}
@@ -70,3 +70,23 @@ def test_life_jobs(spark, folder):
     assert {r.model for r in table.collect()} == {
         "logistic_regression", "random_forest", "gradient_boosting"}
     assert spark.read.json(f"{folder}/cls/distribution/test").first().engines == 12
+
+
+def test_stream_job_from_log_to_log(spark, folder):
+    """Messages in, accepted and quarantined messages out, over restarts."""
+    rows = Tables(spark, FOLDER).telemetry().select(*TELEMETRY_FIELDS)
+    message_log.append(sinks.as_messages(rows), f"{folder}/in", "all")
+    for _ in range(3):
+        source = jobs.telemetry_stream(spark, f"{folder}/state", log=f"{folder}/in", cap=400)
+        query = jobs.stream_telemetry(source, f"{folder}/out", f"{folder}/state", None,
+                                      f"{folder}/logs")
+        query.awaitTermination(240)
+        assert query.exception() is None
+    metrics = readers.stream_metrics(spark, f"{folder}/out/metrics").collect()
+    assert sum(m.received for m in metrics) == 1010 and len(metrics) == 3
+    for topic, counted in (("predictions", "accepted"), ("quarantine", "quarantined")):
+        assert message_log.messages(spark, f"{folder}/logs/{topic}").count() == sum(
+            m[counted] for m in metrics)
+    for wrong in ({}, {"inbox": "a", "log": "b"}, {"kafka": "host:9092"}):
+        with pytest.raises(ValueError):
+            jobs.telemetry_stream(spark, f"{folder}/state", **wrong)

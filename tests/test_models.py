@@ -63,16 +63,18 @@ def test_attributions_are_shapley_values_and_add_up(spark, fitted):
             assert row[f"{name}_contribution"] == pytest.approx(want, abs=1e-9)
 
 
-def test_tree_groups_do_not_change_attributions(spark, fitted, monkeypatch):
+def test_how_rows_are_spread_does_not_change_attributions(spark, fitted):
     frame, model = fitted
     nodes = models.saved_nodes(model, frame)
-    some = frame.limit(10)
-    whole = attribution.explain_rows(some, nodes, ["a", "b", "c"]).orderBy("event_id").collect()
-    monkeypatch.setattr(attribution, "MAX_BROADCAST_NODES", 1)
-    apart = attribution.explain_rows(some, nodes, ["a", "b", "c"]).orderBy("event_id").collect()
+    some = frame.limit(50)
+    whole, apart = (attribution.explain_rows(some, nodes, ["a", "b", "c"], rows).orderBy(
+        "event_id").collect() for rows in (8192, 7))
+    assert len(whole) == len(apart) == 50
     for one, two in zip(whole, apart):
-        assert one.BiasTerm == pytest.approx(two.BiasTerm)
-        assert one.a_contribution == pytest.approx(two.a_contribution)
+        assert one.event_id == two.event_id and one.BiasTerm == pytest.approx(two.BiasTerm)
+        for name in ("a", "b", "c"):
+            assert one[f"{name}_contribution"] == pytest.approx(two[f"{name}_contribution"])
+    assert attribution.explain_rows(some.limit(0), nodes, ["a", "b", "c"]).count() == 0
 
 
 def test_top_contributors(spark):

@@ -157,3 +157,18 @@ def test_staged_tables_go_to_the_named_folder(spark):
     assert shared_folder(spark) == named
     staged = stage(spark.range(5), "t")
     assert staged.count() == 5 and f"{named}/staged/" in staged.inputFiles()[0]
+
+
+def test_unreadable_metric_lines_are_counted_and_kept(spark, folder):
+    metrics = pathlib.Path(f"{folder}/metrics/batch-1")
+    metrics.mkdir(parents=True)
+    lines = ['{"batch_id": 1, "received": 5}', '{"batch_id": 2, "recei', '{"batch_id": "x"}', "",
+             '{"batch_id": 3}']
+    (metrics / "part.json").write_text("\n".join(lines) + "\n")
+    path = f"{folder}/metrics"
+    assert sorted(r.batch_id for r in readers.stream_metrics(spark, path).collect()) == [1, 3]
+    assert readers.keep_unreadable_metrics(spark, path, f"{folder}/side") == 2
+    kept = spark.read.parquet(f"{folder}/side").collect()
+    assert sorted(r.line for r in kept) == sorted(lines[1:3])
+    assert all(r.file.endswith("part.json") for r in kept)
+    assert readers.keep_unreadable_metrics(spark, f"{folder}/none", f"{folder}/empty") == 0

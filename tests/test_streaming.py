@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from pulsegate.operators import quality, workload
-from pulsegate.sources import readers
+from pulsegate.sources import message_log, readers
 from pulsegate.streaming import gate_stream, state
 from tests.rows import BASE, gate_set
 
@@ -131,3 +131,119 @@ def test_message_parsing_keeps_raw_text(spark):
     rows = {r.kafka_offset: r for r in readers.parse_messages(messages).collect()}
     assert rows[1].event_id == "a" and rows[1].cpu_util_pct == BASE["cpu_util_pct"]
     assert rows[2].raw_json == "{nope" and rows[2][readers.CORRUPT] == "{nope"
+
+
+def later(minutes, **row):
+    return line({"event_time": BASE["event_time"] + dt.timedelta(minutes=minutes),
+                 "ingest_time": BASE["ingest_time"] + dt.timedelta(minutes=minutes), **row})
+
+
+def test_repeat_two_hours_and_two_batches_later_is_quarantined(spark, folder):
+    """Stream and batch agree over three batches, and a replay changes nothing."""
+    batches = [[later(0, event_id="a"), later(0, event_id="b"), later(0, event_id="c")],
+               [later(60, event_id="d"), later(60, event_id="d", source_sequence=2)],
+               [later(120, event_id="a", source_sequence=7), later(120, event_id="e"),
+                later(120, event_id=None)]]
+    inbox, out, _ = run(spark, folder, batches, 1)
+
+    def answer():
+        return (sorted((r.event_id, r.batch_id) for r in gate_stream.validated_table(
+                    spark, out).collect()),
+                sorted((r.event_id or "", r.quality_failure_type) for r in spark.read.json(
+                    out.path("quarantine")).collect()))
+
+    accepted, rejected = answer()
+    assert accepted == [("a", 0), ("b", 0), ("c", 0), ("d", 1), ("e", 2)]
+    assert rejected == [("", "missing_required_field"), ("a", "duplicate_event"),
+                        ("d", "duplicate_event")]
+    whole = quality.classify_quality(readers.telemetry_files(spark, inbox))
+    assert sorted(r.event_id for r in quality.accepted(whole).collect()) == [n for n, _ in accepted]
+    for replayed in (2, 0):
+        batch = readers.telemetry_files(spark, f"{inbox}/batch-{replayed:03d}.json")
+        gate_stream.process_batch(batch, replayed, out)
+        assert answer() == (accepted, rejected)
+
+
+def test_ids_are_kept_for_as_many_days_as_asked(spark, folder):
+    out = gate_stream.GateSinks(f"{folder}/out", keep_days=2)
+    day = 24 * 60
+    batches = [[later(0, event_id="old"), later(3 * day, event_id="new")],
+               [later(4 * day, event_id="old"), later(4 * day, event_id="new")]]
+    inbox = drop_files(f"{folder}/inbox", batches)
+    for n in range(2):
+        gate_stream.process_batch(readers.telemetry_files(
+            spark, f"{inbox}/batch-{n:03d}.json"), n, out)
+    assert sorted((r.event_id, r.batch_id) for r in gate_stream.validated_table(
+        spark, out).collect()) == [("new", 0), ("old", 0), ("old", 1)]
+
+
+def test_metric_row_counts_what_was_written(spark, folder):
+    inbox = drop_files(f"{folder}/inbox", [[line(r) for r in gate_set()]])
+    out = gate_stream.GateSinks(f"{folder}/out")
+    gate_stream.process_batch(readers.telemetry_files(spark, inbox), 3, out)
+    metrics = readers.stream_metrics(spark, out.path("metrics")).first()
+    assert (metrics.batch_id, metrics.received, metrics.accepted, metrics.quarantined) == (
+        3, 8, 2, 6)
+    assert gate_stream.validated_table(spark, out).count() == metrics.accepted
+
+
+def test_replayed_batch_publishes_once(spark, folder):
+    """One document and one message per event in every kind of sink."""
+    inbox = drop_files(f"{folder}/inbox", [[line(r) for r in gate_set()]])
+    sent = []
+    out = gate_stream.GateSinks(
+        f"{folder}/out", lambda name, rows: sent.extend((name, r.value) for r in rows.collect()),
+        ("parquet", {"path": f"{folder}/documents"}), f"{folder}/logs")
+    for _ in range(3):
+        gate_stream.process_batch(readers.telemetry_files(spark, inbox), 4, out)
+    assert sorted(name for name, _ in sent) == ["predictions"] * 2 + ["quarantine"] * 6
+    assert spark.read.parquet(f"{folder}/documents").count() == 2
+    logged = message_log.messages(spark, f"{folder}/logs/predictions").collect()
+    assert {json.loads(r.value)["event_id"] for r in logged} == {"a-good", "b-good"}
+    assert len(logged) == 2 and message_log.messages(
+        spark, f"{folder}/logs/quarantine").count() == 6
+
+
+def test_message_log_addresses_offsets(spark, folder):
+    log = f"{folder}/log"
+    for n in range(3):
+        rows = spark.range(n * 100, n * 100 + 100).selectExpr(
+            "IF(id % 10 = 0, NULL, CONCAT('k', id % 7)) AS key", "CAST(id AS STRING) AS value")
+        message_log.append(rows.repartition(3), log, f"batch-{n}")
+        message_log.append(rows, log, f"batch-{n}")
+    found = message_log.messages(spark, log).collect()
+    assert sorted(int(r.value) for r in found) == list(range(300))
+    partitions = {}
+    for r in found:
+        partitions.setdefault(r.partition, []).append(r.offset)
+        assert r.key is not None or r.partition == 0
+    assert all(sorted(own) == list(range(len(own))) for own in partitions.values())
+    assert len({(r.key, r.partition) for r in found if r.key}) == 7
+    end = message_log.ends(message_log.Storage(log).manifests())
+    assert sum(end.values()) == 300
+
+
+def test_gate_over_a_message_log_with_restarts(spark, folder):
+    """Three runs from one checkpoint, a capped number of messages each, nothing lost or doubled."""
+    log = f"{folder}/log"
+    lines = [later(n, event_id=f"e{n % 20}", source_sequence=n) for n in range(24)] + ["{broken"]
+    for n in range(0, 25, 5):
+        message_log.append(spark.createDataFrame(
+            [(f"k{m % 3}", text) for m, text in enumerate(lines[n:n + 5])],
+            "key STRING, value STRING"), log, str(n))
+    out, batches = gate_stream.GateSinks(f"{folder}/out"), []
+    for _ in range(4):
+        source = readers.parse_messages(message_log.message_stream(
+            spark, log, f"{folder}/consumer", 10))
+        query = gate_stream.run_gate(source, out, f"{folder}/checkpoint", every=None)
+        query.awaitTermination(240)
+        assert query.exception() is None
+        batches += [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    metrics = readers.stream_metrics(spark, out.path("metrics")).collect()
+    assert sum(m.received for m in metrics) == 25 and len(metrics) >= 3
+    assert max(m.received for m in metrics) <= 20
+    assert sorted(r.event_id for r in gate_stream.validated_table(spark, out).collect()) == sorted(
+        f"e{n}" for n in range(20))
+    rejected = spark.read.json(out.path("quarantine"))
+    assert rejected.where("quality_failure_type LIKE '%duplicate_event%'").count() == 4
+    assert rejected.where("unreadable_text IS NOT NULL").count() == 1
