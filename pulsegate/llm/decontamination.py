@@ -40,6 +40,8 @@ PASS_WORDS = 2_000_000
 #: Space, controls and ASCII punctuation part words.
 _TABLE = byte_table(bytes(c for c in range(128) if not chr(c).isalnum()))
 _FILTER_BITS = 20
+#: Cells of one lookup of fingerprint blocks (32 MB).
+_GATHER = 1 << 22
 LEAK = T.ArrayType(T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("start", T.IntegerType()),
     T.StructField("n_words", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
@@ -62,13 +64,20 @@ def block_bounds() -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def _block(prints: np.ndarray, first: int, bits: int) -> np.ndarray:
-    return (prints >> np.uint64(first)) & np.uint64((1 << bits) - 1)
+_FIRST, _WIDTH = (np.array(x, np.uint64) for x in zip(*block_bounds()))
+#: Where the values of each block begin in a table of all of them.
+_OFFSETS = np.append(0, np.cumsum(1 << _WIDTH.astype(np.int64)))
+
+
+def _blocks(prints: np.ndarray) -> np.ndarray:
+    """Place of each block's value in the table, one column per block."""
+    values = (prints[:, None] >> _FIRST) & ((np.uint64(1) << _WIDTH) - np.uint64(1))
+    return values.astype(np.int64) + _OFFSETS[:-1]
 
 
 @dataclass
 class Size:
-    """Items of one length in words: shingles per item, fingerprints, block tables."""
+    """Items of one length in words: shingles per item, fingerprints, block table."""
     words: int
     span: int  # shingles of a window
     ids: list[int]
@@ -76,16 +85,34 @@ class Size:
     totals: np.ndarray
     prints: np.ndarray
 
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) pairs within the radius, found by equal blocks."""
-        near = np.zeros((len(prints), len(self.ids)), bool)
-        for first, bits in block_bounds():
-            own = _block(self.prints, first, bits)
-            table = own[None, :] == np.arange(1 << bits, dtype=np.uint64)[:, None]
-            near |= table[_block(prints, first, bits).astype(np.int64)]
-        window, item = np.nonzero(near)
-        close = np.bitwise_count(prints[window] ^ self.prints[item]) <= RADIUS
-        return window[close], item[close]
+    def __post_init__(self):
+        """For each value of each block, a bitset of the items that have it."""
+        self.lanes = -(-len(self.ids) // 64)
+        self.table = np.zeros((int(_OFFSETS[-1]), self.lanes), np.uint64)
+        places, items = _blocks(self.prints), np.arange(len(self.ids))
+        np.bitwise_or.at(self.table, (places, (items // 64)[:, None]),
+                         (np.uint64(1) << (items % 64).astype(np.uint64))[:, None])
+
+    def candidates(self, prints: np.ndarray, reach: np.ndarray, similarity: float,
+                   ) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) pairs within the radius whose windows hold weight enough for the item.
+
+        Blocks are looked up in one gather; its size is bounded, whatever the number of items.
+        """
+        found = []
+        step = max(_GATHER // (len(_FIRST) * self.lanes), 1)
+        for at in range(0, len(prints), step):
+            part = prints[at:at + step]
+            near = np.bitwise_or.reduce(self.table[_blocks(part)], axis=1)
+            bits = np.unpackbits(near.view(np.uint8), axis=1, bitorder="little",
+                                 count=len(self.ids))
+            window, item = np.nonzero(bits)
+            # all weight that a window shares with any item bounds what it shares with one
+            enough = reach[at + window] >= similarity * self.totals[item] - 1e-9
+            window, item = window[enough], item[enough]
+            close = np.bitwise_count(part[window] ^ self.prints[item]) <= RADIUS
+            found.append((at + window[close], item[close]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
 
 @dataclass
@@ -149,83 +176,126 @@ class Items:
                 for _, x in items])
             self.sizes.append(Size(length, span, [i for i, _ in items], sets,
                                    np.array([sum(s.values()) for s in sets]), prints))
-        self.filter = {}
+        self.lookup = {}
         for shingle in {min(SHINGLE, size.words) for size in self.sizes}:
-            known = [s for size in self.sizes if min(SHINGLE, size.words) == shingle
-                     for own in size.sets for s in own]
+            known = np.unique(np.array([
+                s for size in self.sizes if min(SHINGLE, size.words) == shingle
+                for own in size.sets for s in own], np.uint64))
             seen = np.zeros(1 << _FILTER_BITS, bool)
-            seen[np.array(known, np.uint64) & np.uint64((1 << _FILTER_BITS) - 1)] = True
-            self.filter[shingle] = seen
-
-    def leaks(self, words: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """Best window of each item in one document: item_id, start, words, similarity."""
-        best: dict[int, tuple[int, int, int, float]] = {}
-        for shingle, seen in self.filter.items():
+            seen[known & np.uint64((1 << _FILTER_BITS) - 1)] = True
+            self.lookup[shingle] = seen, known, np.array([self.weight[s] for s in known.tolist()])
+
+    def known_weights(self, hashes: np.ndarray, shingle: int) -> np.ndarray:
+        """Weight of each shingle that an item has, 0 for the others."""
+        seen, known, weights = self.lookup[shingle]
+        out = np.zeros(len(hashes))
+        likely = np.flatnonzero(seen[hashes & np.uint64((1 << _FILTER_BITS) - 1)])
+        at = np.minimum(np.searchsorted(known, hashes[likely]), len(known) - 1)
+        right = known[at] == hashes[likely]
+        out[likely[right]] = weights[at[right]]
+        return out
+
+    def search(self, words: np.ndarray, bounds: np.ndarray) -> list[list[tuple]]:
+        """Best window of each item in each row: item_id, start, words, similarity.
+
+        The rows of a batch that share any shingle with an item stand behind each other, and
+        each item length looks at the windows of all of them at once.
+        """
+        best: list[dict[int, tuple[int, int, int, float]]] = [{} for _ in bounds[1:]]
+        rows = owners(bounds)
+        for shingle in self.lookup:
             hashes = grams(words, shingle)
-            likely = np.flatnonzero(seen[hashes & np.uint64((1 << _FILTER_BITS) - 1)])
-            own = {at: self.weight[s] for at in likely.tolist()
-                   if (s := int(hashes[at])) in self.weight}
-            if not own:
+            own = self.known_weights(hashes, shingle)
+            inside = rows[:len(hashes)] == rows[shingle - 1:] if len(hashes) else np.zeros(0, bool)
+            own[~inside] = 0
+            hit = np.zeros(len(best), bool)
+            hit[rows[np.flatnonzero(own)]] = True
+            kept = np.flatnonzero(inside & hit[rows[:len(hashes)]])
+            if len(kept):
+                self._windows(shingle, rows[kept], kept - bounds[rows[kept]], hashes[kept],
+                              own[kept], best)
+        return [sorted(found.values(), key=lambda leak: (leak[1], str(leak[0])))
+                for found in best]
+
+    def _windows(self, shingle: int, rows: np.ndarray, places: np.ndarray, hashes: np.ndarray,
+                 own: np.ndarray, best: list[dict]) -> None:
+        shared = np.append(0, np.cumsum(own))
+        text = Stretch(rows, places, hashes, self.rarity.weights(hashes))
+        heads = np.flatnonzero(places == 0)
+        lengths = np.diff(heads, append=len(rows))
+        for size in self.sizes:
+            if min(SHINGLE, size.words) != shingle:
                 continue
-            weights = self.rarity.weights(hashes)
-            shared = np.zeros(len(hashes) + 1)
-            shared[np.array(list(own)) + 1] = list(own.values())
-            shared = np.cumsum(shared)
-            mixed = mix(hashes)
-            for size in self.sizes:
-                if min(SHINGLE, size.words) != shingle:
-                    continue
-                # a shorter document is one window
-                span = min(size.span, len(hashes))
-                reach = shared[span:] - shared[:-span]
-                starts = np.flatnonzero(
-                    reach >= self.similarity * size.totals.min() - 1e-9)
-                for at in range(0, len(starts), 4096):
-                    self._verify(size, span, starts[at:at + 4096], hashes, mixed, weights, best)
-        return sorted(best.values(), key=lambda leak: (leak[1], str(leak[0])))
-
-    def _verify(self, size: Size, span: int, starts: np.ndarray, hashes: np.ndarray,
-                mixed: np.ndarray, weights: np.ndarray, best: dict) -> None:
-        # far starts are fingerprinted apart: sums run over the stretch between them
-        for part in np.split(starts, np.flatnonzero(np.diff(starts) > 512) + 1):
-            prints = fingerprints(mixed, np.sqrt(weights), part, span)
-            for window, item in zip(*size.candidates(prints)):
-                at = int(part[window])
-                found = dict(zip(hashes[at:at + span].tolist(), weights[at:at + span].tolist()))
-                shared = sum(w for s, w in size.sets[item].items() if s in found)
-                union = size.totals[item] + sum(w for s, w in found.items()
-                                                if s not in size.sets[item])
-                similarity = shared / union
-                key = size.ids[item]
-                if similarity >= self.similarity - 1e-12 and (
-                        key not in best or similarity > best[key][3]):
-                    words = size.words - size.span + span
-                    best[key] = (key, at, words, float(similarity))
+            least = self.similarity * size.totals.min() - 1e-9
+            if len(rows) >= size.span:
+                reach = shared[size.span:] - shared[:-size.span]
+                starts = np.flatnonzero((reach >= least)
+                                        & (rows[:len(reach)] == rows[size.span - 1:]))
+                self._verify(size, size.span, starts, reach[starts], text, best)
+            # a shorter document is one window
+            short = np.flatnonzero(lengths < size.span)
+            reach = shared[heads[short] + lengths[short]] - shared[heads[short]]
+            for at in np.flatnonzero(reach >= least).tolist():
+                self._verify(size, int(lengths[short[at]]), heads[short[at:at + 1]],
+                             reach[at:at + 1], text, best)
+
+    def _verify(self, size: Size, span: int, starts: np.ndarray, reach: np.ndarray,
+                text: Stretch, best: list[dict]) -> None:
+        if not len(starts):
+            return
+        for window, item in zip(*size.candidates(text.prints(starts, span), reach,
+                                                 self.similarity)):
+            at = int(starts[window])
+            found = dict(zip(text.hashes[at:at + span].tolist(),
+                             text.weights[at:at + span].tolist()))
+            shared = sum(w for s, w in size.sets[item].items() if s in found)
+            union = size.totals[item] + sum(w for s, w in found.items()
+                                            if s not in size.sets[item])
+            similarity = shared / union
+            own, key = best[int(text.rows[at])], size.ids[item]
+            if similarity >= self.similarity - 1e-12 and (
+                    key not in own or similarity > own[key][3]):
+                words = size.words - size.span + span
+                own[key] = (key, int(text.places[at]), words, float(similarity))
+
+
+@dataclass
+class Stretch:
+    """Shingles of several rows, one row after the other."""
+    rows: np.ndarray
+    places: np.ndarray
+    hashes: np.ndarray
+    weights: np.ndarray
+
+    def prints(self, starts: np.ndarray, span: int) -> np.ndarray:
+        """Fingerprints of windows; shingles in none of them are left out of the running sums."""
+        edges = np.zeros(len(self.hashes) + 1, np.int64)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + span, -1)
+        covered = np.cumsum(edges[:-1]) > 0
+        place = np.cumsum(covered) - 1
+        hashes, weights = mix(self.hashes[covered]), np.sqrt(self.weights[covered])
+        out = []
+        for at in range(0, len(starts), 4096):
+            part = place[starts[at:at + 4096]]
+            # a sum holds 64 votes a shingle, so few windows that lie far apart go alone
+            cuts = np.append(np.searchsorted(part, np.arange(part[0], part[-1] + 1, 1 << 14)),
+                             len(part))
+            out += [fingerprints(hashes, weights, part[a:b], span)
+                    for a, b in zip(cuts[:-1], cuts[1:]) if a < b]
+        return np.concatenate(out)
 
 
 def _finder(shared):
     @F.pandas_udf(LEAK)
     def find(texts: pd.Series) -> pd.Series:
-        items = shared.value
         words, bounds = hashed_words(pa.array(texts, pa.string()), _TABLE)
-        suspects = _suspects(items, words, bounds)
-        return pd.Series([[
-            {"item_id": i, "start": at, "n_words": n, "similarity": s}
-            for i, at, n, s in items.leaks(words[bounds[row]:bounds[row + 1]])]
-            if suspects[row] else [] for row in range(len(texts))])
+        return pd.Series([[{"item_id": i, "start": at, "n_words": n, "similarity": s}
+                           for i, at, n, s in found]
+                          for found in shared.value.search(words, bounds)])
     return find
 
 
-def _suspects(items: Items, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Rows with any shingle that may be one of an item."""
-    out = np.zeros(len(bounds) - 1, bool)
-    rows = owners(bounds)
-    for shingle, seen in items.filter.items():
-        hashes = grams(words, shingle)
-        out[rows[np.flatnonzero(seen[hashes & np.uint64((1 << _FILTER_BITS) - 1)])]] = True
-    return out
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                ) -> DataFrame:
     """All rows and columns of ``docs`` and ``leaks``: an array of item_id, start, n_words,
