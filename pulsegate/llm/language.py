@@ -6,8 +6,10 @@ text's n-grams, the inverse document frequency comes from all training rows. Wei
 follow-the-regularised-leader with elastic-net penalties, which leaves most of them at zero; a
 temperature fitted on rows that trained nothing calibrates the probabilities.
 
-The fit uses at most ``sample`` rows (equal shares of each language, smallest hashes of the id);
-the document frequencies and every prediction cover all rows and whole texts.
+The fit uses at most ``sample`` rows (equal shares of each language, smallest hashes of the id),
+or ``LEAST`` rows of each language if that is more; every language is learned. It takes 1 MB of the
+driver for each language; what is sent to the workers are the weights that are not zero.
+The document frequencies and every prediction cover all rows and whole texts.
 """
 from __future__ import annotations
 
@@ -24,8 +26,8 @@ DIMENSIONS = 1 << 16
 UNKNOWN = "und"
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType(), False),
                            T.StructField("score", T.DoubleType(), False)])
-#: Languages beyond this many would be a column of something else.
-MOST_LANGUAGES = 200
+#: Rows of each language that the fit may use, however many languages there are.
+LEAST = 12
 
 
 def ngrams(text: str | None) -> np.ndarray:
@@ -66,14 +68,30 @@ def bucket(doc_id: Column) -> Column:
 
 @dataclass
 class LanguageModel:
+    """Weights that are not zero: those of column c stand at bounds[c]:bounds[c + 1]."""
     languages: list[str]
-    weights: np.ndarray  # one row per column of DIMENSIONS, times its inverse frequency
+    bounds: np.ndarray
+    classes: np.ndarray
+    weights: np.ndarray  # times the inverse frequency of the column
     bias: np.ndarray
     temperature: float
 
+    @classmethod
+    def of(cls, languages: list[str], dense: np.ndarray, bias: np.ndarray,
+           temperature: float) -> LanguageModel:
+        columns, classes = np.nonzero(dense)
+        return cls(languages, np.searchsorted(columns, np.arange(len(dense) + 1)),
+                   classes.astype(np.int32), dense[columns, classes].astype(np.float32), bias,
+                   temperature)
+
     def probabilities(self, found: np.ndarray) -> np.ndarray:
         """Calibrated probabilities of one text from its n-gram columns."""
-        score = (self.weights[found].mean(axis=0) + self.bias) / self.temperature
+        starts = self.bounds[found]
+        sizes = self.bounds[found + 1] - starts
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
+        sums = np.bincount(self.classes[at], self.weights[at], minlength=len(self.languages))
+        score = (sums / len(found) + self.bias) / self.temperature
         score = np.exp(score - score.max())
         return score / score.sum()
 
@@ -149,17 +167,16 @@ def train(docs: DataFrame, sample: int = 4000) -> LanguageModel | None:
     """Fit on rows with a language and a letter that are not held out; None without any."""
     labelled = docs.filter(F.col("lang").isNotNull() & (bucket(F.col("doc_id")) != 0)).select(
         "doc_id", "text", "lang")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(
-        MOST_LANGUAGES).collect()
-    if not counts:
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("held"))
+    languages = sorted(row["lang"] for row in counts.collect())
+    if not languages:
         return None
-    languages = sorted(row["lang"] for row in counts)
-    share = sample / len(languages)
+    most = max(sample, LEAST * len(languages))
     # hash below share / count: about ``share`` rows of each language, sure to be few
     draw = F.pmod(F.xxhash64("doc_id", "lang", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chance = F.coalesce(*(F.when(F.col("lang") == row["lang"], F.lit(share / row["count"]))
-                          for row in counts), F.lit(0.0))
-    drawn = labelled.withColumn("draw", draw / chance).filter("draw < 1.2").select(
+    # a row per language
+    drawn = labelled.join(F.broadcast(counts), "lang").withColumn(
+        "draw", draw * F.col("held") / F.lit(most / len(languages))).filter("draw < 1.2").select(
         "doc_id", "text", "lang", "draw", bucket(F.col("doc_id")).alias("bucket"))
     frequency, rows = document_counts(labelled)
     inverse = np.log((1 + rows) / (1 + frequency)) + 1
@@ -177,7 +194,7 @@ def train(docs: DataFrame, sample: int = 4000) -> LanguageModel | None:
 
     # ids and n-grams of the sample only; a text gives DIMENSIONS columns at most
     table = arrow_rows(drawn, make, "lang string, bucket long, draw double, columns binary, "
-                       "values binary", "text").orderBy("draw", "lang", "columns").limit(sample)
+                       "values binary", "text").orderBy("draw", "lang", "columns").limit(most)
     picked = [row for row in table.collect() if row["columns"]]
     if not picked:
         return None
@@ -186,14 +203,16 @@ def train(docs: DataFrame, sample: int = 4000) -> LanguageModel | None:
     vectors = [(own := np.frombuffer(row["columns"], np.int32),
                 np.frombuffer(row["values"], np.float32) * inverse[own] * scale / 16,
                 number[row["lang"]]) for row in picked]
-    tuning = [row["bucket"] == 1 for row in picked]
+    # rows of bucket 1 calibrate, unless a language has no others to learn from
+    learned = {row["lang"] for row in picked if row["bucket"] != 1}
+    tuning = [row["bucket"] == 1 and row["lang"] in learned for row in picked]
     fitted = [v for v, held in zip(vectors, tuning) if not held] or vectors
     held = [v for v, h in zip(vectors, tuning) if h] or vectors
     weights, bias = fit_ftrl(fitted, len(languages))
     scores = np.array([values @ weights[own] + bias for own, values, _ in held])
     temperature = fit_temperature(scores, np.array([label for *_, label in held]))
     weights = (weights * (inverse * scale / 16)[:, None]).astype(np.float32)
-    return LanguageModel(languages, weights, bias, temperature)
+    return LanguageModel.of(languages, weights, bias, temperature)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -203,7 +222,8 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     letter and without a model. A column named ``language`` is replaced.
     """
     small_batches(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS rows, whatever the data
+    # DIMENSIONS rows of weights that are not zero
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(PREDICTION)
     def language(texts: pd.Series) -> pd.DataFrame:

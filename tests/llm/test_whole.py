@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from pulsegate.llm import decontamination, licenses, toxicity
+from pulsegate.llm import decontamination, language, licenses, toxicity
 
 
 def test_toxicity_uses_every_term(spark):
@@ -146,3 +146,24 @@ def test_wrapped_licenses(spark):
         list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[n].labels for n in range(5)] == ["mit", "bsd", "bsd,mit", "mit", ""]
     assert got[0].score == got[1].score == 1.0 and got[4].score == 0.0
+
+
+def test_every_language_is_learned(spark):
+    """250 languages of three rows, one of them only in the rows that calibrate the others."""
+    import zlib
+
+    def alphabet(k):
+        return [chr(0x4E00 + 5 * k + n) for n in range(5)]
+
+    free = iter(n for n in range(10 ** 6) if zlib.crc32(str(n).encode()) % 5 not in (0, 1))
+    late = iter(n for n in range(10 ** 6) if zlib.crc32(str(n).encode()) % 5 == 1)
+    data, rnd = [], random.Random(6)
+    for k in range(250):
+        ids = [next(late if k == 100 else free) for _ in range(3)]
+        for n in ids:
+            data.append((n, "".join(rnd.choices(alphabet(k), k=60)), f"l{k:03d}"))
+    data += [(2 * 10 ** 6 + k, "".join(rnd.choices(alphabet(k), k=60)), None) for k in range(250)]
+    got = {r.doc_id: r.language.lang_pred for r in language.identify(spark.createDataFrame(
+        data, "doc_id long, text string, lang string").repartition(4)).collect()}
+    right = [got[2 * 10 ** 6 + k] == f"l{k:03d}" for k in range(250)]
+    assert right[100] and sum(right) >= 245
