@@ -6,9 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import corpus_pipeline
 from pulsegate.llm import (bpe, conversation_trie, decontamination, exact, language, licenses,
-                           minhash, quality_rules, sharding, substring, toxicity, warc, whitening)
+                           minhash, pipeline, quality_rules, sharding, substring, toxicity, warc, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,6 +159,6 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL is not None:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+QUERIES["pipeline"] = pipeline.run
+if pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = pipeline.ORACLE_SQL

@@ -10,14 +10,11 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 import public_tokenizers
 from pulsegate.llm import (bpe, decontamination, language, licenses, minhash, quality_rules,
                            sharding, substring, toxicity, warc)
-from pulsegate.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cut int, leaks int"
-SF = "/root/testdata/sf0.001"
 
 
 def words(text):
@@ -286,15 +283,3 @@ def test_empty_tables(spark, empty):
                   toxicity.score_toxicity(empty, labels),
                   decontamination.find_leaks(empty, bench)):
         assert frame.count() == 0
-
-
-def test_pipeline(spark):
-    got = corpus_pipeline.run(spark, SF).collect()
-    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    kept = {r.doc_id for r in got}
-    leaks = {r.doc_id for r in QUERIES["op10_decontamination"](spark, SF).collect()}
-    assert kept <= set(docs) and len(got) == len(kept) > 0.8 * len(docs)
-    assert not [n for n in kept & leaks if "," in (docs[n].text or "") and n not in docs]
-    near = minhash.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).filter(
-        "not kept").collect()
-    assert not kept & {r.doc_id for r in near}
