@@ -1,16 +1,17 @@
 """Toxicity by nearest labelled examples (operator 9).
 
-Texts are TF-IDF vectors over all words of the examples and their beginnings of four to seven
-letters. The nearest examples by exact cosine are found with a block-max inverted index: examples
-stand in blocks, each term has its postings and its largest weight per block. The commonest terms
-are summed for every example; that sum, with a query's weights times the block maxima of its other
-terms, is a bound for the block, and blocks whose bound does not reach the k-th similarity
-are left out. Votes are weighted by similarity and calibrated by
-isotonic regression on the examples themselves, each left out of its own vote.
-
-Examples, terms and the calibration come from at most ``sample`` labelled rows that are not held
-out (half of each label, smallest hashes of the id). Document frequencies and scores cover all
-rows and whole texts.
+Texts are TF-IDF vectors over all words of the examples and their beginnings of four letters.
+The nearest examples by exact cosine are found with a block-max inverted index: examples that are
+alike share a block, each term has its postings and its largest weight per block. The commonest
+terms are summed for every example; that sum, with a query's weights times the block maxima of
+its other terms, is a bound for the block. Blocks are opened from the highest bound on, and those
+whose bound does not reach the k-th similarity stay closed. Votes are weighted by similarity and
+calibrated by isotonic regression on the examples themselves, each left out of its own vote; the
+same votes choose k.
+
+Examples, terms and the calibration come from at most ``sample`` labelled rows of at most
+``sample_bytes`` of text that are not held out (half of each label, smallest hashes of the id).
+Document frequencies and scores cover all rows and whole texts.
 """
 from __future__ import annotations
 
@@ -23,17 +24,21 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from pulsegate.llm.common import arrow_rows, small_batches
+from pulsegate.llm.common import arrow_rows, small_batches, staged
 from pulsegate.llm.language import bucket
 
-#: Examples of a block, terms whose postings are kept as a dense matrix, queries of one product.
-BLOCK, DENSE, TOGETHER = 32, 1024, 64
-#: More than the product of single precision can be off.
-SLACK = 1e-4
+#: Examples of a block, terms whose postings are kept as a dense matrix, terms that decide which
+#: examples share a block, queries of one product.
+BLOCK, DENSE, AXES, TOGETHER = 32, 1024, 256, 64
+#: More than sums in another order can be off.
+SLACK = 1e-9
 #: Letters of word beginnings; results a worker remembers.
-BEGINNINGS, MEMORY = (4, 5, 6, 7), 200_000
+BEGINNINGS, MEMORY = (4,), 200_000
+#: Numbers of neighbours to choose from.
+NEIGHBOURS = (25, 100, 400)
 _EDGES = " .,;:!?\"'()[]{}<>|#*$%&@-_=+/\\~`^…«»“”‘’„¡¿"
 SCORE = T.StructType([
     T.StructField("score", T.DoubleType(), False),
@@ -128,14 +133,6 @@ class Rows:
         at = slice(self.bounds[n], self.bounds[n + 1])
         return self.terms[at], self.weights[at]
 
-    def largest(self) -> tuple[np.ndarray, np.ndarray]:
-        """Term with the largest weight of each row, and that weight; -1 and 0 without any."""
-        top, most = np.full(len(self), -1), np.zeros(len(self))
-        for n in np.flatnonzero(np.diff(self.bounds)):
-            terms, weights = self.row(n)
-            top[n], most[n] = terms[weights.argmax()], weights.max()
-        return top, most
-
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each range, one after the other."""
@@ -143,22 +140,50 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
+def _clustered(rows: Rows, ids: np.ndarray) -> np.ndarray:
+    """Order in which like examples are neighbours: halves along the main axis, down to blocks."""
+    common = np.argsort(-np.bincount(rows.terms, minlength=rows.width), kind="stable")[:AXES]
+    column = np.full(rows.width, -1)
+    column[common] = np.arange(len(common))
+    own = column[rows.terms]
+    seen = np.zeros((len(rows), len(common)), np.float32)
+    seen[np.repeat(np.arange(len(rows)), np.diff(rows.bounds))[own >= 0], own[own >= 0]] = \
+        rows.weights[own >= 0]
+    parts, out = [np.argsort(ids, kind="stable")], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= BLOCK:
+            out.append(part)
+            continue
+        centred = seen[part] - seen[part].mean(axis=0)
+        axis = centred[(centred ** 2).sum(axis=1).argmax()]
+        for _ in range(4):
+            axis = (centred @ axis) @ centred
+            axis = axis / max(float(np.sqrt(axis @ axis)), 1e-30)
+        part = part[np.argsort(centred @ axis, kind="stable")]
+        half = -(-len(part) // BLOCK) // 2 * BLOCK
+        parts += [part[half:], part[:half]]
+    return np.concatenate(out)
+
+
 @dataclass
 class BlockMaxIndex:
     """Examples sorted so that like ones share a block, as posting lists with block maxima.
 
     The lists of the DENSE commonest terms are columns of one matrix. The postings of the others
     are (place, weight) pairs in order of the place; those of one block are an entry of the term:
-    its block, its largest weight, its first posting.
+    its block, its largest weight, its first posting. ``opened`` of ``met`` blocks were summed
+    by the searches so far.
     """
     vectors: np.ndarray | Rows  # one row per example, of length 1 or 0
     ids: np.ndarray
     toxic: np.ndarray
+    opened: int = 0
+    met: int = 0
 
     def __post_init__(self):
         rows = Rows.of(self.vectors) if isinstance(self.vectors, np.ndarray) else self.vectors
-        top, most = rows.largest()
-        order = np.lexsort((self.ids, -most, top))
+        order = _clustered(rows, self.ids)
         dense = self.vectors is not rows
         self.ids, self.toxic, rows = self.ids[order], self.toxic[order], rows[order]
         self.vectors, self.rows = self.vectors[order] if dense else rows, rows
@@ -169,7 +194,7 @@ class BlockMaxIndex:
 
     def __setstate__(self, state: dict):
         # postings are made again where they are used: less to send
-        self.__dict__.update(state, vectors=state["rows"])
+        self.__dict__.update(state, vectors=state["rows"], opened=0, met=0)
         self._post(self.rows)
 
     def _post(self, rows: Rows) -> None:
@@ -178,8 +203,7 @@ class BlockMaxIndex:
         self.column = np.full(rows.width, -1, np.int32)
         self.column[common] = np.arange(len(common))
         dense = self.column[rows.terms] >= 0
-        high = -(-len(rows) // BLOCK) * BLOCK
-        self.matrix = np.zeros((len(common), high), np.float32)
+        self.matrix = np.zeros((len(common), -(-len(rows) // BLOCK) * BLOCK))
         self.matrix[self.column[rows.terms[dense]], places[dense]] = rows.weights[dense]
         by_term = np.flatnonzero(~dense)
         by_term = by_term[np.argsort(rows.terms[by_term], kind="stable")]
@@ -193,7 +217,6 @@ class BlockMaxIndex:
         self.maxima = np.maximum.reduceat(self.weights, starts) if len(starts) else self.weights
         self.starts = np.append(starts, len(terms))
         self.entries = np.searchsorted(terms[starts], np.arange(rows.width + 1))
-        self.query = np.zeros(rows.width)
 
     def nearest(self, columns: np.ndarray, weights: np.ndarray, k: int, skip: int = -1,
                 ) -> tuple[np.ndarray, np.ndarray]:
@@ -205,49 +228,52 @@ class BlockMaxIndex:
         """``nearest`` of each query; TOGETHER of them share one product."""
         for at in range(0, len(queries), TOGETHER):
             part = queries[at:at + TOGETHER]
-            dense = np.zeros((len(part), len(self.matrix)), np.float32)
+            dense = np.zeros((len(part), len(self.matrix)))
             for n, (columns, weights) in enumerate(part):
                 own = self.column[columns]
                 dense[n, own[own >= 0]] = weights[own >= 0]
             for n, sums in enumerate(dense @ self.matrix):
                 yield self._search(*part[n], sums, k, skips[at + n] if skips else -1)
 
-    def _search(self, columns: np.ndarray, weights: np.ndarray, sums: np.ndarray, k: int,
+    def _search(self, columns: np.ndarray, weights: np.ndarray, similar: np.ndarray, k: int,
                 skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """``sums`` are the shares of the common terms, which no cosine is below."""
-        size = len(self.rows)
+        """``similar`` has the shares of the common terms, which no cosine is below.
+
+        Blocks are opened from the highest bound on; the k-th largest of what is summed so far
+        rises after each group of them, until no bound of a closed block reaches it.
+        """
+        size, high = len(self.rows), len(similar) // BLOCK
+        similar[size:] = -9
         if skip >= 0:
-            sums[skip] = -9
+            similar[skip] = -9
         sizes = self.entries[columns + 1] - self.entries[columns]
         entries, own = _ranges(self.entries[columns], sizes), np.repeat(weights, sizes)
         blocks = self.blocks[entries]
-        bounds = sums.reshape(-1, BLOCK).max(axis=1) + np.bincount(
-            blocks, self.maxima[entries] * own, minlength=len(sums) // BLOCK)
-        open_blocks = bounds >= self._least(sums[:size], k)
-        part = open_blocks[blocks]
-        first = self.starts[entries[part]]
-        lengths = self.starts[entries[part] + 1] - first
-        postings = _ranges(first, lengths)
-        similar = sums + np.bincount(
-            self.places[postings], self.weights[postings] * np.repeat(own[part], lengths),
-            minlength=len(sums))
-        found = np.flatnonzero(similar[:size] >= self._least(similar[:size], k))
-        found = found[(similar[found] > 0) & (found != skip)]
-        # what is near enough is summed anew in double precision
-        self.query[columns] = weights
-        lengths = np.diff(self.rows.bounds)[found]
-        at = _ranges(self.rows.bounds[:-1][found], lengths)
-        exact = np.round(np.bincount(
-            np.repeat(np.arange(len(found)), lengths),
-            self.rows.weights[at] * self.query[self.rows.terms[at]], minlength=len(found)), 12)
-        self.query[columns] = 0
-        best = np.lexsort((self.ids[found], -exact))[:k]
-        best = best[exact[best] > 0]
-        return found[best], exact[best]
-
-    @staticmethod
-    def _least(sums: np.ndarray, k: int) -> float:
-        return np.partition(sums, -k)[-k] - 2 * SLACK if len(sums) > k else -1.0
+        bounds = similar.reshape(high, BLOCK).max(axis=1) + np.bincount(
+            blocks, self.maxima[entries] * own, minlength=high)
+        closed, group = np.argsort(-bounds, kind="stable"), 1 + 2 * k // BLOCK
+        self.met += high
+        while True:
+            least = np.partition(similar, -k)[-k] - SLACK if size > k else 0.0
+            closed = closed[bounds[closed] >= least]
+            if not len(closed):
+                break
+            chosen = np.zeros(high, bool)
+            chosen[closed[:group]] = True
+            self.opened += min(group, len(closed))
+            closed, group = closed[group:], 4 * group
+            part = np.flatnonzero(chosen[blocks])
+            first = self.starts[entries[part]]
+            lengths = self.starts[entries[part] + 1] - first
+            postings = _ranges(first, lengths)
+            similar += np.bincount(
+                self.places[postings], self.weights[postings] * np.repeat(own[part], lengths),
+                minlength=len(similar))
+        found = np.flatnonzero(similar >= max(least, 0.0))
+        cosines = np.round(similar[found], 12)
+        best = np.lexsort((self.ids[found], -cosines))[:k]
+        best = best[cosines[best] > 0]
+        return found[best], cosines[best]
 
 
 @dataclass
@@ -260,10 +286,12 @@ class ToxicityModel:
     silent: float = 0.0  # score of a text without terms
     steps: np.ndarray | None = None
     values: np.ndarray | None = None
+    sent: Broadcast | None = None  # this model as it was before calibration
 
     def query(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        columns = np.array(sorted(found), np.int64)
-        weights = (1 + np.log([found[c] for c in columns])) * self.inverse[columns]
+        columns = np.fromiter(found.keys(), np.int64, len(found))
+        weights = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))
+                   ) * self.inverse[columns]
         return columns, weights / np.sqrt((weights ** 2).sum())
 
     def vote(self, places: np.ndarray, similar: np.ndarray) -> float:
@@ -302,20 +330,45 @@ def isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray,
     return table[:, 0], (table[:, 1] + 0.5 * weights.mean()) / (table[:, 2] + weights.mean())
 
 
-def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, float]:
+def _chosen(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> int:
+    """Column of ``votes`` whose calibration on one half of the rows fits the other half best."""
+    losses = []
+    for own in votes.T:
+        loss = 0.0
+        for half in (0, 1):
+            learn = np.arange(len(own)) % 2 == half
+            if not learn.any() or learn.all():
+                continue
+            steps, values = isotonic(own[learn], labels[learn], weights[learn])
+            score = values[np.maximum(np.searchsorted(steps, own[~learn], "right") - 1, 0)]
+            loss -= (weights[~learn] * np.log(np.where(
+                labels[~learn] == 1, score, 1 - score))).sum()
+        losses.append(round(loss, 9))
+    return int(np.argmin(losses))
+
+
+def _sample(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int,
+            ) -> tuple[DataFrame, float]:
     """Bounded labelled rows (doc_id, text, toxic) and the share of label 1 in all."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()
                            & (bucket(F.col("doc_id")) != 0)).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
     share = usable.agg(F.avg("toxic")).first()[0]
     drawn = None
+    order = [F.xxhash64("doc_id", F.lit(9)), F.col("doc_id")]
     for label in (0, 1):
-        part = usable.filter(F.col("toxic") == label).orderBy(
-            F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(sample // 2)
+        part = usable.filter(F.col("toxic") == label).orderBy(*order).limit(sample // 2)
         drawn = part if drawn is None else drawn.unionAll(part)
     # at most ``sample`` ids
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), share
+    rows = staged(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "examples")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    kept = rows.select("doc_id", "toxic", size.alias("size")).filter(
+        F.col("size") <= sample_bytes // 2)
+    total = F.sum("size").over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    kept = kept.withColumn("total", total).filter(F.col("total") <= sample_bytes // 2)
+    return rows.join(F.broadcast(kept.select("doc_id")), "doc_id"), share
 
 
 def _terms_of(docs: DataFrame) -> np.ndarray:
@@ -363,10 +416,36 @@ def document_frequency(docs: DataFrame, known: Vocabulary) -> tuple[np.ndarray,
     return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, k: int = 25,
+def _left_out(spark: SparkSession, shared: Broadcast, ks: tuple[int, ...], size: int,
+              ) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the examples with neighbours, and their votes by number of neighbours."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            places = [p for p in batch.column(0).to_pylist() if len(model.index.rows.row(p)[0])]
+            nearest = model.index.nearest_of([model.index.rows.row(p) for p in places], ks[-1],
+                                             places)
+            out = [(p, *(model.vote(found[:k], similar[:k]) for k in ks))
+                   for p, (found, similar) in zip(places, nearest) if len(found)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(
+                    zip(*out) if out else [[]] * (1 + len(ks)),
+                    [pa.int64()] + [pa.float64()] * len(ks))],
+                names=["place", *(f"vote{k}" for k in ks)])
+
+    tasks = max(min(spark.sparkContext.defaultParallelism, size), 1)
+    places, *votes = _numbers(spark.range(0, size, 1, tasks).mapInArrow(
+        run, "place long, " + ", ".join(f"vote{k} double" for k in ks)))
+    order = np.argsort(places)
+    return places[order], np.array(votes).T[order]
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000,
+        neighbours: tuple[int, ...] = NEIGHBOURS, sample_bytes: int = 1 << 26,
         ) -> ToxicityModel | None:
     """The model, or None if a label has no row to learn from."""
-    drawn, share = _sample(docs, labels, sample)
+    context = docs.sparkSession.sparkContext
+    drawn, share = _sample(docs, labels, sample, sample_bytes)
     sizes = {row["toxic"]: row["count"] for row in drawn.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return None
@@ -374,7 +453,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, k: int = 25,
     known = Vocabulary(_terms_of(drawn))
     frequency, rows = document_frequency(docs, known)
     inverse = np.log((1 + rows) / (1 + frequency)) + 1
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    shared = context.broadcast(known)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [sorted(shared.value.terms(text.as_py()).items()) for text in batch.column("text")]
@@ -384,40 +463,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, k: int = 25,
              pa.array([np.array([c for _, c in f], np.int32).tobytes() for f in found],
                       pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
 
+    # at most ``sample`` rows, and no more terms than ``sample_bytes``
     examples = arrow_rows(drawn, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
-                          "toxic int, terms binary, counts binary", "text").orderBy(
-        "doc_id").collect()
-    parts = [np.frombuffer(row["terms"], np.int32) for row in examples]
+                          "toxic int, terms binary, counts binary", "text").toArrow()
+    examples = examples.sort_by("doc_id")
+    shared.unpersist()
+    parts = [np.frombuffer(cell.as_buffer(), np.int32) for cell in examples["terms"]]
     bounds = np.append(0, np.cumsum([len(part) for part in parts]))
     terms = np.concatenate(parts)
-    weights = (1 + np.log(np.concatenate([np.frombuffer(row["counts"], np.int32)
-                                          for row in examples]))) * inverse[terms]
+    weights = (1 + np.log(np.concatenate([np.frombuffer(cell.as_buffer(), np.int32)
+                                          for cell in examples["counts"]]))) * inverse[terms]
     lengths = np.sqrt([(weights[a:b] ** 2).sum() for a, b in zip(bounds[:-1], bounds[1:])])
     weights /= np.repeat(lengths, np.diff(bounds))
     index = BlockMaxIndex(Rows(bounds, terms, weights, len(known)),
-                          np.array([row["doc_id"] for row in examples]),
-                          np.array([row["toxic"] for row in examples]))
+                          examples["doc_id"].to_numpy(), examples["toxic"].to_numpy())
     del examples, parts, terms, weights
     weight = ((1 - share) / (1 - positive / n), share / (positive / n))
-    model = ToxicityModel(known, inverse, index, weight, k)
+    model = ToxicityModel(known, inverse, index, weight, neighbours[-1])
+    model.sent = context.broadcast(model)
     own = np.where(index.toxic == 1, weight[1], weight[0])
     blank = np.diff(index.rows.bounds) == 0
     model.silent = float(((own * index.toxic)[blank].sum() + 0.5 * share)
                          / (own[blank].sum() + 0.5))
-    votes, kept = [], []
-    spoken = np.flatnonzero(~blank).tolist()
-    nearest = index.nearest_of([index.rows.row(place) for place in spoken], k, spoken)
-    for place, (found, similar) in zip(spoken, nearest):
-        if len(found):
-            votes.append(model.vote(found, similar))
-            kept.append(place)
-    if not votes:
-        votes, kept = [share], [0]
-    model.steps, model.values = isotonic(np.array(votes), index.toxic[kept], own[kept])
+    kept, votes = _left_out(docs.sparkSession, model.sent, neighbours, n)
+    if not len(kept):
+        kept, votes = np.array([0]), np.full((1, len(neighbours)), share)
+    best = _chosen(votes, index.toxic[kept], own[kept])
+    model.k = neighbours[best]
+    model.steps, model.values = isotonic(votes[:, best], index.toxic[kept], own[kept])
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, k: int = 25,
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000,
+                   neighbours: tuple[int, ...] = NEIGHBOURS, sample_bytes: int = 1 << 26,
                    ) -> DataFrame:
     """All columns of ``docs`` and a struct ``toxicity``: score (0 to 1), evidence.
 
@@ -425,18 +503,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, k: in
     Null and empty texts, and texts without a known term, get the share of toxic rows among
     such examples. A label of several rows is their largest; null labels and ids, and labels
     other than 0 and 1, teach nothing. Without both labels all scores are 0. Repeated rows
-    score alike. A column named ``toxicity`` is replaced.
+    score alike. A column named ``toxicity`` is replaced. Very long texts are scored whole, but
+    teach nothing beyond half of ``sample_bytes``; a label is learned from its first rows within
+    that half. ``neighbours`` (rising) are the numbers to choose from.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, k))
+    model = fit(docs, labels, sample, neighbours, sample_bytes)
+    shared = model.sent if model else None
+    fitted = (model.k, model.silent, model.steps, model.values) if model else None
     small_batches(docs)
     remembered: dict = {}
 
     @F.pandas_udf(SCORE)
     def toxicity(texts: pd.Series) -> pd.DataFrame:
-        model = shared.value
-        if model is None:
+        if shared is None:
             out = [(0.0, [])] * len(texts)
         else:
+            model = shared.value
+            model.k, model.silent, model.steps, model.values = fitted
             keys = [hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16)
                     .digest() for text in texts]
             if len(remembered) >= MEMORY:

@@ -26,7 +26,7 @@ def test_toxicity_uses_every_term(spark):
     def terms(text):
         out = collections.Counter()
         for word in text.split():
-            out.update([word, *(word[:n] + "*" for n in (4, 5, 6, 7) if len(word) >= n)])
+            out.update([word, *(word[:n] + "*" for n in toxicity.BEGINNINGS if len(word) >= n)])
         return out
 
     found = {n: terms(text) for n, text in data}
