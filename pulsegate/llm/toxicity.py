@@ -16,18 +16,19 @@ Document frequencies and scores cover all rows and whole texts.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+import string
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from pulsegate.llm.common import arrow_rows, small_batches, staged
+from pulsegate.llm.common import (arrow_rows, bounded, buffers, byte_table, mix, owners,
+                                  small_batches, staged)
 from pulsegate.llm.language import bucket
 
 #: Examples of a block, terms whose postings are kept as a dense matrix, terms that decide which
@@ -39,7 +40,9 @@ SLACK = 1e-9
 BEGINNINGS, MEMORY = (4,), 200_000
 #: Numbers of neighbours to choose from.
 NEIGHBOURS = (25, 100, 400)
-_EDGES = " .,;:!?\"'()[]{}<>|#*$%&@-_=+/\\~`^…«»“”‘’„¡¿"
+#: ASCII that is not part of a word.
+_CODES = byte_table(bytes([*range(33), 127]) + string.punctuation.encode())
+_PLACES = mix(np.arange(1 << 12, dtype=np.uint64)) | np.uint64(1)
 SCORE = T.StructType([
     T.StructField("score", T.DoubleType(), False),
     T.StructField("evidence", T.ArrayType(T.StructType([
@@ -47,28 +50,51 @@ SCORE = T.StructType([
         T.StructField("toxic", T.IntegerType())])), False)])
 
 
-def words(text: str | None) -> Counter:
-    """Count of each lower-cased word of ``text``, without punctuation around it."""
-    out: Counter = Counter()
-    for token, count in Counter((text or "").lower().split()).items():
-        out[token.strip(_EDGES)] += count
-    del out[""]
-    return out
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and 64-bit hash of each word of ``column`` and of its beginnings, in lower case.
 
-
-def beginnings(word: str) -> list[str]:
-    return [word[:n] + "*" for n in BEGINNINGS if len(word) >= n]
-
-
-def _hashes(found: list[str]) -> np.ndarray:
-    """64-bit hashes of each word and its beginnings, 1 + len(BEGINNINGS) columns."""
-    data = b"".join([hashlib.blake2b(term.encode("utf-8", "replace"), digest_size=8).digest()
-                     for word in found for term in (word, *(
-                         word[:n] + "*" if len(word) >= n else "" for n in BEGINNINGS))])
-    return np.frombuffer(data, np.int64).reshape(-1, 1 + len(BEGINNINGS))
-
-
-_NOTHING = np.frombuffer(hashlib.blake2b(b"", digest_size=8).digest(), np.int64)[0]
+    Words are what stands between blanks, controls and punctuation of ASCII, Latin-1 (U+0080 to
+    U+00BF) and general punctuation (U+2000 to U+203F); nulls have none. Everything is summed over
+    the UTF-8 buffer, without a Python object per word.
+    """
+    data, offsets = buffers(pc.utf8_lower(column))
+    nothing = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    codes = _CODES[data]
+    for at in np.flatnonzero(data == 0xC2), np.flatnonzero(data == 0xE2):
+        # lead byte C2 has U+0080 to U+00BF only; E2 80 has U+2000 to U+203F
+        if len(at) and data[at[0]] == 0xE2:
+            at = at[data[at + 1] == 0x80]
+            codes[at + 2] = 0
+        codes[at] = codes[at + 1] = 0
+    inside = codes != 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = offsets[:-1][offsets[:-1] < len(data)]
+    first[heads] = inside[heads]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return nothing
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | first[1:]
+    ends = np.flatnonzero(last) + 1
+    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    # blanks after a word may be many; their code is 0
+    longest = int((ends - starts).max())
+    weights = _PLACES if longest <= len(_PLACES) else mix(
+        np.arange(longest, dtype=np.uint64)) | np.uint64(1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(codes[starts[0]:] * weights[np.minimum(place, len(weights) - 1)],
+              out=sums[starts[0] + 1:])
+    rows = owners(np.searchsorted(starts, offsets))
+    found = [(rows, mix(sums[ends] - sums[starts]))]
+    letters = np.flatnonzero((data & 0xC0) != 0x80)
+    own = np.searchsorted(letters, starts)
+    letters = np.append(letters, np.full(max(BEGINNINGS, default=0) + 1, len(data)))
+    for size in BEGINNINGS:
+        full = letters[own + size - 1] < ends
+        to = np.minimum(letters[own + size], ends)[full]
+        found.append((rows[full], mix((sums[to] - sums[starts[full]]) ^ np.uint64(size))))
+    return np.concatenate([r for r, _ in found]), np.concatenate([h for _, h in found])
 
 
 class Vocabulary:
@@ -76,35 +102,22 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        self.remembered: dict[str, list[int]] = {}
-
-    def __getstate__(self) -> dict:
-        return {"hashes": self.hashes, "remembered": {}}
 
     def __len__(self) -> int:
         return len(self.hashes)
 
-    def of(self, found: Iterable[str]) -> list[list[int]]:
-        """Numbers of each word and its beginnings that are known."""
-        if len(self.remembered) >= MEMORY:
-            self.remembered.clear()
-        new = [word for word in found if word not in self.remembered]
-        if new and len(self):
-            hashes = _hashes(new)
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self) - 1)
-            known = self.hashes[at] == hashes
-            for word, places, right in zip(new, at.tolist(), known.tolist()):
-                self.remembered[word] = [p for p, r in zip(places, right) if r]
-        return [self.remembered.get(word, []) for word in found]
-
-    def terms(self, text: str | None) -> dict[int, int]:
-        """Count of each known term of ``text``."""
-        out: dict[int, int] = {}
-        counts = words(text)
-        for numbers, count in zip(self.of(counts), counts.values()):
-            for number in numbers:
-                out[number] = out.get(number, 0) + count
-        return out
+    def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bounds of the rows of ``column``, and their known terms in order with their counts."""
+        rows, hashes = tokens(column)
+        if not len(hashes) or not len(self):
+            return np.zeros(len(column) + 1, np.int64), *[np.zeros(0, np.int64)] * 2
+        unique, back = np.unique(hashes, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, unique), len(self) - 1)
+        at[self.hashes[at] != unique] = -1
+        at = at[back]
+        keys, counts = np.unique((rows * len(self) + at)[at >= 0], return_counts=True)
+        return (np.searchsorted(keys, np.arange(len(column) + 1) * len(self)), keys % len(self),
+                counts)
 
 
 @dataclass
@@ -215,6 +228,7 @@ class BlockMaxIndex:
         starts = np.flatnonzero(first)
         self.blocks = blocks[starts]
         self.maxima = np.maximum.reduceat(self.weights, starts) if len(starts) else self.weights
+        self.maxima = np.nextafter(self.maxima.astype(np.float32), np.float32(9))
         self.starts = np.append(starts, len(terms))
         self.entries = np.searchsorted(terms[starts], np.arange(rows.width + 1))
 
@@ -288,11 +302,9 @@ class ToxicityModel:
     values: np.ndarray | None = None
     sent: Broadcast | None = None  # this model as it was before calibration
 
-    def query(self, found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        columns = np.fromiter(found.keys(), np.int64, len(found))
-        weights = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))
-                   ) * self.inverse[columns]
-        return columns, weights / np.sqrt((weights ** 2).sum())
+    def query(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = (1 + np.log(counts)) * self.inverse[terms]
+        return terms, weights / np.sqrt((weights ** 2).sum())
 
     def vote(self, places: np.ndarray, similar: np.ndarray) -> float:
         weights = similar * np.where(self.index.toxic[places] == 1, self.weight[1], self.weight[0])
@@ -302,10 +314,13 @@ class ToxicityModel:
         at = max(int(np.searchsorted(self.steps, vote, "right")) - 1, 0)
         return float(self.values[at])
 
-    def scores(self, found: list[dict[int, int]]) -> list[tuple[float, list]]:
-        out: list[tuple[float, list]] = [(self.silent, [])] * len(found)
-        spoken = [n for n, own in enumerate(found) if own]
-        nearest = self.index.nearest_of([self.query(found[n]) for n in spoken], self.k)
+    def scores(self, column: pa.Array) -> list[tuple[float, list]]:
+        out: list[tuple[float, list]] = [(self.silent, [])] * len(column)
+        bounds, terms, counts = self.known.counts(column)
+        spoken = np.flatnonzero(np.diff(bounds)).tolist()
+        nearest = self.index.nearest_of(
+            [self.query(terms[bounds[n]:bounds[n + 1]], counts[bounds[n]:bounds[n + 1]])
+             for n in spoken], self.k)
         for n, (places, similar) in zip(spoken, nearest):
             if len(places):
                 evidence = [(int(self.index.ids[p]), float(s), int(self.index.toxic[p]))
@@ -374,14 +389,12 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int,
 def _terms_of(docs: DataFrame) -> np.ndarray:
     """Hashes of all terms of the sample."""
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: set = set()
-        for text in batch.column("text"):
-            found.update(words(text.as_py()))
-        hashes = np.unique(_hashes(list(found)))
-        return pa.RecordBatch.from_arrays([pa.array(hashes[hashes != _NOTHING])], names=["term"])
+        hashes = np.unique(tokens(batch.column("text"))[1]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(hashes)], names=["term"])
 
     # terms of ``sample`` texts
-    return _numbers(arrow_rows(docs.select("text"), make, "term long", "text").distinct())[0]
+    return _numbers(arrow_rows(docs.select("text"), make, "term long", "text").distinct())[0].view(
+        np.uint64)
 
 
 def _numbers(frame: DataFrame) -> list[np.ndarray]:
@@ -400,9 +413,8 @@ def document_frequency(docs: DataFrame, known: Vocabulary) -> tuple[np.ndarray,
         own, total = shared.value, np.zeros(size + 1, np.int64)
         for batch in batches:
             total[size] += batch.num_rows
-            for text in batch.column("text"):
-                found = set(chain.from_iterable(own.of(words(text.as_py()))))
-                total[np.fromiter(found, np.int64, len(found))] += 1
+            for part in bounded(batch, "text"):
+                total[:size] += np.bincount(own.counts(part.column("text"))[1], minlength=size)
         seen = np.flatnonzero(total)
         for at in range(0, len(seen), 1 << 16):
             part = seen[at:at + (1 << 16)]
@@ -456,12 +468,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000,
     shared = context.broadcast(known)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted(shared.value.terms(text.as_py()).items()) for text in batch.column("text")]
+        bounds, *columns = shared.value.counts(batch.column("text"))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("toxic"),
-             pa.array([np.array([t for t, _ in f], np.int32).tobytes() for f in found], pa.binary()),
-             pa.array([np.array([c for _, c in f], np.int32).tobytes() for f in found],
-                      pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
+            [batch.column("doc_id"), batch.column("toxic"), *(
+                pa.array([own[a:b].astype(np.int32).tobytes() for a, b in zip(
+                    bounds[:-1], bounds[1:])], pa.binary()) for own in columns)],
+            names=["doc_id", "toxic", "terms", "counts"])
 
     # at most ``sample`` rows, and no more terms than ``sample_bytes``
     examples = arrow_rows(drawn, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "
@@ -525,7 +537,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000,
             if len(remembered) >= MEMORY:
                 remembered.clear()
             new = {key: text for key, text in zip(keys, texts) if key not in remembered}
-            remembered.update(zip(new, model.scores([model.known.terms(t) for t in new.values()])))
+            batch = pa.record_batch([pa.array(new.values(), pa.large_string())], ["text"])
+            remembered.update(zip(new, [score for part in bounded(batch, "text")
+                                        for score in model.scores(part.column(0))]))
             out = [remembered[key] for key in keys]
         return pd.DataFrame({"score": [s for s, _ in out], "evidence": [
             [{"doc_id": d, "similarity": s, "toxic": y} for d, s, y in e] for _, e in out]})

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pulsegate.llm import decontamination, language, licenses, toxicity
@@ -167,3 +168,38 @@ def test_every_language_is_learned(spark):
         data, "doc_id long, text string, lang string").repartition(4)).collect()}
     right = [got[2 * 10 ** 6 + k] == f"l{k:03d}" for k in range(250)]
     assert right[100] and sum(right) >= 245
+
+
+def test_toxicity_tokens():
+    """Terms summed over the UTF-8 buffer are those of a plain split; empty rows have none."""
+    apart = re.compile("[\x00-\x20\x7f!-/:-@\\[-`{-~\u0080-¿ -‿]+")
+    probe = [None, "", " !!", "a", "Über «naïve»—ok…", "x" * 9000 + " yy", "日本語テキスト abc",
+             "don't stop", "end’s €5 ¿qué", "a", "no" + " " * 6000 + "now"]
+    rows, hashes = toxicity.tokens(pa.array(probe, pa.large_string()))
+    terms = set()
+    for n, text in enumerate(probe):
+        want = collections.Counter()
+        for word in filter(None, apart.split((text or "").lower())):
+            want.update([word, *(word[:b] + "*" for b in toxicity.BEGINNINGS if len(word) >= b)])
+        got = collections.Counter(hashes[rows == n].tolist())
+        assert sorted(got.values()) == sorted(want.values()), text
+        terms.update(want)
+    assert len(set(hashes.tolist())) == len(terms)
+    assert len(toxicity.tokens(pa.array([None, ""], pa.large_string()))[0]) == 0
+
+
+def test_toxicity_opens_less_than_half_of_the_blocks(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = toxicity.fit(table, spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    texts = table.filter("doc_id % 20 = 0").select("text").toArrow()["text"].combine_chunks()
+    model.scores(texts)
+    assert 0 < model.index.opened < model.index.met / 2
+
+
+def test_toxicity_sample_is_bounded_in_text(spark):
+    rows = [(n, "word " * (1000 if n % 7 == 0 else 10)) for n in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(frame, labels, sample_bytes=4000)
+    assert 2 <= len(model.index.ids) <= 80
+    assert toxicity.score_toxicity(frame, labels, sample_bytes=4000).count() == 200
