@@ -33,7 +33,7 @@ from pulsegate.llm.language import bucket
 
 #: Examples of a block, terms whose postings are kept as a dense matrix, terms that decide which
 #: examples share a block, queries of one product.
-BLOCK, DENSE, AXES, TOGETHER = 32, 1024, 256, 64
+BLOCK, DENSE, AXES, TOGETHER = 64, 1024, 256, 64
 #: More than sums in another order can be off.
 SLACK = 1e-9
 #: Letters of word beginnings; results a worker remembers.
