@@ -33,7 +33,7 @@ from pulsegate.llm.language import bucket
 
 #: Examples of a block, terms whose postings are kept as a dense matrix, terms that decide which
 #: examples share a block, queries of one product.
-BLOCK, DENSE, AXES, TOGETHER = 64, 1024, 256, 64
+BLOCK, DENSE, AXES, TOGETHER = 64, 1024, 256, 256
 #: More than sums in another order can be off.
 SLACK = 1e-9
 #: Letters of word beginnings; results a worker remembers.
@@ -101,20 +101,39 @@ class Vocabulary:
     """Numbers of the known terms: places in their sorted hashes."""
 
     def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
+        self.__setstate__({"hashes": np.sort(hashes)})
+
+    def __getstate__(self) -> dict:
+        return {"hashes": self.hashes}
+
+    def __setstate__(self, state: dict):
+        self.hashes = state["hashes"]
+        # first place of the hashes that begin with the same bits: about one in four has any
+        bits = len(self.hashes).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        self.heads = np.searchsorted(
+            self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.ended = np.append(self.hashes, np.uint64(2 ** 64 - 1))
 
     def __len__(self) -> int:
         return len(self.hashes)
 
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each of ``hashes``, or -1."""
+        at = self.heads[hashes >> self.shift].astype(np.int64)
+        behind = np.flatnonzero(self.ended[at] < hashes)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.ended[at[behind]] < hashes[behind]]
+        at[(self.ended[at] != hashes) | (at == len(self))] = -1
+        return at
+
     def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bounds of the rows of ``column``, and their known terms in order with their counts."""
         rows, hashes = tokens(column)
         if not len(hashes) or not len(self):
             return np.zeros(len(column) + 1, np.int64), *[np.zeros(0, np.int64)] * 2
-        unique, back = np.unique(hashes, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, unique), len(self) - 1)
-        at[self.hashes[at] != unique] = -1
-        at = at[back]
+        at = self.places(hashes)
         keys, counts = np.unique((rows * len(self) + at)[at >= 0], return_counts=True)
         return (np.searchsorted(keys, np.arange(len(column) + 1) * len(self)), keys % len(self),
                 counts)
@@ -221,7 +240,7 @@ class BlockMaxIndex:
         by_term = np.flatnonzero(~dense)
         by_term = by_term[np.argsort(rows.terms[by_term], kind="stable")]
         terms = rows.terms[by_term]
-        self.places, self.weights = places[by_term], rows.weights[by_term]
+        self.places, self.weights = places[by_term].astype(np.int64), rows.weights[by_term]
         blocks = self.places // BLOCK
         first = np.ones(len(terms), bool)
         first[1:] = (terms[1:] != terms[:-1]) | (blocks[1:] != blocks[:-1])
@@ -229,7 +248,7 @@ class BlockMaxIndex:
         self.blocks = blocks[starts]
         self.maxima = np.maximum.reduceat(self.weights, starts) if len(starts) else self.weights
         self.maxima = np.nextafter(self.maxima.astype(np.float32), np.float32(9))
-        self.starts = np.append(starts, len(terms))
+        self.starts, self.lengths = starts, np.diff(starts, append=len(terms))
         self.entries = np.searchsorted(terms[starts], np.arange(rows.width + 1))
 
     def nearest(self, columns: np.ndarray, weights: np.ndarray, k: int, skip: int = -1,
@@ -267,8 +286,9 @@ class BlockMaxIndex:
             blocks, self.maxima[entries] * own, minlength=high)
         closed, group = np.argsort(-bounds, kind="stable"), 1 + 2 * k // BLOCK
         self.met += high
+        reached = similar
         while True:
-            least = np.partition(similar, -k)[-k] - SLACK if size > k else 0.0
+            least = np.partition(reached, -k)[-k] - SLACK if size > k else 0.0
             closed = closed[bounds[closed] >= least]
             if not len(closed):
                 break
@@ -277,12 +297,14 @@ class BlockMaxIndex:
             self.opened += min(group, len(closed))
             closed, group = closed[group:], 4 * group
             part = np.flatnonzero(chosen[blocks])
-            first = self.starts[entries[part]]
-            lengths = self.starts[entries[part] + 1] - first
-            postings = _ranges(first, lengths)
+            opened = entries[part]
+            lengths = self.lengths[opened]
+            postings = _ranges(self.starts[opened], lengths)
             similar += np.bincount(
                 self.places[postings], self.weights[postings] * np.repeat(own[part], lengths),
                 minlength=len(similar))
+            # sums only grow: at least k are where the last threshold was
+            reached = similar[similar >= least] if size > k else similar
         found = np.flatnonzero(similar >= max(least, 0.0))
         cosines = np.round(similar[found], 12)
         best = np.lexsort((self.ids[found], -cosines))[:k]
