@@ -6,13 +6,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulsegate.functions.scores import count_of
 from pulsegate.operators.prefix import global_rank
 from pulsegate.operators.routing import health_labelled
+from pulsegate.staging import stage
+
+#: Rows that one task may hold to pick the first ones.
+TOP_ROWS = 100_000
 
 
 def latest_per_server(frame: DataFrame, key: str = "server_id") -> DataFrame:
-    """Newest row per server (time, then id), by a combinable aggregate instead of a sort."""
+    """Newest row per server (time, then id).
+
+    The rows are written once. The latest time of a server is a hash aggregate; only rows of that
+    time are compared by id. Of rows alike in time and id any one is kept.
+    """
+    rows = stage(frame, "latest")
     columns = [c for c in frame.columns if c != key]
-    newest = F.max_by(F.struct(*columns), F.struct("event_time", "event_id"))
-    return frame.groupBy(key).agg(newest.alias("_row")).select(key, "_row.*")
+    times = rows.groupBy(F.col(key).alias("_key")).agg(F.max("event_time").alias("_time"))
+    last = rows.join(times, F.col(key).eqNullSafe(F.col("_key"))
+                     & F.col("event_time").eqNullSafe(F.col("_time")), "left_semi")
+    newest = F.max_by(F.struct(*columns), F.struct("event_id"))
+    return last.groupBy(key).agg(newest.alias("_row")).select(key, "_row.*")
 
 
 def newest_first(frame: DataFrame) -> DataFrame:
@@ -23,9 +35,11 @@ def first_rows(frame: DataFrame, count: int, order: list[str],
                chunks: int | None = None) -> DataFrame:
     """The first ``count`` rows in the order of columns that together are unique.
 
-    Only the order columns are ranked; the row at the count gives the cut, and the wide rows
-    are filtered by it without a shuffle.
+    Up to ``TOP_ROWS`` each task keeps its first rows. Beyond, only the order columns are ranked;
+    the row at the count gives the cut, and the wide rows are filtered by it without a shuffle.
     """
+    if count <= TOP_ROWS and chunks is None:
+        return frame.orderBy(*order).limit(count)
     ranked = global_rank(frame.select(*order), [F.col(c) for c in order], chunks)
     cut = (ranked.where(F.col("rank") == count)
            .select(*[F.col(c).cast("string") for c in order]).first())
@@ -37,15 +51,18 @@ def first_rows(frame: DataFrame, count: int, order: list[str],
 
 
 def _alert_list(alerts: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
-    """Alerts in order, each with the number of all and whether the list was cut."""
-    total = alerts.agg(F.count("*")).scalar()
-    shown = alerts.orderBy(*order)
-    if limit is None:
-        return shown.withColumns({"total_alerts": total, "truncated": F.lit(False)})
-    if limit < 1:
+    """Alerts in order, each with the number of all and whether the list was cut.
+
+    The alerts are written once; what finds them runs once, and the files know their number.
+    """
+    if limit is not None and limit < 1:
         raise ValueError("a limit of alerts must be positive")
-    return (shown.limit(limit).withColumn("total_alerts", total)
-            .withColumn("truncated", F.col("total_alerts") > limit))
+    kept = stage(alerts, "alerts")
+    total = kept.count()
+    shown = kept.orderBy(*order)
+    return (shown if limit is None else shown.limit(limit)).withColumns({
+        "total_alerts": F.lit(total).cast("bigint"),
+        "truncated": F.lit(limit is not None and total > limit)})
 
 
 def recent_alerts(scored: DataFrame, probability: str, threshold: float,

@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegate.operators import quality, routing
-from pulsegate.plans import (flow, gate, history, learning, life, scoring,  # noqa: F401
-                             views_ops)
+from pulsegate.plans import (flow, gate, history, learning, life, roundtrip,  # noqa: F401
+                             scoring, views_ops)
 from pulsegate.plans.registry import query
 from pulsegate.plans.views import Tables
 

@@ -8,6 +8,7 @@ from pulsegate.plans.common import VARIANTS, accepted, evaluation, rounded, scor
 from pulsegate.plans.registry import query
 from pulsegate.plans.views import DRIFT_DAYS, START, WINDOWS
 from pulsegate.schema import DRIFT_FEATURES, TARGET
+from pulsegate.staging import stage
 
 _RATIOS = ("precision", "recall", "f1", "accuracy")
 
@@ -304,9 +305,10 @@ def binary_summary(t):
     SELECT event_id, event_time, server_id, failure_within_30min, p_adaptive AS p1
     FROM scored""", ("scored",))
 def attach_predictions(t):
-    context = accepted(t).select("event_id", "event_time", "server_id", TARGET)
-    stored = scored(t).select("event_id", F.col("p_adaptive").alias("p1"))
-    return context.join(stored, "event_id")
+    rows = stage(scored(t).select("event_id", "event_time", "server_id", TARGET, "p_adaptive"),
+                 "stored-predictions")
+    stored = rows.select("event_id", F.col("p_adaptive").alias("p1"))
+    return rows.drop("p_adaptive").join(stored, "event_id")
 
 
 _CHANGED = "CASE WHEN p_static > 0.4 THEN round(p_static, 2) ELSE p_static END"

@@ -45,6 +45,10 @@ PREDICTION_COLUMNS = [
     "schema_version",
 ]
 
+#: JSON of rows keeps microseconds; Spark's own patterns cut them to milliseconds.
+ROW_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+             "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def _batch_path(folder: str, batch_id: int | None) -> str:
     """Each micro-batch owns one folder, so a replay overwrites what it wrote before."""
@@ -64,7 +68,8 @@ def written_rows(spark: SparkSession, folder: str, batch_id: int) -> int:
 
 
 def write_quarantine(invalid: DataFrame, folder: str, batch_id: int | None = None) -> None:
-    invalid.write.mode("overwrite").json(_batch_path(folder, batch_id))
+    (invalid.write.mode("overwrite").options(**ROW_TIMES)
+     .json(_batch_path(folder, batch_id)))
 
 
 def write_predictions(scored: DataFrame, folder: str, batch_id: int | None = None) -> None:
@@ -80,7 +85,8 @@ def write_metrics(metrics: DataFrame, folder: str, batch_id: int) -> None:
 
 def as_messages(frame: DataFrame, key: str = "server_id") -> DataFrame:
     """Kafka row encoding: the key column and the whole row as JSON."""
-    return frame.select(F.col(key).alias("key"), F.to_json(F.struct("*")).alias("value"))
+    return frame.select(F.col(key).alias("key"), F.to_json(
+        F.struct("*"), ROW_TIMES).alias("value"))
 
 
 def write_messages(messages: DataFrame, servers: str, topic: str) -> None:
@@ -121,7 +127,7 @@ def once(spark: SparkSession, commits: str, sink: str, batch_id: int,
 
 def write_accepted_evidence(classified: DataFrame, folder: str) -> None:
     (classified.where("is_valid").select(*TELEMETRY_FIELDS)
-     .write.mode("overwrite").json(folder))
+     .write.mode("overwrite").options(**ROW_TIMES).json(folder))
 
 
 def write_quarantine_evidence(classified: DataFrame, folder: str) -> None:
