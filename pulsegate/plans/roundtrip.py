@@ -19,6 +19,9 @@ from pulsegate.streaming import gate_stream
 _RISK = """round(1 / (1 + exp(-(-6.0E0 + cpu_util_pct * 0.035E0 + memory_util_pct * 0.018E0
     + response_p95_ms * 0.003E0 + error_rate * 7.0E0 + queue_depth * 0.025E0))), 6)"""
 
+# Rows of one file of the inbox; up to six times as many come as six files.
+INBOX_ROWS = 100_000
+
 
 def _folder(t: Tables, name: str) -> str:
     """A new folder that every executor reaches."""
@@ -191,14 +194,16 @@ def rows_by_file(t):
 @query("x9_stream_outcome", """
     SELECT event_id, source_sequence, is_valid FROM classified""", ("classified",))
 def stream_outcome(t):
-    """The gate as a stream over an inbox, two files a trigger, against the gate over all.
+    """The gate as a stream over an inbox, a third of the files a trigger, against the gate over all.
 
-    Files are in order of the sequence and hold both copies of an event.
+    Files are in order of the sequence and hold both copies of an event. Their number grows with
+    the rows, so that no task writes more than about ``INBOX_ROWS``.
     """
     inbox, out = _folder(t, "inbox"), gate_stream.GateSinks(_folder(t, "stream"))
     events = t.telemetry().withColumn("_event", F.floor(F.col("source_sequence") / 2))
-    events.repartitionByRange(6, "_event").drop("_event").write.json(inbox)
-    gate_stream.run_gate(readers.telemetry_inbox(t.spark, inbox, 2), out,
+    each = 2 * max(1, -(-events.count() // (6 * INBOX_ROWS)))
+    events.repartitionByRange(3 * each, "_event").drop("_event").write.json(inbox)
+    gate_stream.run_gate(readers.telemetry_inbox(t.spark, inbox, each), out,
                          _folder(t, "stream-state"), None).awaitTermination()
     keys = "event_id STRING, source_sequence BIGINT"
     kept = t.spark.read.schema(keys).option("recursiveFileLookup", "true")

@@ -1,10 +1,13 @@
 import datetime as dt
+import glob
 import json
 import os
 
 from pyspark.sql import functions as F
 
 from pulsegate.operators import quality, workload
+from pulsegate.plans import roundtrip
+from pulsegate.plans.views import Tables
 from pulsegate.sources import message_log, readers
 from pulsegate.streaming import gate_stream, state
 from tests.rows import BASE, gate_set
@@ -247,3 +250,14 @@ def test_gate_over_a_message_log_with_restarts(spark, folder):
     rejected = spark.read.json(out.path("quarantine"))
     assert rejected.where("quality_failure_type LIKE '%duplicate_event%'").count() == 4
     assert rejected.where("unreadable_text IS NOT NULL").count() == 1
+
+
+def test_inbox_of_more_rows_has_more_files_and_three_batches(spark, monkeypatch):
+    table = Tables(spark, "/root/testdata/sf0.001")
+    rows, seen = table.telemetry().count(), []
+    monkeypatch.setattr(roundtrip, "INBOX_ROWS", rows // 10)
+    read = readers.telemetry_inbox
+    monkeypatch.setattr(roundtrip.readers, "telemetry_inbox", lambda s, path, most: seen.append(
+        (len(glob.glob(f"{path}/*.json")), most)) or read(s, path, most))
+    assert roundtrip.stream_outcome(table).count() == rows
+    assert seen == [(12, 4)]
