@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsegate.operators.prefix import attach_by_key
+from pulsegate.staging import stage, tasks_for
 
 # Rolling feature -> (aggregate, source column, frame).
 ROLLING = {
@@ -34,17 +35,19 @@ def rolling_features(frame: DataFrame, names: list[str] | None = None,
     before for its running aggregate from the end back to where the frame starts. Both only grow, so
     a row costs the same whatever the frame's length, sums lose nothing by subtraction, and a
     window holds at most two rows per second of a block even if one server sends a third of the
-    data.
+    data. The seconds are written, so that the tasks which sort them follow from their number: a
+    task sorts them twice, and partitions sized by their shuffled bytes hold millions.
     """
     wanted = {n: ROLLING[n] for n in (names or ROLLING)}
     spans = {"short": short_seconds, "long": long_seconds}
     used = sorted({span for _, _, span in wanted.values()})
-    sources = sorted({source for _, source, _ in wanted.values()})
+    needed = sorted({(part, source) for how, source, _ in wanted.values()
+                     for part in (("max",) if how == "max" else ("sum", "n"))})
     timed = frame.withColumn("_second", F.unix_timestamp(F.col(time).cast("timestamp")))
-    measures = {f"_{how}_{s}": agg for s in sources for how, agg in (
-        ("sum", F.sum(s)), ("n", F.count(s)), ("max", F.max(s)))}
-    per_second = timed.groupBy(key, "_second").agg(
-        *[agg.alias(name) for name, agg in measures.items()])
+    reduced = {"sum": F.sum, "n": F.count, "max": F.max}
+    measures = {f"_{part}_{s}": reduced[part](s) for part, s in needed}
+    per_second = stage(timed.groupBy(key, "_second").agg(
+        *[agg.alias(name) for name, agg in measures.items()]), "seconds")
 
     second = F.col("_second")
 
@@ -58,6 +61,8 @@ def rolling_features(frame: DataFrame, names: list[str] | None = None,
     cells = per_second.select("*", F.inline(F.when(
         second.isNull(), F.array(*[cell(span, True) for span in used])).otherwise(
         F.array(*[cell(span, own) for span in used for own in (True, False)]))))
+    cells = cells.repartition(tasks_for(frame.sparkSession, per_second.count() * 2 * len(used)),
+                              key, "_span", "_block")
     block = Window.partitionBy(key, "_span", "_block")
     so_far = block.orderBy(F.col("_at").asc(), F.col("_own").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -84,12 +89,17 @@ def rolling_features(frame: DataFrame, names: list[str] | None = None,
     return attach_by_key(timed, rolled, [key, "_second"]).drop("_second")
 
 
-def add_deltas(frame: DataFrame) -> DataFrame:
-    return frame.withColumns({name: F.col(value) - F.col(mean)
-                              for name, (value, mean) in DELTAS.items()})
+def add_deltas(frame: DataFrame, names: list[str] | None = None) -> DataFrame:
+    return frame.withColumns({name: F.col(value) - F.col(mean) for name, (value, mean)
+                              in DELTAS.items() if names is None or name in names})
 
 
-def add_history_features(frame: DataFrame, short_seconds: int = 240,
-                         long_seconds: int = 840) -> DataFrame:
-    """All ten history features; call before splitting so early rows may look back."""
-    return add_deltas(rolling_features(frame, None, short_seconds, long_seconds))
+def add_history_features(frame: DataFrame, short_seconds: int = 240, long_seconds: int = 840,
+                         names: list[str] | None = None) -> DataFrame:
+    """All ten history features, or the named ones and the means that named deltas take.
+
+    Call before splitting so early rows may look back.
+    """
+    rolling = None if names is None else [
+        n for n in ROLLING if n in names or any(DELTAS[d][1] == n for d in DELTAS if d in names)]
+    return add_deltas(rolling_features(frame, rolling, short_seconds, long_seconds), names)

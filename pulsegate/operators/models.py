@@ -20,7 +20,7 @@ from pulsegate.operators.attribution import explain_rows, forest_nodes
 from pulsegate.operators.labels import HORIZON_LABEL
 from pulsegate.operators.serving import alerts_to_explain, latest_per_server, recent_alerts
 from pulsegate.schema import BASE_FEATURES, TARGET
-from pulsegate.staging import shared_folder, stage
+from pulsegate.staging import FEWEST_ROWS, shared_folder, stage, tasks_for
 
 # Model settings.
 SEED = 20260824
@@ -31,8 +31,6 @@ BASELINE_FOREST = {"numTrees": 200, "maxDepth": 20}
 RIDGE_GRID = [0.0001, 0.001, 0.01, 0.1, 1.0]
 # How a forest is grown, not what: rows keep the node they reached, and more nodes share a pass.
 GROWING = {"cacheNodeIds": True, "maxMemoryInMB": 512, "checkpointInterval": 20}
-# Rows that meet a forest in one task: the fewest worth a task, and the most.
-FEWEST_ROWS, MOST_ROWS = 10_000, 250_000
 
 
 def assembled(features: list[str]) -> VectorAssembler:
@@ -47,9 +45,7 @@ def spread(frame: DataFrame) -> DataFrame:
     makes a table of all open nodes that has to be merged, so more tasks come only with
     ``MOST_ROWS`` each. Small tables stay as they are.
     """
-    rows = frame.count()
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    tasks = max(min(-(-rows // FEWEST_ROWS), cores), -(-rows // MOST_ROWS))
+    tasks = tasks_for(frame.sparkSession, frame.count())
     return frame.repartition(tasks) if tasks > 1 else frame
 
 

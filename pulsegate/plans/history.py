@@ -50,9 +50,9 @@ _register_rolling("w7_rolling_max", ["error_rate_max_15m"])
       round(response_p95_ms - {_over('avg(response_p95_ms)', LONG)}, 6)
         AS response_p95_delta_15m FROM accepted""", ("accepted",))
 def rolling_delta(t):
-    frame = features.add_history_features(accepted(t), SHORT, LONG)
-    # differences of equal numbers may come out as a tiny negative; write zero plainly
     names = list(features.DELTAS)
+    frame = features.add_history_features(accepted(t), SHORT, LONG, names)
+    # differences of equal numbers may come out as a tiny negative; write zero plainly
     return frame.select(*KEY, *[(F.round(n, 6) + 0.0).alias(n) for n in names])
 
 

@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Rows of one task where memory or a pass over them counts: the fewest worth a task, and the most.
+FEWEST_ROWS, MOST_ROWS = 10_000, 250_000
+
 _local_folders: dict[str, str] = {}
 
 
@@ -35,3 +38,9 @@ def stage(frame: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/staged/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks to deal ``rows`` over: every core gets some, then more come with ``MOST_ROWS`` each."""
+    cores = spark.sparkContext.defaultParallelism
+    return max(min(-(-rows // FEWEST_ROWS), cores), -(-rows // MOST_ROWS), 1)

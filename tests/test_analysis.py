@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
+from pulsegate import staging
 from pulsegate.functions.scores import ks_p_value
 from pulsegate.operators import (drift, features, labels, metrics, prefix, serving, splits,
                                  workload)
@@ -230,6 +231,32 @@ def test_rolling_features_equal_brute_force(spark, short, long):
         assert own.queue_depth_mean_15m == pytest.approx(sum(queue) / len(queue))
 
 
+def test_tasks_of_rolling_windows_follow_from_the_rows(spark, monkeypatch, capsys):
+    rows = [{"event_id": str(n), "server_id": f"s{n % 3}",
+             "event_time": START + dt.timedelta(seconds=7 * n), "error_rate": n % 10 / 10}
+            for n in range(300)]
+    frame, names = telemetry(spark, rows), ["error_rate_delta_15m"]
+
+    def rolled():
+        return {r.event_id: r for r in features.add_history_features(
+            frame, 240, 840, names).collect()}
+
+    whole = rolled()
+    monkeypatch.setattr(staging, "MOST_ROWS", 50)
+    # 300 seconds, each as the end of a frame and as the beginning of one
+    features.add_history_features(frame, 240, 840, names).explain()
+    assert "hashpartitioning(server_id" in (plan := capsys.readouterr().out)
+    assert "_block" in plan and ", 12), REPARTITION_BY_NUM" in plan
+    apart = rolled()
+    for n in range(300):
+        near = [k % 10 / 10 for k in range(n % 3, n + 1, 3) if 7 * (n - k) <= 840]
+        for got in (whole, apart):
+            assert got[str(n)].error_rate_delta_15m == pytest.approx(
+                n % 10 / 10 - sum(near) / len(near), abs=1e-9)
+    assert set(whole["0"].asDict()) - set(frame.columns) == {
+        "error_rate_mean_15m", "error_rate_delta_15m"}
+
+
 @pytest.mark.parametrize("chunks", [1, 3, 16])
 def test_exact_quantile(spark, chunks):
     """Ties, NULLs, one value, negative values, a group with most of the rows."""
