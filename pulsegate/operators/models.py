@@ -2,14 +2,12 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (Bucketizer, SQLTransformer, StandardScaler,
-                                VectorAssembler)
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -17,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsegate.operators import metrics, splits
 from pulsegate.operators.attribution import explain_rows, forest_nodes
+from pulsegate.operators.forests import GrownForest, binning
 from pulsegate.operators.labels import HORIZON_LABEL
 from pulsegate.operators.serving import alerts_to_explain, latest_per_server, recent_alerts
 from pulsegate.schema import BASE_FEATURES, TARGET
@@ -29,7 +28,7 @@ BOOSTED_RUL = {"maxIter": 80, "maxDepth": 5, "stepSize": 0.05, "maxBins": 32}
 BOOSTED = {"maxIter": 100, "maxDepth": 5, "stepSize": 0.05, "minInstancesPerNode": 5}
 BASELINE_FOREST = {"numTrees": 200, "maxDepth": 20}
 RIDGE_GRID = [0.0001, 0.001, 0.01, 0.1, 1.0]
-# How a forest is grown, not what: rows keep the node they reached, and more nodes share a pass.
+# How Spark grows a forest, not what: rows keep the node they reached, and more nodes share a pass.
 GROWING = {"cacheNodeIds": True, "maxMemoryInMB": 512, "checkpointInterval": 20}
 
 
@@ -111,36 +110,6 @@ class GroupedBoosting(Estimator):
         return stage(cells, "cells")
 
 
-def binning(frame: DataFrame, features: list[str], bins: int) -> Bucketizer:
-    """Cuts of every feature into at most ``bins`` bins of about equal numbers of rows.
-
-    A feature with no more values than bins has a bin for each; a value that is more than a bin's
-    share by itself gets its own.
-    """
-    seen = frame.agg(*[F.approx_count_distinct(n).alias(n) for n in features], F.greatest(
-        F.lit(0.0), *[F.max(F.abs(n)) for n in features]).alias("_end")).first()
-    if seen["_end"] == math.inf:
-        raise ValueError("features must not be infinite")
-    few = {}
-    for name in (n for n in features if seen[n] <= 2 * bins):
-        values = sorted(r[0] for r in frame.select(F.col(name).cast("double")).distinct().collect()
-                        if r[0] is not None and not math.isnan(r[0]))
-        if len(values) <= bins:
-            few[name] = [(a + b) / 2 for a, b in zip(values, values[1:])]
-    many = [n for n in features if n not in few]
-    shares = [k / bins for k in range(1, bins)]
-    found = dict(zip(many, frame.approxQuantile(many, shares, 0.03 / bins) if many else []))
-    splits = []
-    for name in features:
-        cuts = set(few.get(name, []))
-        for value, times in Counter(found.get(name, [])).items():
-            cuts |= {value, math.nextafter(value, math.inf)} if times > 1 else {value}
-        # a bucketizer wants at least one cut
-        splits.append([-math.inf, *sorted(cuts or {0.0}), math.inf])
-    return Bucketizer(splitsArray=splits, inputCols=features, handleInvalid="error",
-                      outputCols=[f"_{name}_bin" for name in features])
-
-
 def boosted_rul(features: list[str], **settings) -> Estimator:
     return GroupedBoosting(GBTRegressor, features, "label", **{**BOOSTED_RUL, **settings})
 
@@ -151,12 +120,12 @@ def predict_rul(model: PipelineModel, frame: DataFrame, keep: list[str]) -> Data
         *keep, F.greatest(F.lit(0.0), "prediction").alias("predicted_rul"))
 
 
-def forest(features: list[str], label: str, weight: str | None = None, **settings) -> Pipeline:
+def forest(features: list[str], label: str, weight: str | None = None, **settings) -> Estimator:
     classifier = RandomForestClassifier(labelCol=label, seed=SEED,
                                         **{**FOREST, **GROWING, **settings})
     if weight:
         classifier.setWeightCol(weight)
-    return Pipeline(stages=[assembled(features), classifier])
+    return GrownForest(assembled(features), classifier)
 
 
 def boosted(features: list[str], label: str, **settings) -> Estimator:
@@ -189,7 +158,7 @@ def with_class_weight(frame: DataFrame, label: str) -> DataFrame:
     return frame.join(F.broadcast(weights), label)
 
 
-def baseline_forest(features: list[str], label: str, **settings) -> Pipeline:
+def baseline_forest(features: list[str], label: str, **settings) -> Estimator:
     """Forest on class-balanced weights; train on ``with_class_weight`` output."""
     return forest(features, label, "class_weight", **{"minInstancesPerNode": 1,
                                                       **BASELINE_FOREST, **settings})

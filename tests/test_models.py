@@ -5,12 +5,12 @@ import time
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from pulsegate.operators import attribution, models, splits
+from pulsegate.operators import attribution, forests, metrics, models, splits
 from pulsegate.plans.common import split_rows
 from pulsegate.plans.views import WINDOWS, Tables
 from pulsegate.schema import BASE_FEATURES
@@ -253,3 +253,76 @@ def test_bins_are_even_and_a_heavy_value_has_its_own(spark):
     assert rows.join(alone, "_heavy_bin").where("heavy <> 5000").isEmpty()
     assert rows.select("few", "_few_bin").distinct().count() == 3
     assert rows.select("_same_bin").distinct().count() == 1
+
+
+class Unchanged:
+    """Draws that take every row once, and all features at a node in their order."""
+
+    def poisson(self, times):
+        return times
+
+    def random(self, shape):
+        return np.tile(np.arange(shape[1]), (shape[0], 1))
+
+
+@pytest.mark.parametrize("weights", [None, "by_class", "by_row"])
+def test_a_grown_tree_is_the_tree_of_single_rows(spark, weights):
+    frame = drawn(spark, 12_500).withColumns({
+        "c": F.round(F.col("c") * 7), "b": F.col("b") + 4,
+        "by_class": F.col("y") * 2.5 + 1, "by_row": F.pmod("id", F.lit(3)) + 1.0}).cache()
+    features, settings = ["a", "b", "c"], {"maxDepth": 5, "minInstancesPerNode": 40}
+    single = DecisionTreeClassifier(labelCol="y", **settings)
+    if weights:
+        single.setWeightCol(weights)
+    tree = Pipeline(stages=[models.assembled(features), single]).fit(frame)
+    rows = models.scored_by(tree, frame).toPandas()
+    cells, times = np.unique(np.column_stack([
+        rows[["a", "b", "c", "y"]], rows[weights] if weights else np.ones(len(rows))]),
+        axis=0, return_counts=True)
+    found = forests.grown(cells[:, :3].astype("uint8"), cells[:, 3].astype("uint8"), times,
+                          cells[:, 4], Unchanged(), 5, 40, 3, 32)
+    assert found["rows"][0] == 12_500 and len(found["rows"]) == tree.stages[-1].numNodes
+    at = np.zeros(len(rows), int)
+    for _ in range(5):
+        inner = found["left"][at] >= 0
+        here = rows[features].to_numpy()[np.arange(len(rows)), found["feature"][at]]
+        at = np.where(inner, found["left"][at] + (here > found["cut"][at]), at)
+    share = found["sums"][:, 1] / found["sums"].sum(axis=1)
+    assert np.allclose(share[at], rows["p1"], rtol=0, atol=1e-9)
+
+
+def jobs_of(spark, name, action):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        return action(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_a_deep_forest_takes_no_more_passes_than_a_flat_one(spark):
+    frame = drawn(spark, 24_000).withColumn("w", F.col("y") + 1.0)
+    train, test = frame.where("id % 2 = 0").cache(), frame.where("id % 2 = 1").cache()
+    jobs, found = {}, {}
+    for depth in (2, 12):
+        make = models.forest(["a", "b", "c"], "y", "w", numTrees=6, maxDepth=depth)
+        found[depth], jobs[depth] = jobs_of(spark, f"depth-{depth}", lambda: make.fit(train))
+    assert jobs[12] <= jobs[2] + 2
+    spark_made = Pipeline(stages=[make.assembler, make.learner]).fit(train)
+    one, two = (metrics.binary_summary(models.scored_by(m, test), "p1", 0.5, "y").first()
+                for m in (found[12], spark_made))
+    assert one.roc_auc == pytest.approx(two.roc_auc, abs=0.01)
+    assert one.accuracy == pytest.approx(two.accuracy, abs=0.01)
+    again = make.fit(train)
+    nodes = [models.saved_nodes(m, train).orderBy("treeID", "id").collect()
+             for m in (found[12], again)]
+    assert nodes[0] == nodes[1]
+
+
+@pytest.mark.parametrize("name, bad", [("y", None), ("a", math.nan), ("w", -1.0)])
+def test_a_grown_forest_refuses_what_spark_refuses(spark, name, bad):
+    frame = drawn(spark, 12_500).withColumn("w", F.lit(1.0))
+    make = models.forest(["a", "b"], "y", "w", numTrees=2, maxDepth=2)
+    kind = dict(frame.dtypes)[name]
+    with pytest.raises(Exception, match="MUST NOT|NaN|null|[Nn]egative"):
+        make.fit(frame.withColumn(name, F.when(F.col("id") == 77, F.lit(bad).cast(kind)).otherwise(
+            F.col(name))))
