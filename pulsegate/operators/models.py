@@ -166,12 +166,15 @@ def baseline_forest(features: list[str], label: str, **settings) -> Estimator:
 
 def cross_validated(make: Estimator, train: DataFrame, label: str, folds: int,
                     threshold: float = 0.5) -> DataFrame:
-    """Hold each fold out once; metrics per fold from one scored table."""
+    """Hold each fold out once; metrics per fold from the scored rows of all.
+
+    The scores of a fold are written: a scoring task unpacks every model of its plan.
+    """
     scored = None
     for fold in range(folds):
         model = make.fit(spread(train.where(F.col("fold") != fold)))
-        held = scored_by(model, spread(train.where(F.col("fold") == fold))).select(
-            "fold", label, "p1")
+        held = stage(scored_by(model, spread(train.where(F.col("fold") == fold))).select(
+            "fold", label, "p1"), "held-out")
         scored = held if scored is None else scored.unionByName(held)
     return metrics.metrics_at(scored, "p1", threshold, label, ["fold"])
 

@@ -326,3 +326,10 @@ def test_a_grown_forest_refuses_what_spark_refuses(spark, name, bad):
     with pytest.raises(Exception, match="MUST NOT|NaN|null|[Nn]egative"):
         make.fit(frame.withColumn(name, F.when(F.col("id") == 77, F.lit(bad).cast(kind)).otherwise(
             F.col(name))))
+
+
+def test_scores_of_folds_are_read_without_their_models(spark):
+    train = toy(spark).withColumn("fold", F.pmod(F.col("event_id").cast("int"), F.lit(3)))
+    report = models.cross_validated(models.forest(["a", "b", "c"], "y", **SMALL), train, "y", 3)
+    assert "UDF" not in report._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(r.tp + r.fp + r.fn + r.tn for r in report.collect()) == 400
